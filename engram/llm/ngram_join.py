@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engram.operators.graph import connected_components
 from engram.session import input_bytes, materialize
 
 WORDS = 5
 #: A link needs 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
 #: Bytes of text that one batch merges before it is dealt out.
-BATCH_BYTES = 48 << 20
+BATCH_BYTES = 24 << 20
 #: A batch numbers its sets in 16 bits.
 BATCH_SETS = 60_000
 #: Rows that one task of the tree join reads at most for a single block.
@@ -44,8 +45,9 @@ BLOCK_ROWS = 2048
 LEAF = 32
 BITMAP_WORDS = 16
 
-_ENTRY = np.dtype([("hash", "<u8"), ("set", "<u2")])
-_SHARED = np.dtype([("hash", "<u8"), ("df", "<u4"), ("set", "<u2")])
+# A dealt hash is its low 48 bits: the range that it was dealt to gives the high ones again.
+_ENTRY = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2")])
+_SHARED = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2"), ("df", "<u2")])
 _DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("batch", pa.string()), ("data", pa.binary())])
 _DEALT_DDL = "part int, kind byte, batch string, data binary"
 _SETS_DDL = "doc_id long, fp binary, n_shingles long, tokens binary, prefix int"
@@ -89,6 +91,10 @@ def _mix(x):
     return x ^ (x >> np.uint64(29))
 
 
+def _low(entries: np.ndarray) -> np.ndarray:
+    return entries["low"].astype("<u8") | (entries["mid"].astype("<u8") << np.uint64(32))
+
+
 def _deal(parts: int):
     """Batches of (doc_id, text) -> hash ranges of a batch and its member list."""
 
@@ -102,12 +108,14 @@ def _deal(parts: int):
         blob = np.array([len(rows), len(sets)], "<i8").tobytes() + members.tobytes() + sizes.tobytes() + prints
         part, kind, data = [home], [1], [blob]
         if len(sizes) and sizes.sum():
-            entry = np.empty(int(sizes.sum()), _ENTRY)
-            entry["hash"] = np.concatenate([v[1] for v in sets.values()])
-            entry["set"] = np.repeat(np.arange(len(sets), dtype="<u2"), sizes)
-            entry = entry[np.argsort(entry["hash"], kind="stable")]
+            hashes = np.concatenate([v[1] for v in sets.values()])
             # hash ranges are equal slices of the 64-bit space, by the top 32 bits
-            slot = ((entry["hash"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            slot = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(slot, kind="stable")
+            entry = np.empty(len(hashes), _ENTRY)
+            entry["set"] = np.repeat(np.arange(len(sets), dtype="<u2"), sizes)[order]
+            hashes, slot = hashes[order], slot[order]
+            entry["low"], entry["mid"] = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) & np.uint64(0xFFFF)
             edges = np.flatnonzero(np.diff(slot)) + 1
             for a, b in zip(np.r_[0, edges], np.r_[edges, len(entry)]):
                 part.append(int(slot[a]))
@@ -151,15 +159,16 @@ def _shared(table: pa.Table) -> pa.Table:
     out_data = [data[int(i)].as_py() for i in np.flatnonzero(kind == 1)]
     out_kind = [1] * len(out_data)
     chunks = np.flatnonzero(kind == 0)
+    part = table.column("part")[0].as_py() if table.num_rows else 0
     if len(chunks):
         parts = [np.frombuffer(data[int(i)].as_buffer(), _ENTRY) for i in chunks]
-        hashes = np.concatenate([p["hash"] for p in parts])
+        hashes = np.concatenate([_low(p) for p in parts])
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
         starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         counts = np.diff(np.r_[starts, len(ranked)])
-        df = np.empty(len(ranked), "<u4")
-        df[order] = np.repeat(counts, counts)
+        df = np.empty(len(ranked), "<u2")
+        df[order] = np.repeat(np.minimum(counts, 0xFFFF), counts)
         at = 0
         for i, p in zip(chunks, parts):
             mine = df[at : at + len(p)]
@@ -167,12 +176,14 @@ def _shared(table: pa.Table) -> pa.Table:
             keep = mine > 1
             if keep.any():
                 rows = np.empty(int(keep.sum()), _SHARED)
-                rows["hash"], rows["set"], rows["df"] = p["hash"][keep], p["set"][keep], mine[keep]
+                for name in _ENTRY.names:
+                    rows[name] = p[name][keep]
+                rows["df"] = mine[keep]
                 out_names.append(names[i])
                 out_data.append(rows.tobytes())
                 out_kind.append(0)
     n = len(out_data)
-    arrays = [pa.array([0] * n, pa.int32()), pa.array(out_kind, pa.int8()), pa.array(out_names, pa.string()), pa.array(out_data, pa.binary())]
+    arrays = [pa.array([part] * n, pa.int32()), pa.array(out_kind, pa.int8()), pa.array(out_names, pa.string()), pa.array(out_data, pa.binary())]
     return pa.Table.from_arrays(arrays, schema=_DEALT)
 
 
@@ -198,10 +209,13 @@ def _prefixes(table: pa.Table) -> pa.Table:
     docs = pa.array(members["doc"], pa.int64(), mask=members["null"])
     fps, ns = [prints[i] for i in members["set"]], sizes[members["set"]]
     tables = [pa.Table.from_arrays([docs, pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.nulls(n_rows, pa.binary()), pa.nulls(n_rows, pa.int32())], schema=_SETS)]
-    chunks = [np.frombuffer(data[int(i)].as_buffer(), _SHARED) for i in np.flatnonzero(kind == 0)]
-    if chunks:
+    at, part = np.flatnonzero(kind == 0), table.column("part").to_numpy()
+    if len(at):
+        chunks = [np.frombuffer(data[int(i)].as_buffer(), _SHARED) for i in at]
         rows = np.concatenate(chunks)
-        rows = rows[np.lexsort((rows["hash"], rows["df"], rows["set"]))]
+        tokens = _low(rows) | (np.repeat(part[at].astype("<u8") & np.uint64(0xFFFF), [len(c) for c in chunks]) << np.uint64(48))
+        order = np.lexsort((tokens, rows["df"], rows["set"]))
+        rows, tokens = rows[order], tokens[order]
         starts = np.flatnonzero(np.r_[True, rows["set"][1:] != rows["set"][:-1]])
         got: list[tuple] = []
         for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
@@ -209,7 +223,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
             n, m = int(sizes[i]), int(b - a)
             prefix = n - need(n) + 1 - (n - m)
             if prefix > 0:
-                got.append((prints[i], n, rows["hash"][a:b].tobytes(), prefix))
+                got.append((prints[i], n, tokens[a:b].tobytes(), prefix))
         if got:
             fp, n, tokens, prefix = zip(*got)
             arrays = [pa.nulls(len(got), pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary()), pa.array(prefix, pa.int32())]
@@ -326,28 +340,6 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of ``edges``; root is the least node of its component.
-
-    Rounds of minimum neighbour label plus pointer jumping, each written to the
-    shared folder; the driver holds only the count of changed labels.
-    """
-    spark = edges.sparkSession
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    pairs = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("root")), "labels")
-    while True:
-        near = pairs.join(labels.select(F.col("u").alias("v"), F.col("root").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        step = labels.join(near, "u").select("u", "root", F.least("root", "near").alias("next"))
-        jump = labels.select(F.col("u").alias("next"), F.col("root").alias("far"))
-        new = step.join(jump, "next", "left").select("u", F.least("next", "far").alias("new"), F.col("root").alias("old"))
-        new = materialize(new, "labels")
-        changed = new.where(F.col("new") != F.col("old")).limit(1).count()
-        labels = new.select("u", F.col("new").alias("root"))
-        if not changed:
-            return labels.select(F.col("u").alias("node"), "root")
-
-
 def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, prefix) with null doc_id and set tokens for each set that can have a partner."""
     parts = max(48, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 26)
