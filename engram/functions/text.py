@@ -62,15 +62,21 @@ def lexemes(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Search tokens: lexemes without single characters, numbers and the language's stop words."""
-    lang = search_language(text)
-    return F.filter(
-        lexemes(text),
-        lambda t: (F.length(t) > 1)
-        & ~t.rlike("^[0-9]+$")
-        & ~((lang == "en") & t.isin(*STOP_EN))
-        & ~((lang == "ru") & t.isin(*STOP_RU))
-        & ~((lang == "zh") & t.isin(*STOP_ZH)),
-    )
+
+    def chosen(s: Column) -> Column:
+        lang = s["lang"]
+        return F.filter(
+            s["words"],
+            lambda t: (F.length(t) > 1)
+            & ~t.rlike("^[0-9]+$")
+            & ~((lang == "en") & t.isin(*STOP_EN))
+            & ~((lang == "ru") & t.isin(*STOP_RU))
+            & ~((lang == "zh") & t.isin(*STOP_ZH)),
+        )
+
+    # a one-element array binds the language and the words, so neither is computed again for every word
+    bound = F.array(F.struct(search_language(text).alias("lang"), lexemes(text).alias("words")))
+    return F.get(F.transform(bound, chosen), F.lit(0))
 
 
 def or_query(tokens: Column) -> Column:

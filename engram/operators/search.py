@@ -142,7 +142,7 @@ def contradiction_penalty(results: DataFrame, edges: DataFrame, top: int = 10, l
     bad = edges.where((F.col("relation") == "CONTRADICTS") & F.col("invalid_at").isNull()).join(F.broadcast(seeds), F.col("from_id") == F.col("id"), "left_semi")
     bad = bad.orderBy("from_id", "to_id").limit(limit).select(F.col("to_id").alias("id")).distinct().withColumn("bad", F.lit(True))
     hit = F.greatest(F.col("score") - scoring.CONTRADICTION_PENALTY, F.lit(0.0))
-    return results.join(bad, "id", "left").withColumn("score", F.when("bad", hit).otherwise(F.col("score"))).drop("bad")
+    return results.join(bad, "id", "left").withColumn("score", F.when(F.col("bad"), hit).otherwise(F.col("score"))).drop("bad")
 
 
 def multi_hop(results: DataFrame, edges: DataFrame, memory: DataFrame, query: list[float], where: Column, depth: int = 2) -> DataFrame:
@@ -271,11 +271,11 @@ def counters(memory: DataFrame, hits: DataFrame) -> DataFrame:
     """Retrieval counters of returned rows: +1, importance + 0.1 up to 2.0."""
     h = hits.select("id").distinct().withColumn("hit", F.lit(True))
     t = memory.join(h, "id", "left")
-    one = F.when("hit", 1).otherwise(0)
+    one = F.when(F.col("hit"), 1).otherwise(0)
     return (
         t.withColumn("retrieval_count", F.coalesce("retrieval_count", F.lit(0)) + one)
         .withColumn("access_count", F.coalesce("access_count", F.lit(0)) + one)
-        .withColumn("importance_score", F.when("hit", F.least(F.lit(2.0), F.coalesce("importance_score", F.lit(0.0)) + 0.1)).otherwise(F.col("importance_score")))
+        .withColumn("importance_score", F.when(F.col("hit"), F.least(F.lit(2.0), F.coalesce("importance_score", F.lit(0.0)) + 0.1)).otherwise(F.col("importance_score")))
         .drop("hit")
     )
 

@@ -77,7 +77,7 @@ class Tables:
         nxt = d.where((i % 10 != 0)).select(m(i).alias("from_id"), m(i - 1).alias("to_id"), F.lit("TIMELINE_NEXT").alias("relation"), F.lit(1.0).alias("confidence"), F.lit(False).alias("dead"))
         ent = d.select(m(i).alias("from_id"), F.concat(F.lit("e"), i % 20).alias("to_id"), F.lit("MENTIONS_ENTITY").alias("relation"), F.lit(0.9).alias("confidence"), F.lit(False).alias("dead"))
         t = rel.unionByName(con).unionByName(nxt).unionByName(ent)
-        return t.withColumn("invalid_at", F.when("dead", F.timestamp_seconds(F.lit(AS_OF)))).drop("dead")
+        return t.withColumn("invalid_at", F.when(F.col("dead"), F.timestamp_seconds(F.lit(AS_OF)))).drop("dead")
 
     @cached_property
     def messages(self) -> DataFrame:

@@ -181,8 +181,8 @@ def _(t):
     return ingest.pack_profile(p, 60)
 
 
-@query("i14_feedback_split", cte("messages") + """, l AS (SELECT conv_id, max(turn) AS at FROM messages WHERE role = 'user' GROUP BY conv_id)
- SELECT m.conv_id, max(content) FILTER (turn = at) AS feedback, coalesce(string_agg(role || ': ' || content, chr(10) ORDER BY turn) FILTER (turn < at), '') AS history FROM messages m JOIN l USING (conv_id) GROUP BY m.conv_id""")
+@query("i14_feedback_split", cte("messages") + """, l AS (SELECT conv_id, max(turn) AS last_turn FROM messages WHERE role = 'user' GROUP BY conv_id)
+ SELECT m.conv_id, max(content) FILTER (turn = last_turn) AS feedback, coalesce(string_agg(role || ': ' || content, chr(10) ORDER BY turn) FILTER (turn < last_turn), '') AS history FROM messages m JOIN l USING (conv_id) GROUP BY m.conv_id""")
 def _(t):
     return ingest.split_feedback(t.messages)
 

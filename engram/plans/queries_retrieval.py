@@ -65,7 +65,7 @@ def _(t):
     return t.memory.select("id", F.size(text.keywords(F.col("memory"))).alias("n"))
 
 
-LANG = [("hello there", "en", "en"), ("привет мир", "ru", "ru"), ("你好世界", "zh", "zh"), ("ok 你好 как", "ru", "zh"), ("", "en", "en")]
+LANG = [("hello there", "en", "en"), ("привет мир", "ru", "ru"), ("你好世界", "zh", "zh"), ("ok 你好 как", "ru", "ru"), ("", "en", "en")]
 
 
 @query("tx02_language", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LANG) + ") AS v(phrase, search, chat)")
@@ -292,8 +292,8 @@ PG_SQL = r"""WITH p AS (SELECT a.item_id, a.item_id % 5 + 1 AS category, a.text
  n AS (SELECT item_id, category, string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(gold), '\b(a|an|the)\b', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')), ' ') AS g,
   string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(pred), '\b(a|an|the)\b', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')), ' ') AS q FROM p),
  c AS (SELECT item_id, t, sum(a) AS a, sum(b) AS b FROM (SELECT item_id, unnest(q) AS t, 1 AS a, 0 AS b FROM n UNION ALL SELECT item_id, unnest(g), 0, 1 FROM n) GROUP BY ALL),
- s AS (SELECT item_id, sum(least(a, b)) AS same, sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) AS bow, count(*) FILTER (a > 0 AND b > 0) AS both, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c GROUP BY item_id),
- e AS (SELECT item_id, category, (q = g)::INTEGER::DOUBLE AS em, 2.0 * same / (len(q) + len(g)) AS f1, CASE WHEN both = 0 THEN 0.0 ELSE 2.0 * both / (da + db) END AS set_f1, (both > 0)::INTEGER::DOUBLE AS hit, bow FROM n JOIN s USING (item_id)) """
+ s AS (SELECT item_id, sum(least(a, b)) AS same, sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) AS bow, count(*) FILTER (a > 0 AND b > 0) AS n_both, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c GROUP BY item_id),
+ e AS (SELECT item_id, category, (q = g)::INTEGER::DOUBLE AS em, 2.0 * same / (len(q) + len(g)) AS f1, CASE WHEN n_both = 0 THEN 0.0 ELSE 2.0 * n_both / (da + db) END AS set_f1, (n_both > 0)::INTEGER::DOUBLE AS hit, bow FROM n JOIN s USING (item_id)) """
 
 
 def _preds(t):

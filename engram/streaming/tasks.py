@@ -43,7 +43,7 @@ def parse_tasks(raw: DataFrame, now: Column | None = None) -> tuple[DataFrame, D
 def parse_ids(content: Column) -> Column:
     """Ids of a payload: JSON array, JSON object (memory_ids or memory_ids_str) or comma list."""
     t = F.trim(content)
-    split = lambda c: F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    split = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     obj = F.from_json(t, "memory_ids array<string>, memory_ids_str string")
     from_array = F.from_json(t, "array<string>")
     from_obj = F.when(F.size(obj["memory_ids"]) > 0, obj["memory_ids"]).when(F.coalesce(obj["memory_ids_str"], F.lit("")) != "", split(obj["memory_ids_str"]))
