@@ -37,7 +37,7 @@ WORDS = 5
 #: A link needs 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
 #: Bytes of text that one batch merges before it is dealt out.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 #: A batch numbers its sets in 16 bits.
 BATCH_SETS = 60_000
 #: Rows that one task of the tree join reads at most for a single block.
@@ -50,14 +50,14 @@ _ENTRY = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2")])
 _SHARED = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2"), ("df", "<u2")])
 _DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("batch", pa.string()), ("data", pa.binary())])
 _DEALT_DDL = "part int, kind byte, batch string, data binary"
-_SETS_DDL = "doc_id long, fp binary, n_shingles long, tokens binary, prefix int"
+_SETS_DDL = "doc_id long, fp binary, n_shingles long, tokens binary, rare binary"
 
 
 class _WordHashes(dict):
     """word -> 64-bit hash; bounded, since a worker lives longer than a batch."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -187,12 +187,21 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(arrays, schema=_DEALT)
 
 
+def _planes(tokens: np.ndarray) -> bytes:
+    """Sorted tokens byte plane by byte plane, most of which then compress well."""
+    return np.sort(tokens).view("u1").reshape(-1, 8).T.tobytes()
+
+
+def _tokens(planes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(8, -1).T).view("<u8").ravel()
+
+
 def need(n: int) -> int:
     """The smallest overlap with which a set of n shingles can have a partner: ceil(0.8 n)."""
     return -(-THRESHOLD * n // 100)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.int32())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("rare", pa.binary())])
 
 
 def _prefixes(table: pa.Table) -> pa.Table:
@@ -208,7 +217,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
     prints = [bytes(x) for x in prints]
     docs = pa.array(members["doc"], pa.int64(), mask=members["null"])
     fps, ns = [prints[i] for i in members["set"]], sizes[members["set"]]
-    tables = [pa.Table.from_arrays([docs, pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.nulls(n_rows, pa.binary()), pa.nulls(n_rows, pa.int32())], schema=_SETS)]
+    tables = [pa.Table.from_arrays([docs, pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.nulls(n_rows, pa.binary()), pa.nulls(n_rows, pa.binary())], schema=_SETS)]
     at, part = np.flatnonzero(kind == 0), table.column("part").to_numpy()
     if len(at):
         chunks = [np.frombuffer(data[int(i)].as_buffer(), _SHARED) for i in at]
@@ -223,22 +232,22 @@ def _prefixes(table: pa.Table) -> pa.Table:
             n, m = int(sizes[i]), int(b - a)
             prefix = n - need(n) + 1 - (n - m)
             if prefix > 0:
-                got.append((prints[i], n, tokens[a:b].tobytes(), prefix))
+                got.append((prints[i], n, _planes(tokens[a:b]), tokens[a : a + prefix].tobytes()))
         if got:
-            fp, n, tokens, prefix = zip(*got)
-            arrays = [pa.nulls(len(got), pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary()), pa.array(prefix, pa.int32())]
+            fp, n, planes, rare = zip(*got)
+            arrays = [pa.nulls(len(got), pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(planes, pa.binary()), pa.array(rare, pa.binary())]
             tables.append(pa.Table.from_arrays(arrays, schema=_SETS))
     return pa.concat_tables(tables)
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, tokens, prefix) -> a (token, fp) row for each prefix shingle."""
+    """(fp, n, rare) -> a (token, fp, n) row for each prefix shingle."""
     for batch in batches:
-        fps, tokens, prefix = (batch.column(i) for i in range(3))
-        hashes = [np.frombuffer(t.as_buffer(), "<i8", k) for t, k in zip(tokens, prefix.to_pylist())]
+        fps, sizes = batch.column(0), batch.column(1)
+        hashes = [np.frombuffer(t.as_buffer(), "<i8") for t in batch.column(2)]
         if hashes:
-            index = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes), pa.int64()), fps.take(pa.array(index))], names=["token", "fp"])
+            index = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes), pa.int64()), fps.take(index), sizes.take(index)], names=["token", "fp", "n"])
 
 
 class SignatureTree:
@@ -306,7 +315,7 @@ def _links(table: pa.Table) -> pa.Table:
     trees, ids = [], []
     for s in (0, 1):
         rows = [int(i) for i in order if side[i] == s]
-        trees.append(SignatureTree([np.sort(np.frombuffer(data[i].as_buffer(), "<u8")) for i in rows], sizes[rows]))
+        trees.append(SignatureTree([_tokens(data[i].as_buffer()) for i in rows], sizes[rows]))
         ids.append(rows)
     if not ids[1]:
         trees[1], ids[1] = trees[0], ids[0]
@@ -341,7 +350,7 @@ def _links(table: pa.Table) -> pa.Table:
 
 
 def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (doc_id, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, prefix) with null doc_id and set tokens for each set that can have a partner."""
+    """A row (doc_id, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, rare) with null doc_id and set tokens for each set that can have a partner."""
     parts = max(48, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 26)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.mapInArrow(_deal(parts), _DEALT_DDL)
@@ -351,13 +360,17 @@ def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def jaccard_links(sets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Verified links (a, b) between set fingerprints; enough of them to join every linkable pair."""
-    able = materialize(sets.where(F.col("tokens").isNotNull()).dropDuplicates(["fp"]).select("fp", "n_shingles", "tokens", "prefix"), "able")
-    keys = able.select("fp", "tokens", "prefix").mapInArrow(_explode, "token long, fp binary")
+    able = materialize(sets.where(F.col("tokens").isNotNull()).dropDuplicates(["fp"]).select("fp", "n_shingles", "tokens", "rare"), "able")
+    keys = able.select("fp", "n_shingles", "rare").mapInArrow(_explode, "token long, fp binary, n long")
     keys = materialize(keys, "keys")
     seal = F.xxhash64("fp")
-    blocks = keys.groupBy("token").agg(F.count("*").alias("n"), F.sum(seal.cast("decimal(20,0)")).alias("s"), F.bit_xor(seal).alias("x")).where("n > 1")
+    blocks = keys.groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(seal.cast("decimal(20,0)")).alias("s"), F.bit_xor(seal).alias("x"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    # two sets of too different sizes can't link
+    blocks = blocks.where((F.col("n") > 2) | ((F.col("n") == 2) & (100 * F.col("least") >= THRESHOLD * F.col("most"))))
     once = blocks.groupBy("n", "s", "x").agg(F.min("token").alias("token")).select("token", "n")
-    rows = keys.join(once, "token")
+    rows = keys.select("token", "fp").join(once, "token")
     # a block of more than block_rows is cut into k slices; slice pairs are separate tasks
     k = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k"))

@@ -107,7 +107,7 @@ def test_jaccard_trees_join_every_linkable_pair():
     import pyarrow as pa
 
     fps = [str(i).zfill(16).encode() for i in range(len(sets))]
-    t = pa.table({"fp": pa.array(fps, pa.binary()), "n_shingles": [len(s) for s in sets], "side": [0] * len(sets), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+    t = pa.table({"fp": pa.array(fps, pa.binary()), "n_shingles": [len(s) for s in sets], "side": [0] * len(sets), "tokens": pa.array([ngram_join._planes(s) for s in sets], pa.binary())})
     found = ngram_join._links(t).to_pylist()
     root = {f: f for f in fps}
 
