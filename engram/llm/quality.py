@@ -128,7 +128,10 @@ def measure(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, id_
 
 def keep_good(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    return _metrics(docs, text_col).where(~_failed() & _verdict(thresholds)).select("__row.*")
+    # a row number, never negative, keeps the filter above the projections: pushed below
+    # them it would compute every array again for each element that looks at it
+    t = _metrics(docs, text_col).select("__row", (~_failed() & _verdict(thresholds)).alias("__ok"), F.monotonically_increasing_id().alias("__at"))
+    return t.where("__ok AND __at >= 0").select("__row.*")
 
 
 def oracle() -> str:
