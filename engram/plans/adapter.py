@@ -72,7 +72,7 @@ class Tables:
         n, i = self.count, F.col("doc_id")
         d = self.raw("documents").select("doc_id")
         m = lambda c: F.concat(F.lit("m"), c)
-        rel = d.select(m(i).alias("from_id"), m((i * 7 + 3) % n).alias("to_id"), F.lit("RELATED").alias("relation"), ((i % 10) / 10.0).alias("confidence"), (i % 13 == 0).alias("dead"))
+        rel = d.select(m(i).alias("from_id"), m((i * 7 + 6) % n).alias("to_id"), F.lit("RELATED").alias("relation"), ((i % 10) / 10.0).alias("confidence"), (i % 13 == 0).alias("dead"))
         con = d.where(i % 11 == 0).select(m(i).alias("from_id"), m((i * 5 + 1) % n).alias("to_id"), F.lit("CONTRADICTS").alias("relation"), F.lit(1.0).alias("confidence"), F.lit(False).alias("dead"))
         nxt = d.where((i % 10 != 0)).select(m(i).alias("from_id"), m(i - 1).alias("to_id"), F.lit("TIMELINE_NEXT").alias("relation"), F.lit(1.0).alias("confidence"), F.lit(False).alias("dead"))
         ent = d.select(m(i).alias("from_id"), F.concat(F.lit("e"), i % 20).alias("to_id"), F.lit("MENTIONS_ENTITY").alias("relation"), F.lit(0.9).alias("confidence"), F.lit(False).alias("dead"))
@@ -122,7 +122,7 @@ MEMORY_SQL = f"""memory AS (
     e.embedding::DOUBLE[] AS embedding
   FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 EDGES_SQL = """edges AS (
-  SELECT 'm' || doc_id AS from_id, 'm' || ((doc_id * 7 + 3) % n) AS to_id, 'RELATED' AS relation, ((doc_id % 10) / 10.0)::DOUBLE AS confidence, doc_id % 13 = 0 AS dead FROM documents, (SELECT count(*) AS n FROM documents)
+  SELECT 'm' || doc_id AS from_id, 'm' || ((doc_id * 7 + 6) % n) AS to_id, 'RELATED' AS relation, ((doc_id % 10) / 10.0)::DOUBLE AS confidence, doc_id % 13 = 0 AS dead FROM documents, (SELECT count(*) AS n FROM documents)
   UNION ALL SELECT 'm' || doc_id, 'm' || ((doc_id * 5 + 1) % n), 'CONTRADICTS', 1.0, false FROM documents, (SELECT count(*) AS n FROM documents) WHERE doc_id % 11 = 0
   UNION ALL SELECT 'm' || doc_id, 'm' || (doc_id - 1), 'TIMELINE_NEXT', 1.0, false FROM documents WHERE doc_id % 10 <> 0
   UNION ALL SELECT 'm' || doc_id, 'e' || (doc_id % 20), 'MENTIONS_ENTITY', 0.9, false FROM documents)"""

@@ -240,9 +240,9 @@ def _(t):
     return store.profile_upsert(t.profiles.drop("doc_id"), b, _at()).select(*store.PROFILE_KEY, "memo", F.col("expired_at").isNull().alias("active"))
 
 
-@query("m09_active_profiles", cte("profiles") + f"SELECT topic, sub_topic, memo FROM profiles WHERE expired_s IS NULL AND cube_id = '{CUBE}' AND user_id = 'u1'")
+@query("m09_active_profiles", cte("profiles") + f"SELECT topic, sub_topic, memo FROM profiles WHERE expired_s IS NULL AND cube_id = 'src1' AND user_id = 'u1'")
 def _(t):
-    return store.active_profiles(t.profiles, CUBE, "u1").select("topic", "sub_topic", "memo")
+    return store.active_profiles(t.profiles, "src1", "u1").select("topic", "sub_topic", "memo")
 
 
 @query("m12_replace_keyword", M + f"SELECT id, replace(memory, 'the', 'THE') AS memory FROM memory WHERE {ACTIVE} AND contains(memory, 'the') ORDER BY id LIMIT 100")

@@ -14,6 +14,7 @@ from engram.sources import tables
 M = cte("memory")
 ME = cte("memory", "edges")
 ACTIVE = f"user_name = '{CUBE}' AND status = 'activated'"
+NINE = "user_name = 'src9' AND status = 'activated'"
 
 
 @query("src01_memory_scan", M + f"SELECT id, user_name, memory_type, length(memory)::INTEGER AS n FROM memory WHERE {ACTIVE}")
@@ -68,9 +69,9 @@ def _(t):
     return tables.tier(t.memory, "src1", "episodic", 10).select("id", "user_name")
 
 
-@query("src11_session_neighbours", M + "SELECT id, session_id FROM memory WHERE user_name = 'src1' AND session_id = 's2' AND memory_type IN ('LongTermMemory', 'UserMemory') ORDER BY created_s DESC, id LIMIT 20")
+@query("src11_session_neighbours", M + "SELECT id, session_id FROM memory WHERE user_name = 'src1' AND session_id = 's0' AND memory_type IN ('LongTermMemory', 'UserMemory') ORDER BY created_s DESC, id LIMIT 20")
 def _(t):
-    return tables.session_neighbours(t.memory, "src1", "s2", 20).select("id", "session_id")
+    return tables.session_neighbours(t.memory, "src1", "s0", 20).select("id", "session_id")
 
 
 @query("src12_filtered_scan", M + f"SELECT id FROM memory WHERE status = 'activated' AND user_name IN ('{CUBE}', 'src1') AND list_contains(tags, 'en') AND created_s > {EPOCH + 36000} ORDER BY id LIMIT 100")
@@ -173,9 +174,9 @@ def _(t):
     return search.entity_recall(t.edges, t.memory, ["e0", "e3"], filters.scope(CUBE))
 
 
-@query("j08_tenant_edges", ME + f"SELECT e.from_id, e.to_id, e.relation FROM edges e WHERE NOT dead AND EXISTS (SELECT 1 FROM memory m WHERE m.id = e.from_id AND {ACTIVE}) AND EXISTS (SELECT 1 FROM memory m WHERE m.id = e.to_id AND {ACTIVE})")
+@query("j08_tenant_edges", ME + f"SELECT e.from_id, e.to_id, e.relation FROM edges e WHERE NOT dead AND EXISTS (SELECT 1 FROM memory m WHERE m.id = e.from_id AND {NINE}) AND EXISTS (SELECT 1 FROM memory m WHERE m.id = e.to_id AND {NINE})")
 def _(t):
-    return graph.tenant_edges(t.edges, t.memory, CUBE).select("from_id", "to_id", "relation")
+    return graph.tenant_edges(t.edges, t.memory, "src9").select("from_id", "to_id", "relation")
 
 
 @query("j10_keep_newest", M + """SELECT id, user_name FROM (SELECT *, row_number() OVER (PARTITION BY user_name ORDER BY updated_s DESC, id) AS r FROM memory WHERE memory_type = 'WorkingMemory') WHERE r <= 3
@@ -254,9 +255,9 @@ def _(t):
 
 
 @query("w02_timeline", M + """SELECT from_id, to_id, dt FROM (SELECT id AS from_id, lag(id) OVER w AS to_id, created_s - lag(created_s) OVER w AS dt, doc_id >= 500 OR coalesce(lag(doc_id) OVER w >= 500, false) AS fresh
- FROM memory WINDOW w AS (PARTITION BY user_name, session_id ORDER BY created_s, id)) WHERE to_id IS NOT NULL AND fresh""")
+ FROM memory WINDOW w AS (PARTITION BY session_id ORDER BY created_s, id)) WHERE to_id IS NOT NULL AND fresh""")
 def _(t):
-    return graph.timeline_edges(t.memory.withColumn("session_id", F.col("session_id")), F.col("doc_id") >= 500).select("from_id", "to_id", "dt")
+    return graph.timeline_edges(t.memory.withColumn("user_name", F.lit("all")), F.col("doc_id") >= 500).select("from_id", "to_id", "dt")
 
 
 @query("w03_session_partners", M + """SELECT n.id AS from_id, o.id AS to_id FROM (SELECT * FROM memory WHERE doc_id % 10 >= 8) n JOIN (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY created_s DESC, id) AS r
