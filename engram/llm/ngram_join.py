@@ -351,7 +351,10 @@ def _links(table: pa.Table) -> pa.Table:
 
 def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, rare) with null doc_id and set tokens for each set that can have a partner."""
-    parts = max(48, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 26)
+    size = input_bytes(docs)
+    if size > 1 << 50:  # not known to the optimizer, or multiplied up by it
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    parts = max(48, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.mapInArrow(_deal(parts), _DEALT_DDL)
     shared = dealt.groupBy("part").applyInArrow(_shared, _DEALT_DDL)

@@ -96,13 +96,13 @@ def graded(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
 
 
 def fit(sample: DataFrame, features: int = FEATURES) -> Model:
-    """A model of a bounded (doc_id, grade, text) sample; without toxic rows it calls nothing toxic."""
+    """A model of a bounded (doc_id, grade, text) sample; without rows of both kinds it calls nothing toxic."""
     words = sample.mapInArrow(_words, "doc_id long, grade int, words array<string>").persist()
     try:
         sizes = {r.grade: r["count"] for r in words.groupBy("grade").count().collect()}
         total, bad = sum(sizes.values()), sum(n for g, n in sizes.items() if g > 0)
         if not bad or bad == total:
-            return Model({}, (np.inf, np.inf) if not bad else (-50.0, 50.0))
+            return Model({}, (np.inf, np.inf))
         seen = words.select("grade", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("bad"))
         a, b = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
         c, d = F.lit(bad) - F.col("bad") + 0.5, F.lit(total - bad) - (F.col("n") - F.col("bad")) + 0.5
