@@ -72,18 +72,23 @@ def windows_of(lines: list[tuple[str, str]], size: int = WINDOW_BYTES, overlap:
     return out
 
 
+def _request() -> Column:
+    """Messages arrive in requests of MOST_MESSAGES at most; windows and verdicts never cross one, so no group grows with a conversation."""
+    return F.floor(F.col("turn") / MOST_MESSAGES).cast("int")
+
+
 def message_windows(messages: DataFrame, size: int | None = None) -> DataFrame:
-    """(conv_id, window, first, end, memory, memory_type) of each conversation, in turn order."""
+    """(conv_id, request, window, first, end, memory, memory_type) of each request of a conversation, in turn order."""
     limit = window_size(size)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn")
         lines = [(r, f"{r}: [{t}]: {c}") for r, t, c in zip(pdf["role"], pdf["at"], pdf["content"])]
-        rows = [(pdf["conv_id"].iloc[0], i, a, b, text_, kind) for i, (a, b, text_, kind) in enumerate(windows_of(lines, limit))]
-        return pd.DataFrame(rows, columns=["conv_id", "window", "first", "end", "memory", "memory_type"])
+        rows = [(pdf["conv_id"].iloc[0], pdf["request"].iloc[0], i, a, b, text_, kind) for i, (a, b, text_, kind) in enumerate(windows_of(lines, limit))]
+        return pd.DataFrame(rows, columns=["conv_id", "request", "window", "first", "end", "memory", "memory_type"])
 
-    t = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("content", F.lit("")).alias("content"), F.date_format("chat_time", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
-    return t.groupBy("conv_id").applyInPandas(one, "conv_id long, window int, first int, end int, memory string, memory_type string")
+    t = messages.select("conv_id", _request().alias("request"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("content", F.lit("")).alias("content"), F.date_format("chat_time", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    return t.groupBy("conv_id", "request").applyInPandas(one, "conv_id long, request int, window int, first int, end int, memory string, memory_type string")
 
 
 def raw_memories(messages: DataFrame) -> DataFrame:
@@ -126,10 +131,10 @@ def content_type(conversation: Column) -> Column:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """One row a conversation: messages in turn order, and their formatted text."""
+    """One row a request of a conversation: messages in turn order, and their formatted text."""
     line = F.concat_ws("", "role", F.lit(": "), F.coalesce("content", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("content", F.lit("")).alias("content"), line.alias("line"))))
-    return messages.groupBy("conv_id").agg(ordered.alias("m")).select(
+    return messages.groupBy("conv_id", _request().alias("request")).agg(ordered.alias("m")).select(
         "conv_id", F.size("m").alias("n"), F.array_join("m.content", "\n").alias("content"), F.array_join("m.line", "\n").alias("conversation"),
         F.exists("m", lambda x: (x["role"] == "user") & (F.trim(x["content"]) != "")).alias("has_user"), F.get("m.content", F.lit(0)).alias("first"),
     )
@@ -210,12 +215,13 @@ def pack_profile(profiles: DataFrame, budget: int = 1000, by: tuple[str, ...] =
 
 
 def split_feedback(messages: DataFrame) -> DataFrame:
-    """The last user message is the feedback, what is before it the history."""
-    last = messages.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("at"))
-    t = messages.join(last, "conv_id")
+    """The last user message of a request is the feedback, what is before it the history."""
+    messages = messages.withColumn("request", _request())
+    last = messages.where("role = 'user'").groupBy("conv_id", "request").agg(F.max("turn").alias("at"))
+    t = messages.join(last, ["conv_id", "request"])
     line = F.concat_ws(": ", "role", "content")
     before = F.array_sort(F.collect_list(F.when(F.col("turn") < F.col("at"), F.struct("turn", line.alias("line")))))
-    return t.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == F.col("at"), F.col("content"))).alias("feedback"), before.alias("m")).select(
+    return t.groupBy("conv_id", "request").agg(F.max(F.when(F.col("turn") == F.col("at"), F.col("content"))).alias("feedback"), before.alias("m")).select(
         "conv_id", "feedback", F.array_join("m.line", "\n").alias("history")
     )
 

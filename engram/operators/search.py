@@ -145,8 +145,8 @@ def contradiction_penalty(results: DataFrame, edges: DataFrame, top: int = 10, l
     return results.join(bad, "id", "left").withColumn("score", F.when(F.col("bad"), hit).otherwise(F.col("score"))).drop("bad")
 
 
-def multi_hop(results: DataFrame, edges: DataFrame, memory: DataFrame, query: list[float], where: Column, depth: int = 2) -> DataFrame:
-    """Seeds plus as many neighbours at most: (cos + 1) / 2 x 0.8^hop, or the seed's score x 0.8^hop without a vector."""
+def multi_hop(results: DataFrame, edges: DataFrame, memory: DataFrame, query: list[float], where: Column, depth: int = 2, most: int = 1000) -> DataFrame:
+    """Seeds (``most`` of them at most) plus as many neighbours at most: (cos + 1) / 2 x 0.8^hop, or the seed's score x 0.8^hop without a vector."""
     seeds = results.select("id", "score")
     near = graph.k_hop(edges, seeds.select("id"), depth)
     m = memory.where(where).select("id", "embedding")
@@ -156,6 +156,7 @@ def multi_hop(results: DataFrame, edges: DataFrame, memory: DataFrame, query: li
     factor = F.pow(F.lit(scoring.HOP_DECAY), F.col("hop").cast("double"))
     rows = rows.select("id", (F.coalesce(vector.relativity(cos), F.col("seed_score")) * factor).alias("score"))
     n = F.broadcast(seeds.agg(F.count("*").alias("n_seeds")))
+    rows = rows.orderBy(F.desc("score"), "id").limit(most)  # seeds are no more, so the window below is small
     rows = rows.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).join(n, F.col("r") <= F.col("n_seeds"))
     return seeds.unionByName(rows.select("id", "score"))
 
@@ -326,7 +327,7 @@ def search(memory: DataFrame, edges: DataFrame, p: SearchParams, as_of: Column)
     found = rrf(ranked(lists))
     if p.level == "l3":
         found = graph_merge(found, tag_recall(memory, tokens, where)) if tokens else found
-        found = contradiction_penalty(multi_hop(found, edges, memory, query, where, p.hops), edges)
+        found = contradiction_penalty(multi_hop(found, edges, memory, query, where, p.hops, 3 * k), edges)
     found = threshold(apply_decay(cosine_rescore(found, memory, query), memory, as_of, p.decay_alpha), p.relativity)
     rows = found.join(memory.select("id", "memory", bucket_of(F.col("memory_type")).alias("bucket")), "id")
     return top_per_bucket(cross_source_dedupe(rows), p.top_k).select("bucket", "rank", "id", "memory", "score")

@@ -125,7 +125,7 @@ def _(t):
 
 @query("i01_windows")
 def _(t):
-    return ingest.message_windows(t.messages, 1024).select("conv_id", "window", "first", "end", "memory_type", F.octet_length("memory").alias("size"))
+    return ingest.message_windows(t.messages, 1024).select("conv_id", "request", "window", "first", "end", "memory_type", F.octet_length("memory").alias("size"))
 
 
 @query("i03_raw_add", cte("messages") + "SELECT conv_id, turn, role, trim(content) AS memory FROM messages WHERE trim(content) <> ''")
@@ -141,7 +141,7 @@ def _(t):
 
 OP, TE, FD, FN = (p.replace("'", "''") for p in (ingest.OPINION, ingest.TECHNICAL, ingest.FACT_DATE, ingest.FACT_NAME))
 CONV_SQL = cte("messages") + """, c AS (SELECT conv_id, count(*) AS n, string_agg(content, chr(10) ORDER BY turn) AS content, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS conversation,
- bool_or(role = 'user' AND trim(content) <> '') AS has_user, arg_min(content, turn) AS first FROM messages GROUP BY conv_id)"""
+ bool_or(role = 'user' AND trim(content) <> '') AS has_user, arg_min(content, turn) AS first FROM messages GROUP BY conv_id, turn // 200)"""
 
 
 @query("i07_classify", CONV_SQL + r""", k AS (SELECT *, len(regexp_extract_all(conversation, '""" + OP + r"""')) AS o, len(regexp_extract_all(conversation, '""" + TE + r"""')) AS te,
@@ -181,8 +181,8 @@ def _(t):
     return ingest.pack_profile(p, 60)
 
 
-@query("i14_feedback_split", cte("messages") + """, l AS (SELECT conv_id, max(turn) AS last_turn FROM messages WHERE role = 'user' GROUP BY conv_id)
- SELECT m.conv_id, max(content) FILTER (turn = last_turn) AS feedback, coalesce(string_agg(role || ': ' || content, chr(10) ORDER BY turn) FILTER (turn < last_turn), '') AS history FROM messages m JOIN l USING (conv_id) GROUP BY m.conv_id""")
+@query("i14_feedback_split", cte("messages") + """, l AS (SELECT conv_id, turn // 200 AS request, max(turn) AS last_turn FROM messages WHERE role = 'user' GROUP BY ALL)
+ SELECT m.conv_id, max(content) FILTER (turn = last_turn) AS feedback, coalesce(string_agg(role || ': ' || content, chr(10) ORDER BY turn) FILTER (turn < last_turn), '') AS history FROM messages m JOIN l ON m.conv_id = l.conv_id AND m.turn // 200 = l.request GROUP BY m.conv_id, l.request""")
 def _(t):
     return ingest.split_feedback(t.messages)
 
