@@ -17,6 +17,7 @@ from engram.functions import scoring, text, vector
 from engram.operators import graph
 from engram.operators.filters import scope
 from engram.schema import SKILL_TYPES, TEXT_TYPES, TOOL_TYPES
+from engram.session import materialize
 
 
 @dataclass(frozen=True)
@@ -326,8 +327,12 @@ def search(memory: DataFrame, edges: DataFrame, p: SearchParams, as_of: Column)
     lists = by_vector if p.level == "l2" else by_vector.unionByName(full_text(memory, tokens, where, k).withColumn("source", F.lit("text")))
     found = rrf(ranked(lists))
     if p.level == "l3":
-        found = graph_merge(found, tag_recall(memory, tokens, where)) if tokens else found
-        found = contradiction_penalty(multi_hop(found, edges, memory, query, where, p.hops, 3 * k), edges)
+        recalled = tag_recall(memory, tokens, where).orderBy(F.desc("score"), "id").limit(k) if tokens else None
+        found = graph_merge(found, recalled) if recalled is not None else found
+        # a few rows, read several times by the steps below: written once instead of planned again each time
+        found = materialize(found, "fused")
+        found = materialize(multi_hop(found, edges, memory, query, where, p.hops, 3 * k), "expanded")
+        found = contradiction_penalty(found, edges)
     found = threshold(apply_decay(cosine_rescore(found, memory, query), memory, as_of, p.decay_alpha), p.relativity)
     rows = found.join(memory.select("id", "memory", bucket_of(F.col("memory_type")).alias("bucket")), "id")
     return top_per_bucket(cross_source_dedupe(rows), p.top_k).select("bucket", "rank", "id", "memory", "score")
