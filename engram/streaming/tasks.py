@@ -183,9 +183,14 @@ def retry_stream(failed: DataFrame) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Process what is there and stop; the checkpoint and an idempotent handler make it exactly once."""
-    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, timers: bool = False) -> None:
+    """Process what is there and stop; the checkpoint and an idempotent handler make it exactly once.
+
+    Operators with processing-time timers always have another batch to run, so with
+    ``timers`` all data is one batch; timers fire while the query runs as a service.
+    """
+    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    q = (w.trigger(once=True) if timers else w.trigger(availableNow=True)).start()
     q.awaitTermination()
 
 

@@ -172,5 +172,5 @@ def test_buffer_stream_flushes_by_size(spark, tmp_path):
     d.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = []
     stream = tasks.buffer_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), 5, 3600)
-    tasks.run_available(stream, lambda b, _: out.extend(b.collect()), str(tmp_path / "cp"))
+    tasks.run_available(stream, lambda b, _: out.extend(b.collect()), str(tmp_path / "cp"), timers=True)
     assert [r.n for r in out] == [5, 5] and out[0].content.split("\n---\n") == ["0", "1", "2", "3", "4"]
