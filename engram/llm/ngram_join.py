@@ -13,8 +13,10 @@ The join is exact.  For every pair of different shingle sets with
 4. *Trees.*  Blocks with the same members are processed once.  A block is a tree
    whose nodes hold the OR of the token bitmaps below and their size range; a dual
    traversal drops node pairs whose maximum possible overlap is too small, and the
-   surviving leaf pairs are verified on the shared shingles.  A pair already joined
-   inside the task is skipped, so a group of n near copies gives about n links.
+   surviving leaf pairs are verified on the shared shingles.  For components alone a
+   pair already joined inside the task is skipped, so a group of n near copies gives
+   about n links.  For link counts every pair is verified, once, in the block of its
+   least common prefix shingle.
    Blocks above ``block_rows`` are dealt into slices by hash, one task a slice pair.
 5. *Components.*  Minimum-label propagation with pointer jumping over the links.
 """
@@ -43,6 +45,8 @@ BATCH_SETS = 60_000
 #: Rows that one task of the tree join reads at most for a single block.
 BLOCK_ROWS = 2048
 LEAF = 32
+#: Distinct tokens up to which a leaf's 0/1 rows are kept, and columns multiplied at once.
+WIDE = 1 << 14
 BITMAP_WORDS = 16
 
 # A dealt hash is its low 48 bits: the range that it was dealt to gives the high ones again.
@@ -50,7 +54,7 @@ _ENTRY = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2")])
 _SHARED = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2"), ("df", "<u2")])
 _DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("batch", pa.string()), ("data", pa.binary())])
 _DEALT_DDL = "part int, kind byte, batch string, data binary"
-_SETS_DDL = "doc_id long, fp binary, n_shingles long, tokens binary, rare binary"
+_SETS_DDL = "doc_id long, fp binary, n_shingles long, tokens binary, rare binary, mask binary"
 
 
 class _WordHashes(dict):
@@ -201,7 +205,7 @@ def need(n: int) -> int:
     return -(-THRESHOLD * n // 100)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("rare", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("rare", pa.binary()), ("mask", pa.binary())])
 
 
 def _prefixes(table: pa.Table) -> pa.Table:
@@ -217,7 +221,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
     prints = [bytes(x) for x in prints]
     docs = pa.array(members["doc"], pa.int64(), mask=members["null"])
     fps, ns = [prints[i] for i in members["set"]], sizes[members["set"]]
-    tables = [pa.Table.from_arrays([docs, pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.nulls(n_rows, pa.binary()), pa.nulls(n_rows, pa.binary())], schema=_SETS)]
+    tables = [pa.Table.from_arrays([docs, pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), *[pa.nulls(n_rows, pa.binary())] * 3], schema=_SETS)]
     at, part = np.flatnonzero(kind == 0), table.column("part").to_numpy()
     if len(at):
         chunks = [np.frombuffer(data[int(i)].as_buffer(), _SHARED) for i in at]
@@ -232,10 +236,12 @@ def _prefixes(table: pa.Table) -> pa.Table:
             n, m = int(sizes[i]), int(b - a)
             prefix = n - need(n) + 1 - (n - m)
             if prefix > 0:
-                got.append((prints[i], n, _planes(tokens[a:b]), tokens[a : a + prefix].tobytes()))
+                # one bit a token, in the order of the planes: whether it is in the prefix
+                mask = np.packbits(np.argsort(tokens[a:b]) < prefix).tobytes()
+                got.append((prints[i], n, _planes(tokens[a:b]), tokens[a : a + prefix].tobytes(), mask))
         if got:
-            fp, n, planes, rare = zip(*got)
-            arrays = [pa.nulls(len(got), pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(planes, pa.binary()), pa.array(rare, pa.binary())]
+            fp, n, planes, rare, mask = zip(*got)
+            arrays = [pa.nulls(len(got), pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(planes, pa.binary()), pa.array(rare, pa.binary()), pa.array(mask, pa.binary())]
             tables.append(pa.Table.from_arrays(arrays, schema=_SETS))
     return pa.concat_tables(tables)
 
@@ -349,8 +355,96 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
 
+def _rows_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of ``sets``, sorted, and a 0/1 row over them for each set."""
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.zeros((len(sets), len(tokens)), "u1")
+    rows[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at] = 1
+    return tokens, rows
+
+
+class _Leaves:
+    """The 0/1 rows of a tree's leaves; wide ones are made anew each time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.kept = sets, {}
+
+    def rows(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self.kept.get(lo)
+        if found is None:
+            found = _rows_of(self.sets[lo:hi])
+            if len(found[0]) <= WIDE:
+                self.kept[lo] = found
+        return found
+
+
+def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The overlap of each set of one leaf with each of another."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    out = np.zeros((len(x[1]), len(y[1])), "<i8")
+    for k in range(0, len(i), WIDE):
+        out += (x[1][:, i[k : k + WIDE]].astype("<f4") @ y[1][:, j[k : k + WIDE]].astype("<f4").T).astype("<i8")
+    return out
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """One block: links (a, b) that join every linkable pair of it, and rows (a, null, n) with a set's links.
+
+    Both are over the pairs whose least common prefix shingle is the block's; ``n``
+    weighs a link by the copies of its other end.
+    """
+    token, lo, hi = (table.column(c)[0].as_py() for c in ("token", "lo", "hi"))
+    fps = table.column("fp").to_pylist()
+    sizes, side, copies = (table.column(c).to_numpy() for c in ("n_shingles", "side", "copies"))
+    order = np.lexsort((np.array(fps, "S16"), sizes))
+    data, masks = table.column("tokens"), table.column("mask")
+    trees, ids, leaves, lower = [], [], [], []
+    for s in (0,) if lo == hi else (0, 1):
+        rows = np.array([i for i in order if side[i] == s], int)
+        sets = [_tokens(data[int(i)].as_buffer()) for i in rows]
+        before = []
+        for i, t in zip(rows, sets):
+            t = t[np.unpackbits(np.frombuffer(masks[int(i)].as_buffer(), "u1"), count=len(t)).view("?")]
+            before.append(t[t.view("<i8") < token])
+        trees.append(SignatureTree(sets, sizes[rows]))
+        ids.append(rows)
+        leaves.append(_Leaves(sets))
+        lower.append(_Leaves(before))
+    same = lo == hi
+    (a, b), (mine, others) = (trees[0], trees[-1]), (ids[0], ids[-1])
+    n, label = np.zeros(len(fps), "<i8"), np.arange(len(fps))
+    found: list[tuple[bytes, bytes]] = []
+    for x, x2, y, y2 in dual_traversal(a, b):
+        sx, sy = a.sizes[x:x2, None], b.sizes[None, y:y2]
+        common = np.bitwise_count(a.bits[x:x2, None] & b.bits[None, y:y2]).sum(2, dtype=int)
+        short = common + np.minimum(a.spare[x:x2, None], b.spare[None, y:y2])
+        near = (short * (100 + THRESHOLD) >= THRESHOLD * (sx + sy)) & (100 * sy >= THRESHOLD * sx) & (100 * sx >= THRESHOLD * sy)
+        if same:
+            near &= np.arange(y, y2)[None] > np.arange(x, x2)[:, None]
+        if near.any():
+            near &= _overlaps(lower[0].rows(x, x2), lower[-1].rows(y, y2)) == 0
+        if not near.any():
+            continue
+        both = _overlaps(leaves[0].rows(x, x2), leaves[-1].rows(y, y2))
+        i, j = np.nonzero(near & (100 * both >= THRESHOLD * (sx + sy - both)))
+        p, q = mine[x + i], others[y + j]
+        np.add.at(n, p, copies[q])
+        np.add.at(n, q, copies[p])
+        while len(p):
+            apart = label[p] != label[q]
+            p, q = p[apart], q[apart]
+            if len(p):
+                found.append((fps[p[0]], fps[q[0]]))
+                label[label == label[q[0]]] = label[p[0]]
+    some = np.flatnonzero(n)
+    first = [x for x, _ in found] + [fps[i] for i in some]
+    return pa.Table.from_arrays(
+        [pa.array(first, pa.binary()), pa.array([y for _, y in found] + [None] * len(some), pa.binary()), pa.array([None] * len(found) + n[some].tolist(), pa.int64())], names=["a", "b", "n"]
+    )
+
+
 def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (doc_id, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, rare) with null doc_id and set tokens for each set that can have a partner."""
+    """A row (doc_id, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, rare, mask) with null doc_id and set tokens for each set that can have a partner."""
     size = input_bytes(docs)
     if size > 1 << 50:  # not known to the optimizer, or multiplied up by it
         size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
@@ -361,9 +455,16 @@ def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialize(shared.groupBy("batch").applyInArrow(_prefixes, _SETS_DDL), "sets")
 
 
-def jaccard_links(sets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Verified links (a, b) between set fingerprints; enough of them to join every linkable pair."""
-    able = materialize(sets.where(F.col("tokens").isNotNull()).dropDuplicates(["fp"]).select("fp", "n_shingles", "tokens", "rare"), "able")
+def jaccard_links(sets: DataFrame, block_rows: int = BLOCK_ROWS, counted: bool = False) -> DataFrame:
+    """Verified links (a, b) between set fingerprints; enough of them to join every linkable pair.
+
+    With ``counted`` every pair is verified, and rows (a, null, n), several a set, add
+    up to the documents of other sets that the set ``a`` links with.
+    """
+    able = sets.where(F.col("tokens").isNotNull()).dropDuplicates(["fp"]).select("fp", "n_shingles", "tokens", "rare", *(["mask"] if counted else []))
+    if counted:
+        able = able.join(sets.where(F.col("tokens").isNull()).groupBy("fp").agg(F.count("*").alias("copies")), "fp")
+    able = materialize(able, "able")
     keys = able.select("fp", "n_shingles", "rare").mapInArrow(_explode, "token long, fp binary, n long")
     keys = materialize(keys, "keys")
     seal = F.xxhash64("fp")
@@ -380,7 +481,9 @@ def jaccard_links(sets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     rows = rows.withColumn("k", k).withColumn("mine", mine)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "fp")
-    full = rows.join(able.select("fp", "n_shingles", "tokens"), "fp")
+    full = rows.join(able.drop("rare"), "fp")
+    if counted:
+        return full.groupBy("token", "lo", "hi").applyInArrow(_counted, "a binary, b binary, n long")
     return full.groupBy("token", "lo", "hi").applyInArrow(_links, "a binary, b binary")
 
 
@@ -393,16 +496,34 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result.
     """
     sets = sets_table(docs, id_col, text_col)
-    links = materialize(jaccard_links(sets, block_rows), "links")
+    return _members(sets, materialize(jaccard_links(sets, block_rows), "links")).drop("copies", "fp")
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of ``ngram_components`` and ``n_links``: the other rows whose shingles link with the row's.
+
+    Rows of equal shingles link too; blank rows have no link.
+    """
+    sets = sets_table(docs, id_col, text_col)
+    found = materialize(jaccard_links(sets, block_rows, True), "links")
+    n = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n"))
+    rows = _members(sets, found.where(F.col("b").isNotNull()).select("a", "b"), n)
+    linked = F.when(F.col("n_shingles") > 0, F.col("copies") - 1 + F.coalesce("n", F.lit(0))).otherwise(0)
+    return rows.select("doc_id", "n_shingles", "component_id", linked.alias("n_links"))
+
+
+def _members(sets: DataFrame, links: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """(doc_id, fp, n_shingles, copies, component_id) for every document, and the columns that ``extra`` has by fp."""
     labels = connected_components(links)
     members = sets.where(F.col("tokens").isNull()).select("doc_id", "fp", "n_shingles")
-    firsts = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = firsts.join(labels, firsts.fp == labels.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    rooted = firsts.join(labels, firsts.fp == labels.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    ids = rooted.join(least, "root").select("fp", "least")
-    return members.join(ids, "fp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    ids = rooted.join(least, "root").select("fp", "least", "copies")
+    if extra is not None:
+        ids = ids.join(extra, "fp", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+    return members.join(ids, "fp", "left").select("doc_id", "fp", "n_shingles", "copies", component, *([] if extra is None else ["n"]))
 
 
 def near_duplicate_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

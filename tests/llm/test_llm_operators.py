@@ -215,3 +215,22 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {61, 62, 50}.isdisjoint(ids) and set(range(12)) <= ids and 51 not in ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "secrets", "packing"]
+
+
+@pytest.mark.parametrize("block_rows", [2048, 3])
+def test_link_counts_equal_brute_force(spark, block_rows):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join(w if i != 9 * k else f"edit{k}" for i, w in enumerate(words))) for k in range(12)]  # all pairs link
+    rows += [(20 + k, " ".join(words[: 60 + 4 * k])) for k in range(12)]  # a chain, not all pairs of which link
+    rows += [(40 + k, rows[3][1]) for k in range(3)] + [(50, None), (51, " "), (52, "alone here"), (None, rows[3][1])]
+    rows += [(100 + k, " ".join(f"x{(i * i + 7 * k * (i % 11 == k % 11)) % 90}" for i in range(80))) for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.ngram_join(d, block_rows=block_rows).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    want = [(d, sum(i != j and bool(s) and 100 * len(s & o) >= 80 * len(s | o) for j, o in enumerate(sets))) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == sorted(want, key=repr)
+    assert dict(want)[3] > 11 and any(0 < n < 11 for _, n in want)
