@@ -110,8 +110,8 @@ def compact(memory: DataFrame, at: int = COMPACT_AT, keep: int = COMPACT_KEEP) -
     return t.groupBy("user_name").agg(joined.alias("memory"), F.count("*").alias("n")).withColumn("memory_type", F.lit("EpisodicMemory"))
 
 
-def refresh_working(memory: DataFrame, query: list[float], where: Column, k: int = 10, least: float = 0.60) -> DataFrame:
-    """Long-term rows close to the query as new working rows, bound to their source."""
+def refresh_working(memory: DataFrame, query: list[float], where: Column, k: int | None = 10, least: float = 0.60) -> DataFrame:
+    """Long-term rows close to the query (the ``k`` closest, if given) as new working rows, bound to their source."""
     near = search.knn(memory, query, where, k, least)
     t = near.join(memory.select("id", "user_name", "memory"), "id")
     return t.select(F.concat(F.lit("w-"), "id").alias("id"), "user_name", "memory", F.lit("WorkingMemory").alias("memory_type"), F.concat(F.lit("[working_binding:"), F.col("id"), F.lit("]")).alias("background"), "score")

@@ -72,20 +72,21 @@ def inflated_k(k: int, dedup: str) -> int:
 # -- candidate lists ------------------------------------------------------
 
 
-def knn(memory: DataFrame, query: list[float], where: Column, k: int, min_score: float | None = None) -> DataFrame:
-    """Exact filtered nearest neighbours of one vector: (id, score)."""
+def knn(memory: DataFrame, query: list[float], where: Column, k: int | None, min_score: float | None = None) -> DataFrame:
+    """Exact filtered nearest neighbours of one vector: (id, score); all rows, unordered, without ``k``."""
     scored = memory.where(where & F.col("embedding").isNotNull()).select("id", vector.cosine(F.col("embedding"), vector.literal(query)).alias("score"))
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def full_text(memory: DataFrame, tokens: list[str], where: Column, k: int) -> DataFrame:
-    """Rows that hold a query token, by damped term frequency: (id, score)."""
+def full_text(memory: DataFrame, tokens: list[str], where: Column, k: int | None) -> DataFrame:
+    """Rows that hold a query token, by damped term frequency: (id, score); all rows, unordered, without ``k``."""
     query = F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>")
     words = text.lexemes(F.col("memory"))
     rows = memory.where(where).select("id", words.alias("words")).where(F.arrays_overlap("words", query))
-    return rows.select("id", text.text_rank(F.col("words"), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    scored = rows.select("id", text.text_rank(F.col("words"), query).alias("score"))
+    return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
 
 
 def key_recall(memory: DataFrame, tokens: list[str], where: Column) -> DataFrame:

@@ -277,7 +277,7 @@ def _(t):
 
 @query("b08_refresh_working", cte("memory", "q") + f"SELECT 'w-' || id AS id, '[working_binding:' || id || ']' AS background FROM memory, q WHERE {ACTIVE} AND embedding IS NOT NULL AND {COS_SQL.format(a='embedding', b='v')} >= 0.05")
 def _(t):
-    return maintain.refresh_working(t.memory, t.vector(), filters.scope(CUBE), 1000, 0.05).select("id", "background")
+    return maintain.refresh_working(t.memory, t.vector(), filters.scope(CUBE), None, 0.05).select("id", "background")
 
 
 @query("b09_clean_text", M + r"SELECT id, strlen(memory) >= 10 AND NOT regexp_matches(memory, '^[\[{`]') AND NOT contains(memory, '```') AND NOT contains(memory, chr(10) || chr(10) || chr(10)) AND len(string_split_regex(trim(memory), '\s+')) >= 8 AS clean FROM memory")

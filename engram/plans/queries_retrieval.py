@@ -129,8 +129,8 @@ LISTS_SQL = MQ + f""", c AS (SELECT id, 'vector' AS source, {COS} AS score FROM
 
 def _lists(t):
     w = filters.scope(CUBE)
-    v = search.knn(t.memory, t.vector(), w, 1000).withColumn("source", F.lit("vector"))
-    x = search.full_text(t.memory, TOKENS, w, 1000).withColumn("source", F.lit("text"))
+    v = search.knn(t.memory, t.vector(), w, None).withColumn("source", F.lit("vector"))
+    x = search.full_text(t.memory, TOKENS, w, None).withColumn("source", F.lit("text"))
     return search.ranked(v.unionByName(x).withColumn("score", F.round("score", 9)))
 
 
