@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from engram.functions import vector
+from engram.operators import pairs
 from engram.session import materialize
 
 
@@ -134,11 +134,11 @@ def tenant_edges(edges: DataFrame, memory: DataFrame, cube: str) -> DataFrame:
     return e.join(m, F.col("to_id") == F.col("id"), "left_semi")
 
 
-def resolve_entities(new: DataFrame, known: DataFrame, least: float = 0.92) -> DataFrame:
+def resolve_entities(new: DataFrame, known: DataFrame, least: float = 0.92, block: int = pairs.BLOCK) -> DataFrame:
     """(name, id): the nearest known entity of the cube, or the normalised name as a new id."""
-    k = known.select("user_name", F.col("id").alias("known_id"), F.col("embedding").alias("known_vector"))
-    pairs = new.join(k, "user_name").withColumn("cos", vector.cosine(F.col("embedding"), F.col("known_vector"))).where(F.col("cos") >= least)
-    best = pairs.groupBy("user_name", "name").agg(F.max(F.struct("cos", "known_id")).alias("b")).select("user_name", "name", F.col("b.known_id").alias("known_id"))
+    n = new.select(F.col("user_name").alias("grp"), F.col("name").alias("id"), F.col("embedding").alias("v"))
+    k = known.select(F.col("user_name").alias("grp"), "id", F.col("embedding").alias("v"))
+    best = pairs.nearest(n, k, least, block).select(F.col("grp").alias("user_name"), F.col("id").alias("name"), F.col("other").alias("known_id"))
     own = F.lower(F.trim("name"))
     return new.join(best, ["user_name", "name"], "left").select("user_name", "name", F.coalesce("known_id", own).alias("id"), F.col("known_id").isNotNull().alias("merged"))
 

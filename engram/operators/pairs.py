@@ -1,4 +1,4 @@
-"""Vector pair joins: all pairs above a cosine, and top-k neighbours of each row.
+"""Vector pair joins: all pairs above a cosine, top-k neighbours of each row, and the nearest row of another table.
 
 Rows of a group (tenant) are dealt into blocks; a task multiplies one pair of blocks
 as matrices, so memory is bounded by the block size and a hot tenant becomes many
@@ -91,3 +91,39 @@ def top_neighbours(rows: DataFrame, k: int, least: float = -1.0, group: str | No
     found = _blocks(base, block).groupBy("grp", "lo", "hi").applyInArrow(multiply, "from_id string, to_id string, score double")
     w = Window.partitionBy("from_id").orderBy(F.desc(F.round("score", 9)), "to_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(rows: DataFrame, others: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(grp, id, other, score): the row of ``others`` of the group with the largest cosine, if that reaches ``least``.
+
+    Both tables are (grp, id, v); rows of one id share a result.  Ties, to nine
+    digits, fall to the greatest id; vectors of different lengths don't match.
+    """
+
+    def multiply(table: pa.Table) -> pa.Table:
+        a, x = _matrix(table, 0)
+        b, y = _matrix(table, 1)
+        grp = table.column("grp")[0].as_py()
+        out: list[tuple] = []
+        if len(a) and len(b):
+            order = np.argsort(b, kind="stable")[::-1]
+            b = b[order]
+            s = x @ y[order].T
+            best = np.round(s, 9).argmax(1)
+            score = s[np.arange(len(a)), best]
+            out = [(grp, a[i], b[best[i]], float(score[i])) for i in np.flatnonzero(score >= least)]
+        cols = list(zip(*out)) if out else [(), (), (), ()]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("grp", "id", "other", "score"), cols, (*[pa.string()] * 3, pa.float64()))})
+
+    sides = [t.where("grp IS NOT NULL AND v IS NOT NULL").select("grp", F.size("v").alias("dim"), "id", "v") for t in (rows, others)]
+    k = [t.groupBy("grp", "dim").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias(f"k{i}")) for i, t in enumerate(sides)]
+    k = k[0].join(k[1], ["grp", "dim"])
+    dealt = []
+    for i, t in enumerate(sides):
+        mine, other = F.pmod(F.xxhash64("id", "v"), F.col(f"k{i}")).alias("ab"[i]), F.explode(F.sequence(F.lit(0), F.col(f"k{1 - i}") - 1)).alias("ba"[i])
+        dealt.append(t.join(k, ["grp", "dim"]).select("grp", "dim", mine, other, F.lit(i).alias("side"), "id", "v").select("grp", "dim", "a", "b", "side", "id", "v"))
+    # one key, so that rows already dealt by grp are dealt anew: a hot group becomes many tasks
+    task = F.struct("grp", "dim", "a", "b").alias("task")
+    found = dealt[0].unionByName(dealt[1]).select("grp", task, "side", "id", "v").groupBy("task").applyInArrow(multiply, "grp string, id string, other string, score double")
+    best = F.max(F.struct(F.round("score", 9).alias("r"), "other", "score")).alias("best")
+    return found.groupBy("grp", "id").agg(best).select("grp", "id", "best.other", "best.score")

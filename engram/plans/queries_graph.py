@@ -107,8 +107,9 @@ def _(t):
 
 @query("g10_entity_resolution")
 def _(t):
-    known = t.memory.where("doc_id % 10 = 0 AND embedding IS NOT NULL").select("user_name", "id", "embedding")
-    new = t.memory.where("doc_id % 10 = 5 AND embedding IS NOT NULL").select("user_name", F.concat(F.lit(" Name "), F.col("doc_id")).alias("name"), "embedding")
+    # every row with a vector takes part: even ids are the known entities, odd ones the new names
+    known = t.memory.where("doc_id % 2 = 0 AND embedding IS NOT NULL").select("user_name", "id", "embedding")
+    new = t.memory.where("doc_id % 2 = 1 AND embedding IS NOT NULL").select("user_name", F.concat(F.lit(" Name "), F.col("doc_id")).alias("name"), "embedding")
     return graph.resolve_entities(new, known, 0.2)
 
 

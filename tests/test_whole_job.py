@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import duck, rows_of, sql_rows
+from engram.operators import graph
 
 
 def write_tables(spark, folder, docs, vectors, lang="en", quality=1):
@@ -31,3 +32,33 @@ def big_cube(spark, tmp_path_factory):
 def test_a_cube_of_more_than_1000_rows_equals_sql(spark, big_cube, name):
     got = rows_of(entry.queries()[name](spark, big_cube))
     assert got == sql_rows(duck(big_cube), entry.oracle_sql()[name]) and len(got[1]) > 1000
+
+
+def brute_entities(new, known, least):
+    """(user_name, name) -> the known id of the largest cosine, the greatest id of several."""
+    unit = lambda v: np.asarray(v, float) / (np.linalg.norm(v) or 1)
+    out = {}
+    for g, name, v in new:
+        found = [(round(float(unit(v) @ unit(w)), 9), i) for h, i, w in known if g == h and g is not None and len(v) == len(w)]
+        found = [x for x in found if x[0] >= least]
+        out[g, name] = max(found)[1] if found else name.strip().lower()
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_entities_equal_brute_force(spark, block):
+    rng = np.random.default_rng(2)
+    known = [(f"g{i % 3}", f"k{i}", rng.normal(size=4).tolist()) for i in range(90)] + [("g0", "twin1", [1.0, 0.0, 0.0, 0.0]), ("g0", "twin2", [2.0, 0.0, 0.0, 0.0]), (None, "nobody", [1.0, 0.0, 0.0, 0.0]), ("g1", "short", [1.0])]
+    new = [(f"g{i % 4}", f" Name {i}", rng.normal(size=4).tolist()) for i in range(80)] + [("g0", "Twin", [3.0, 0.0, 0.0, 0.0]), (None, "Lost", [1.0, 0.0, 0.0, 0.0]), ("g1", "Zero", [0.0] * 4)]
+    got = graph.resolve_entities(spark.createDataFrame(new, "user_name string, name string, embedding array<double>"), spark.createDataFrame(known, "user_name string, id string, embedding array<double>"), 0.8, block).collect()
+    want = brute_entities(new, known, 0.8)
+    assert len(got) == len(new) and {(r.user_name, r.name): r.id for r in got} == want and want["g0", "Twin"] == "twin2"
+    assert all(r.merged == (r.id != r.name.strip().lower()) for r in got)
+
+
+def test_entity_resolution_reads_every_row(spark, big_cube):
+    rows = spark.read.parquet(f"{big_cube}/embeddings.parquet").collect()
+    known = [("src0", f"m{r.vec_id}", r.embedding) for r in rows if r.vec_id % 2 == 0]
+    new = [("src0", f" Name {r.vec_id}", r.embedding) for r in rows if r.vec_id % 2]
+    got = entry.queries()["g10_entity_resolution"](spark, big_cube).collect()
+    assert len(got) == 650 and {(r.user_name, r.name): r.id for r in got} == brute_entities(new, known, 0.2)
