@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import scoring, text, vector
-from engram.operators import graph
+from engram.operators import dedup, graph
 from engram.operators.filters import scope
 from engram.schema import SKILL_TYPES, TEXT_TYPES, TOOL_TYPES
 from engram.session import materialize
@@ -34,6 +34,7 @@ class SearchParams:
     dedup: str = "no"
     mmr_lambda: float = 0.7
     decay_alpha: float = scoring.DECAY_ALPHA
+    importance: bool = False
     level: str = "l3"
     num_stages: int = 0
     llm_rerank: bool = False
@@ -172,6 +173,13 @@ def cosine_rescore(results: DataFrame, memory: DataFrame, query: list[float]) ->
     return results.join(memory.select("id", "embedding"), "id", "left").withColumn("score", F.coalesce(vector.relativity(cos), F.col("score"))).drop("embedding")
 
 
+def apply_importance(results: DataFrame, memory: DataFrame, as_of: Column, alpha: float = scoring.DECAY_ALPHA) -> DataFrame:
+    """score := score x recency x importance x tier x PageRank, instead of ``apply_decay``."""
+    m = memory.select("id", "updated_at", "access_count", "hierarchy_level", "pagerank", "memory_type")
+    s = scoring.importance_decay(F.col("score"), F.col("updated_at"), as_of, F.col("access_count"), F.col("hierarchy_level"), F.col("pagerank"), F.col("memory_type"), alpha)
+    return results.join(m, "id", "left").select("id", s.alias("score"))
+
+
 def apply_decay(results: DataFrame, memory: DataFrame, as_of: Column, alpha: float = scoring.DECAY_ALPHA) -> DataFrame:
     m = memory.select("id", "updated_at", "memory_type")
     return results.join(m, "id", "left").withColumn("score", scoring.decay(F.col("score"), F.col("updated_at"), as_of, F.col("memory_type"), alpha)).drop("updated_at", "memory_type")
@@ -229,6 +237,22 @@ def top_per_bucket(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def drop_near_copies(rows: DataFrame, p: SearchParams) -> DataFrame:
+    """Candidates (id, memory, bucket, score, embedding) less what ``p.dedup`` drops.
+
+    'sim' selects among texts, 'mmr' among texts and preferences, ``top_k`` of each;
+    the other buckets lose equal texts only, in ``cross_source_dedupe``.
+    """
+    if p.dedup not in ("sim", "mmr"):
+        return rows
+    buckets = ["text"] if p.dedup == "sim" else ["text", "pref"]
+    lam = p.mmr_lambda if 0 < p.mmr_lambda <= 1 else SearchParams.mmr_lambda
+    rows = materialize(rows, "candidates")  # a few rows, read twice
+    c = rows.where(F.col("bucket").isin(*buckets)).select(F.lit(0).cast("long").alias("query_id"), "id", "memory", F.col("bucket").alias("kind"), F.lit(0).alias("bucket"), "score", "embedding")
+    chosen = dedup.select_by_query(c, p.dedup, p.top_k, p.top_k, list(p.vector), lam)
+    return rows.where(~F.col("bucket").isin(*buckets)).unionByName(rows.join(chosen.select("id"), "id", "left_semi"))
+
+
 def item_projection(memory: DataFrame) -> DataFrame:
     """The response row: no sources, blank embedding, short reference, default counter."""
     ref = F.concat(F.lit("["), F.get(F.split("id", "-"), F.lit(0)), F.lit("]"))
@@ -334,6 +358,7 @@ def search(memory: DataFrame, edges: DataFrame, p: SearchParams, as_of: Column)
         found = materialize(found, "fused")
         found = materialize(multi_hop(found, edges, memory, query, where, p.hops, 3 * k), "expanded")
         found = contradiction_penalty(found, edges)
-    found = threshold(apply_decay(cosine_rescore(found, memory, query), memory, as_of, p.decay_alpha), p.relativity)
-    rows = found.join(memory.select("id", "memory", bucket_of(F.col("memory_type")).alias("bucket")), "id")
-    return top_per_bucket(cross_source_dedupe(rows), p.top_k).select("bucket", "rank", "id", "memory", "score")
+    rescore = apply_importance if p.importance else apply_decay
+    found = threshold(rescore(cosine_rescore(found, memory, query), memory, as_of, p.decay_alpha), p.relativity)
+    rows = found.join(memory.select("id", "memory", bucket_of(F.col("memory_type")).alias("bucket"), "embedding"), "id")
+    return top_per_bucket(cross_source_dedupe(drop_near_copies(rows, p)), p.top_k).select("bucket", "rank", "id", "memory", "score")

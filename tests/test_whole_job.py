@@ -6,10 +6,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import duck, rows_of, sql_rows
-from engram.operators import graph
+from engram.operators import graph, search
+from engram.plans.adapter import CUBE, Tables
 
 
 def write_tables(spark, folder, docs, vectors, lang="en", quality=1):
@@ -62,3 +64,36 @@ def test_entity_resolution_reads_every_row(spark, big_cube):
     new = [("src0", f" Name {r.vec_id}", r.embedding) for r in rows if r.vec_id % 2]
     got = entry.queries()["g10_entity_resolution"](spark, big_cube).collect()
     assert len(got) == 650 and {(r.user_name, r.name): r.id for r in got} == brute_entities(new, known, 0.2)
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark, tmp_path_factory):
+    """40 near copies of one text beside the query's vector, and 120 other texts farther away."""
+    rng, folder = np.random.default_rng(9), tmp_path_factory.mktemp("copies")
+    same = "the river runs along the old stone wall of the town and on to the sea, says note"
+    docs, vectors = [], []
+    for i in range(160):
+        copy = i % 4 == 0
+        docs.append((i, f"{same} {i}" if copy else " ".join(str(x) for x in rng.integers(10**9, size=12)), CUBE))
+        vectors.append((i, np.eye(16)[0] + rng.normal(size=16) * (0.001 if copy else 0.5)))
+    write_tables(spark, folder, docs, vectors)
+    return str(folder), {f"m{i}" for i in range(0, 160, 4)}, {f"m{i}": v for i, v in vectors}
+
+
+def test_full_search_drops_near_copies(spark, near_copies):
+    folder, copies, _ = near_copies
+    got = [r.id for r in entry.queries()["r01_full_search"](spark, folder).where("bucket = 'text'").collect()]
+    assert len(got) == len(set(got)) == 10 and len(copies & set(got)) == 1
+
+
+def test_search_by_similarity_and_importance(spark, near_copies):
+    folder, copies, vectors = near_copies
+    t = Tables(spark, folder)
+    given = {"query": "the en src0 q1", "vector": tuple(t.vector()), "cubes": (CUBE,), "top_k": 10}
+    run = lambda **kw: search.search(t.memory, t.edges, search.resolve_params(given | kw), F.timestamp_seconds(F.lit(1_706_745_600))).where("bucket = 'text'").collect()
+    plain = run(dedup="no")
+    assert len(copies & {r.id for r in plain}) > 1
+    ids = [r.id for r in run(dedup="sim")]
+    unit = {i: vectors[i] / np.linalg.norm(vectors[i]) for i in ids}
+    assert len(ids) == 10 and all(unit[a] @ unit[b] <= 0.92 + 1e-6 for a in ids for b in ids if a < b)
+    assert [r.score for r in run(dedup="no", importance=True)] != [r.score for r in plain]
