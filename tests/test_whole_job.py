@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import duck, rows_of, sql_rows
-from engram.operators import graph, search
+from engram.operators import dedup, graph, search
 from engram.plans.adapter import CUBE, Tables
 
 
@@ -97,3 +97,12 @@ def test_search_by_similarity_and_importance(spark, near_copies):
     unit = {i: vectors[i] / np.linalg.norm(vectors[i]) for i in ids}
     assert len(ids) == 10 and all(unit[a] @ unit[b] <= 0.92 + 1e-6 for a in ids for b in ids if a < b)
     assert [r.score for r in run(dedup="no", importance=True)] != [r.score for r in plain]
+
+
+def test_text_similarity_reads_whole_texts(spark, tmp_path):
+    rng, head = random.Random(4), "the first sixty characters of all these texts are quite the same "
+    texts = [head + "".join(rng.choice("abcdefghij klmnop") for _ in range(300)) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: r.similarity for r in entry.queries()["tx08_text_similarity"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({i: dedup.text_similarity(texts[i], texts[i + 1]) for i in range(19)}, abs=1e-6)
+    assert all(v < 1 for v in got.values())
