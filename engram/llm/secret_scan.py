@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """``head`` + ``body``; a match counts if its body (or all of it, without a head) has ``least`` characters.
+    """``head`` + ``body``, and ``tail``, which may match nothing; a match counts if its body (or all of it, without a head) has ``least`` characters.
 
     Syntax: literals, ``\\xHH`` and escaped characters, ``[...]`` with ranges and ``^``,
     groups, ``|``, ``?``, ``*``, ``+``, ``{n}``, ``{n,}``.  ASCII letters of ``head``
@@ -35,6 +35,7 @@ class Rule:
     least: int
     head: str = ""
     any_case: bool = False
+    tail: str = ""
 
 
 #: The base kinds, in the order that ties follow.
@@ -43,9 +44,17 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 18),
     Rule("hex", "[0-9a-f]{16,}", 16),
 )
+#: A line break of a key, also an escaped one, or spaces where a key is put on one line.
+_BREAK = r"(\x0d?\x0a[\x20\x09]*|\\n|\x20+)"
+#: A key below its BEGIN line: headers, base64 lines and the END line.  Without that
+#: line the body ends with the last long base64 line, or a short one that is padded.
+_KEY_BODY = (
+    rf"(({_BREAK}(Proc-Type|DEK-Info):[\x20-~]*)+{_BREAK})?({_BREAK}[A-Za-z0-9+/=]{{16,}})*"
+    rf"({_BREAK}[A-Za-z0-9+/]+=+|({_BREAK}[A-Za-z0-9+/=]+)?{_BREAK}-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----)?"
+)
 #: What the operator finds besides.
 MORE = (
-    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 1),
+    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 1, tail=_KEY_BODY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 32),
     Rule("git_token", r"(ghp|gho|ghu|ghs|ghr|glpat)[_-][A-Za-z0-9_-]+", 24),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 20),
@@ -276,7 +285,8 @@ class Scanner:
         self.rules = rules
         whole = [("cat", parse(r.head, r.any_case), parse(r.body)) for r in rules]
         self.backward = compile_rules([mirrored(x) for x in whole], True)
-        self.forward = [compile_rules([x], False) for x in whole]
+        # tails don't move a start, so only the automata that read the ends have them
+        self.forward = [compile_rules([("cat", x, parse(r.tail)) if r.tail else x], False) for x, r in zip(whole, rules)]
         self.heads = [compile_rules([parse(r.head, r.any_case)], False) if r.head else None for r in rules]
 
     def starts(self, data: bytes) -> list[tuple[int, int]]:
