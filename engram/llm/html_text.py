@@ -1,11 +1,13 @@
 """Main-text extraction by composite text density.
 
-A page becomes a small DOM.  Boilerplate elements (navigation, page headers and
-footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are
-cut off, then every node gets its link-adjusted characters per tag and the sum of
-its children's.  The subtree with the largest sum is the article's core; on its path
-up to the body, sibling subtrees join it when their density reaches the threshold,
-the least density on that path.
+A page becomes a small DOM.  Every node gets its link-adjusted characters per tag,
+the composite density, and the sum of its children's densities.  Characters of page
+furniture (elements that their tag, role or class names as navigation, footers,
+adverts, forms, comments and the like) count as link characters, so furniture has
+density 0 without being cut off first.  The subtree with the largest sum is the
+article's core.  The least density on the path from it up to the body is the
+threshold: on that path sibling subtrees join the core when their density reaches
+it, and inside what is chosen, furniture and lists of links below it go.
 """
 
 from __future__ import annotations
@@ -26,19 +28,25 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements that never hold article text.
-CUT = frozenset(
-    "nav footer aside form script style noscript template textarea title head iframe object embed applet canvas svg math button select input option "
-    "datalist dialog menu audio video map frameset noembed noframes xmp label output progress meter".split()
-)
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words that name boilerplate in a class or an id.
-HINTS = frozenset(
+#: Elements whose content is not text of the page.
+HIDDEN = frozenset("script style noscript template textarea title head iframe object embed applet canvas svg audio video map frameset noembed noframes xmp datalist".split())
+#: Elements that are page furniture by their name.
+FURNITURE = frozenset("nav footer aside form button select input option dialog menu label output progress meter".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Words of a class or an id that name reader comments, and other furniture.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+HINTS = COMMENT_WORDS | frozenset(
     "nav navbar navigation menu submenu header masthead topbar footer sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising "
     "adsbygoogle adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification disclaimer alert popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending "
-    "comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager toolbar search skip".split()
+    "breadcrumb breadcrumbs pagination pager toolbar search skip".split()
 )
+#: A class or id is not believed on an element that holds the page's h1, or more than this share of its plain text and all its articles.
+MOST = 1 / 2
+#: A list inside the article is a menu from so many links on, if its density is below the threshold.
+MENU_LINKS = 3
+#: Elements of running text.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 KEEP = frozenset("html body main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: An open element that a new one of the listed names ends.
@@ -62,35 +70,39 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "mark", "noise", "keeps", "articles", "chars", "plain", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids, self.cut = tag, parent, [], False
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.tag, self.parent, self.kids = tag, parent, []
+        #: why it may be furniture: '' not at all, 'tag' certainly, 'words' by its class, 'comments'
+        self.mark = ""
+        self.noise = self.keeps = False
+        self.articles = self.chars = self.plain = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in CUT:
-        return True
+def _mark(tag: str, attributes: str) -> str:
+    if tag in FURNITURE:
+        return "tag"
     if tag in KEEP or not attributes:
-        return False
+        return ""
+    found = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.strip().lower() in CUT_ROLES:
-            return True
+            return "tag"
+        if name == "role" and value.strip().lower() in FURNITURE_ROLES:
+            return "tag"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "tag"
         if name in ("class", "id"):
             for token in value.split():
                 words = [w.lower() for w in _SPLIT.split(_CAMEL.sub("-", token)) if w]
                 if words and words[0] not in ("has", "no", "with", "without", "is", "js") and not HINTS.isdisjoint(words):
                     if tag == "article" and HINTS.isdisjoint(words[-1:]):
                         continue
-                    return True
-    return False
+                    found = "comments" if found == "comments" or not COMMENT_WORDS.isdisjoint(words) else "words"
+    return found
 
 
 def parse_dom(page: str) -> Node:
@@ -138,8 +150,9 @@ def parse_dom(page: str) -> Node:
             at.kids.append(None)
             continue
         node = Node(tag, at)
-        node.cut = _is_boilerplate(tag, m[3])
-        at.kids.append(node)
+        node.mark = _mark(tag, m[3])
+        if tag not in HIDDEN:
+            at.kids.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -151,84 +164,147 @@ def parse_dom(page: str) -> Node:
     return root
 
 
-def _measure(node: Node) -> None:
-    """Counts and densities of a tree without what is cut, leaves first."""
-    order, todo = [], [node]
+def _length(text: str) -> int:
+    """Characters of a text node, 0 if blank."""
+    return len(html.unescape(text) if "&" in text else text) if not text.isspace() else 0
+
+
+def _tree(body: Node) -> list[Node]:
+    """All nodes, parents before children."""
+    order, todo = [], [body]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo += [k for k in x.kids if isinstance(k, Node) and not k.cut]
+        todo += [k for k in x.kids if isinstance(k, Node)]
+    return order
+
+
+def _furniture(order: list[Node], hints: bool = True) -> None:
+    """Set ``noise`` on furniture and all below it."""
     for x in reversed(order):
+        x.plain, x.articles, x.keeps = 0, int(x.tag in ("article", "main")), x.tag in ("main", "h1")
         for k in x.kids:
             if isinstance(k, str):
-                x.chars += len(k) if not k.isspace() else 0
-            elif k is not None and not k.cut:
+                x.plain += _length(k)
+            elif k is not None:
+                x.plain += k.plain
+                x.keeps |= k.keeps
+                x.articles += k.articles
+        if x.tag == "a" or hints and x.mark == "tag":
+            x.plain = 0
+    if not hints:
+        return
+    whole, articles = order[0].plain, order[0].articles
+    inside, heads = set(), set()  # nodes of an article or main element, and of a header in one
+    for x in order[1:]:
+        up = x.parent
+        x.noise = up.noise
+        if up.tag in ("article", "main") or id(up) in inside:
+            inside.add(id(x))
+        if x.noise:
+            continue
+        if x.mark == "tag":
+            x.noise = True
+        elif x.mark:
+            x.noise = x.mark == "comments" and x.plain < whole or not x.keeps and (x.plain <= MOST * whole or x.articles < articles)
+        elif x.tag == "header" and id(x) not in inside:
+            x.noise = True
+        elif x.tag == "header" or id(up) in heads and x.tag not in HEADINGS:
+            # of a header inside an article its headings are text
+            heads.add(id(x))
+            x.noise = x.tag != "header" and not x.keeps
+            x.kids = [k for k in x.kids if isinstance(k, Node)]
+
+
+def _measure(order: list[Node]) -> None:
+    """Link-adjusted characters per tag of every node, and the sums over its children."""
+    for x in reversed(order):
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
+        for k in x.kids:
+            if isinstance(k, str):
+                x.chars += _length(k)
+            elif k is not None:
                 x.chars += k.chars
                 x.tags += 1 + k.tags
                 x.link_chars += k.link_chars
-                x.link_tags += k.link_tags + (k.tag in ("a", "button", "select"))
-        if x.tag == "a":
+                x.link_tags += k.link_tags + (k.tag == "a" or k.noise)
+        if x.tag == "a" or x.noise:
             x.link_chars = x.chars
-    body_links, body_chars = max(1, node.link_chars), max(1, node.chars)
+    body = order[0]
+    body_links, body_chars = max(1, body.link_chars), max(1, body.chars)
     for x in reversed(order):
-        c, t, lc, lt = max(1, x.chars), max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags)
-        if not x.chars:
+        x.density = composite_density(x.chars, x.tags, x.link_chars, x.link_tags, body_links, body_chars)
+        if x.noise:
             x.density = 0.0
-        else:
-            plain = max(1, c - x.link_chars)
-            base = math.log(c / plain * lc + body_links / body_chars * c + math.e)
-            x.density = c / t * math.log(c / lc * t / lt + 1e-9) / math.log(max(base, 1.0001)) if c / lc * t / lt > 1 else 0.0
-        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.cut)
+        x.total = sum(k.density for k in x.kids if isinstance(k, Node))
 
 
-def _headers(node: Node) -> None:
-    """Page headers are cut; of a header inside an article its headings stay."""
-    todo = [(node, False)]
-    while todo:
-        x, inside = todo.pop()
-        for k in x.kids:
-            if isinstance(k, Node) and not k.cut:
-                if k.tag == "header":
-                    if inside:
-                        k.kids = [y for y in k.kids if isinstance(y, Node) and y.tag in HEADINGS]
-                    else:
-                        k.cut = True
-                        continue
-                todo.append((k, inside or k.tag in ("article", "main")))
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_links: int, body_chars: int) -> float:
+    """Characters per tag, weighed by how much of them is not links; 0 without text."""
+    if not chars:
+        return 0.0
+    c, t, lc, lt = chars, max(1, tags), max(1, link_chars), max(1, link_tags)
+    gain = c / lc * t / lt + (not link_chars)
+    if gain <= 1:
+        return 0.0
+    base = math.log(c / max(1, c - link_chars) * lc + body_links / body_chars * c + math.e)
+    return c / t * math.log(gain) / math.log(max(base, 1.0001))
 
 
-def _content(body: Node) -> list[Node]:
-    """The subtrees that are the article, in page order."""
+def _content(order: list[Node]) -> tuple[list[Node], float]:
+    """The subtrees that are the article, in page order, and the threshold."""
+    body = order[0]
     best, todo = body, [body]
-    while todo:
+    while todo:  # in page order, so that ties end on the first
         x = todo.pop()
         if x.total > best.total:
             best = x
-        todo += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.cut]
+        todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for k in range(len(path) - 1, -1, -1):  # an article or main element on the path is wholly content
-        if path[k].tag in ("article", "main"):
-            path = path[k:]
-            break
     threshold = min(x.density for x in path)
-    chosen = {id(path[0])}
-    for child, parent in zip(path, path[1:]):
-        if any(isinstance(k, str) and not k.isspace() for k in parent.kids) and parent.tag != "body":
-            chosen.add(id(parent))
-        chosen |= {id(k) for k in parent.kids if isinstance(k, Node) and not k.cut and k is not child and k.chars and k.density >= threshold}
+    article = max((k for k, x in enumerate(path) if x.tag in ("article", "main")), default=0)
+    chosen = {id(best)}
+    for at, (child, parent) in enumerate(zip(path, path[1:]), 1):
+        if parent is not body and any(isinstance(k, str) and not k.isspace() for k in parent.kids):
+            chosen.add(id(parent))  # its own text can't be taken without it
+        for k in parent.kids:
+            if isinstance(k, Node) and k is not child and _joins(k, best, threshold, at <= article):
+                chosen.add(id(k))
     picked, todo = [], [body]
     while todo:
         x = todo.pop()
         if id(x) in chosen:
             picked.append(x)
         else:
-            todo += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.cut]
-    return picked
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
+    return picked, threshold
+
 
+def _joins(x: Node, best: Node, threshold: float, same_article: bool) -> bool:
+    """Whether a sibling on the core's path to the body is part of the article.
 
-def _blocks(node: Node) -> list[str]:
+    Its density must reach the threshold, and it must be running text or weigh against
+    the core by the sum of its densities.  The tags break ties: a short text has a low
+    density whatever it is, so headings and what shares the core's article or main
+    element join if most of their characters aren't links.
+    """
+    if x.density <= 0:
+        return False
+    if x.tag in HEADINGS or same_article:
+        return 2 * x.link_chars < x.chars
+    return x.density >= threshold and (x.tag in TEXT_TAGS or 4 * x.total >= best.total)
+
+
+def _dropped(x: Node, threshold: float) -> bool:
+    """Inside the article: furniture, and lists of links whose density is below the threshold."""
+    if x.noise:
+        return True
+    return x.link_tags >= MENU_LINKS and x.density < threshold and x.chars > 0 and 10 * x.link_chars >= 9 * x.chars and x.tag in BLOCKS
+
+
+def _blocks(node: Node, threshold: float) -> list[str]:
     """Texts of the blocks below a node, white space collapsed, empty ones dropped."""
     out, line = [], []
 
@@ -245,7 +321,7 @@ def _blocks(node: Node) -> list[str]:
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif not x.cut:
+        elif x is node or not _dropped(x, threshold):
             if x.tag in BLOCKS:
                 close()
                 todo.append(None)
@@ -254,16 +330,24 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of one HTML page; '' for null, empty or text-free pages."""
+def main_text(page: str | None, density: bool = True, hints: bool = True) -> str:
+    """The article of one HTML page; '' for null, empty or text-free pages.
+
+    Without ``hints`` names of tags and classes say nothing about furniture.  Without
+    ``density`` the whole body is printed (both are for comparison).
+    """
     if not page:
         return ""
     body = parse_dom(page)
-    _headers(body)
-    _measure(body)
+    order = _tree(body)
+    if not density:
+        return "\n".join(_blocks(body, 0.0))
+    _furniture(order, hints)
+    _measure(order)
     if not body.chars:
         return ""
-    return "\n".join(b for node in _content(body) for b in _blocks(node))
+    picked, threshold = _content(order)
+    return "\n".join(b for node in picked for b in _blocks(node, threshold))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
