@@ -3,9 +3,15 @@
 Every host's paths form a tree of segments.  Variable segments are generalised:
 first by shape (numbers, hashes, dates), then, at each node of the tree, a segment
 level with many values of which none dominates becomes a wildcard, and sibling
-branches that the labels cannot tell apart merge into one.  A template's share of
-blocked labels, smoothed level by level towards its parent's, decides: a template
-whose smoothed purity reaches ``reject`` is blocked, with every URL that it covers.
+branches that the labels cannot tell apart merge into one.
+
+Above its host a template has ancestors too: the host's top-level and registered
+domain, and the same path at all hosts.  A template's share of blocked labels is
+smoothed level by level along these ancestors, so one without labels of its own
+follows the nearest that have some.  A template whose smoothed purity reaches the
+threshold is blocked, with every URL that it covers.  The threshold is the least
+one that keeps PRECISION on labels of hosts that their own purity did not see, or
+REJECT where the labels are too few to tell.
 
 Hand-made rules (host and path prefix, the longest wins) come first; their verdicts
 are the labels.  All tree statistics are taken from one aggregate of distinct
@@ -27,8 +33,14 @@ from engram.session import materialize
 DEPTH = 4
 #: A level is variable if it has more values than this and none holds this share.
 VALUES, SHARE = 20, 0.5
-#: Labels that the parent's purity counts for, the purity that rejects, and the labels a template then needs.
-SMOOTHING, REJECT, LEAST_LABELS = 4.0, 0.8, 5
+#: Labels that the parent's purity counts for.
+SMOOTHING = 4.0
+#: Share of rejected labels that must be blocked ones, on held-out hosts; the least purity that may reject; the purity that rejects without enough labels.
+PRECISION, FLOOR, REJECT = 0.95, 0.5, 0.8
+#: Groups of hosts of which each is held out once, and steps of the purity at which a threshold may lie.
+FOLDS, STEPS = 5, 100
+#: Tasks over which the rows of one template are dealt.
+SALT = 8
 #: Two branches differ if their shares of blocked labels are this many standard errors apart.
 APART = 2.0
 
@@ -120,29 +132,70 @@ def template_tree(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
     return t
 
 
+def _ancestors(depth: int) -> list[tuple[list[Column], bool]]:
+    """The nodes above a template and itself, from far to near, and whether the next one lies inside."""
+    host = F.col("host")
+    domain = F.concat_ws(".", F.slice(F.split(host, r"\."), -F.least(F.lit(2), F.size(F.split(host, r"\."))), F.lit(2)))
+    t = [F.coalesce(F.col(f"t{k}"), F.lit("\x00")) for k in range(depth)]
+    nodes = [([F.substring_index(host, ".", -1)], True), ([domain], True), ([host], False)]
+    nodes += [(t[: k + 1], True) for k in range(depth)]
+    nodes += [([domain, *t], False)]
+    return nodes + [([host, *t[: k + 1]], k + 1 < depth) for k in range(depth)]
+
+
 def template_purity(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``tree`` with ``purity`` (smoothed from the host down) and ``labels`` of each template."""
-    t = tree
-    b, labels = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum(F.col("blocked") + F.col("allowed")), F.lit(0))).first()
-    t = t.withColumn("purity", F.lit(b / max(1, labels)))
-    for k in range(depth + 1):
-        node = ["host", *[f"t{j}" for j in range(k)]]
-        sums = tree.groupBy(*node).agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("labels"))
-        sums = sums.select(*[F.col(c).alias(f"s_{c}") for c in node], "b", F.col("labels").alias("s_labels"))
-        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in node])
-        t = t.join(sums, same).withColumn("purity", (F.col("b") + SMOOTHING * F.col("purity")) / (F.col("s_labels") + SMOOTHING))
-        t = t.drop("b", *[f"s_{c}" for c in node])
-        t = t.drop("labels").withColumnRenamed("s_labels", "labels")
-    return t
+    """``tree`` with ``purity``, smoothed along the ancestors, ``held_purity`` without the labels of the host's fold, and ``labels`` of its own.
 
+    An ancestor whose labels all lie in the next one adds nothing and is skipped.
+    """
+    said = F.col("blocked") + F.col("allowed")
+    b, labels = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum(said), F.lit(0))).first()
+    chain = _ancestors(depth)
+    keys = F.array(*[F.struct(F.lit(i).alias("level"), F.concat_ws("\x1f", F.lit(str(i)), *c).alias("key")) for i, (c, _) in enumerate(chain)])
+    leaf = F.struct("host", *[f"r{k}" for k in range(depth)])
+    rows = tree.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")).withColumn("leaf", F.to_json(leaf))
+    long = rows.select("leaf", "fold", "blocked", said.alias("said"), F.explode(keys).alias("node")).select("*", "node.level", "node.key").drop("node")
+    per_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)) for c in ("blocked", "said") for f in range(FOLDS)]
+    nodes = long.where("said > 0").groupBy("key").agg(F.sum("blocked").alias("b"), F.sum("said").alias("n"), F.array(*per_fold).alias("folds"))
+    seen = long.join(nodes, "key").groupBy("leaf").agg(
+        F.sort_array(F.collect_list(F.struct("level", "b", "n", (F.col("b") - F.col("folds")[F.col("fold")]).alias("hb"), (F.col("n") - F.col("folds")[F.col("fold") + FOLDS]).alias("hn")))).alias("path")
+    )
+    nested = F.array(*[F.lit(inside) for _, inside in chain])
+    start = b / (labels + SMOOTHING)  # allowed until labels say otherwise
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH, reject: float = REJECT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity) for every row.
+    def smoothed(blocked: str, n: str) -> Column:
+        def skipped(x: Column, i: Column) -> Column:
+            after = F.get(F.col("path"), i + 1)
+            return F.coalesce(nested[x["level"]] & (after["level"] == x["level"] + 1) & (after[n] == x[n]), F.lit(False))
+
+        kept = F.filter("path", lambda x, i: ~skipped(x, i))
+        return F.aggregate(kept, F.lit(start), lambda p, x: (x[blocked] + SMOOTHING * p) / (x[n] + SMOOTHING))
 
-    A null url, or one without ``://``, has an empty host and path, no rule and no
-    labels, and is allowed.  Repeated rows and null ids keep their rows; other columns
-    are ignored; an empty table gives no row.
+    seen = seen.select("leaf", smoothed("b", "n").alias("purity"), smoothed("hb", "hn").alias("held_purity"))
+    made = rows.join(seen, "leaf", "left").withColumn("labels", said)
+    return made.withColumn("purity", F.coalesce("purity", F.lit(start))).withColumn("held_purity", F.coalesce("held_purity", F.lit(start))).drop("leaf", "fold")
+
+
+def held_out(purity: DataFrame, precision: float = PRECISION, floor: float = FLOOR) -> tuple[float, float, float] | None:
+    """(threshold, precision, recall) on the labels of held-out hosts.
+
+    One more rejected label, an allowed one, must leave the precision; so few labels,
+    or impure ones, give no threshold.
     """
+    step = F.floor(F.least(F.col("held_purity"), F.lit(1.0)) * STEPS).cast("int").alias("step")
+    # at most STEPS + 1 rows
+    bins = purity.where(F.col("blocked") + F.col("allowed") > 0).groupBy(step).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).orderBy(F.desc("step")).collect()
+    blocked = allowed = 0
+    best, every = None, sum(r.b for r in bins)
+    for r in bins:
+        blocked, allowed = blocked + r.b, allowed + r.a
+        if r.step >= floor * STEPS and blocked >= precision * (blocked + allowed + 1):
+            best = (r.step / STEPS, blocked / (blocked + allowed), blocked / max(1, every))
+    return best
+
+
+def labelled_templates(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+    """The judged rows with their raw templates, and every distinct template with its purity."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -156,10 +209,25 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH,
         F.count("*").alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked"), F.count(F.when(F.col("said") == "allow", 1)).alias("allowed")
     )
     tree = materialize(template_tree(materialize(leaves, "leaves"), depth), "tree")
-    made = template_purity(tree, depth)
+    return rows, materialize(template_purity(tree, depth), "purity")
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH, reject: float | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, template, purity) for every row.
+
+    ``reject`` is the purity that blocks; without it the held-out labels set it.  A null
+    url, or one without a host, has no rule and no labels, and is allowed.  Repeated rows
+    and null ids keep their rows; other columns are ignored; an empty table gives no row.
+    """
+    rows, made = labelled_templates(pages, rules, depth, id_col, url_col)
+    if reject is None:
+        reject = (held_out(made) or (REJECT,))[0]
+    raw = [f"r{k}" for k in range(depth)]
     name = F.concat(F.lit("/"), F.concat_ws("/", *[f"t{k}" for k in range(depth)]))
-    refused = (F.col("purity") >= reject) & (F.col("labels") >= LEAST_LABELS)
-    made = materialize(made.select("host", *raw, name.alias("template"), "purity", F.when(refused, "block").otherwise("allow").alias("method")), "templates")
-    right = made.select(F.col("host").alias("m_host"), *[F.col(c).alias(f"m_{c}") for c in raw], "template", "purity", "method")
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ["host", *raw]])
+    refused = (F.col("purity") >= reject) & (F.col("host") != "")
+    made = made.select("host", *raw, name.alias("template"), "purity", F.when(refused, "block").otherwise("allow").alias("method"))
+    # a hot template's rows go to SALT tasks; the templates are few beside the rows
+    right = made.select(F.col("host").alias("m_host"), *[F.col(c).alias(f"m_{c}") for c in raw], "template", "purity", "method", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("m_salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ["host", "salt", *raw]])
     return rows.join(right, same, "left").select("page_id", "host", "path", "rule", F.coalesce("said", "method").alias("verdict"), "template", "purity")
