@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from engram.llm.columns import picked
 
 # Element names of HTML.
 BLOCKS = frozenset(
@@ -364,5 +365,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = picked(pages, page_id=(id_col, "long"), url=(url_col, "string"), html=(html_col, "string"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from engram.llm.columns import picked
 from engram.session import materialize, scratch_path
 
 WIDTH = 576
@@ -305,7 +306,7 @@ def store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     """Write every text as an archive member; (doc_id, archive, offset, n_bytes), kept as a table."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "media")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     return materialize(rows.mapInArrow(_store(folder), "doc_id long, archive string, offset long, n_bytes long"), "members")
 
 

@@ -4,7 +4,8 @@ The join is exact.  For every pair of different shingle sets with
 ``100 * |A & B| >= 80 * |A | B|`` a chain of verified links joins the two.
 
 1. *Shingle.*  One pass over the text hashes 5-word shingles (64 bits), merges
-   equal sets inside a batch and deals the hashes by value range.
+   equal sets inside a batch and deals the hashes by value range.  A hash that HOT or
+   more sets of a batch hold is dealt once, with their number.
 2. *Count.*  Each range finds the shingles that two or more sets share and sends
    them, with their frequency, back to their batches.  Unshared shingles stop here.
 3. *Prefix.*  Sorted rarest first, two linked sets must share a shingle among the
@@ -28,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engram.llm.columns import name_of, numbered, picked
 from engram.operators.graph import connected_components
 from engram.session import input_bytes, materialize
 
@@ -40,8 +42,13 @@ WORDS = 5
 THRESHOLD = 80
 #: Bytes of text that one batch merges before it is dealt out.
 BATCH_BYTES = 16 << 20
-#: A batch numbers its sets in 16 bits.
-BATCH_SETS = 60_000
+#: A batch numbers its sets in 15 bits; the 16th marks a hash that stands for many sets.
+BATCH_SETS = 1 << 15
+MANY = 0x8000
+#: From so many sets of a batch on, a hash is dealt once.
+HOT = 16
+#: Bytes of compressed input a hash range, and with a large input; ranges in between.
+RANGE_BYTES, WIDE_RANGE_BYTES, RANGES = 1 << 21, 1 << 26, 4096
 #: Rows that one task of the tree join reads at most for a single block.
 BLOCK_ROWS = 2048
 LEAF = 32
@@ -52,18 +59,21 @@ BITMAP_WORDS = 16
 # A dealt hash is its low 48 bits: the range that it was dealt to gives the high ones again.
 _ENTRY = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2")])
 _SHARED = np.dtype([("low", "<u4"), ("mid", "<u2"), ("set", "<u2"), ("df", "<u2")])
-_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("batch", pa.string()), ("data", pa.binary())])
-_DEALT_DDL = "part int, kind byte, batch string, data binary"
-_SETS_DDL = "doc_id long, fp binary, n_shingles long, tokens binary, rare binary, mask binary"
+_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("batch", pa.binary()), ("data", pa.binary())])
+_DEALT_DDL = "part int, kind byte, batch binary, data binary"
+_SETS_DDL = "doc_id long, body long, fp binary, n_shingles long, tokens binary, rare binary, mask binary"
+_MEMBER = np.dtype([("doc", "<i8"), ("null", "?"), ("body", "<i8"), ("set", "<i4")])
 
 
 class _WordHashes(dict):
-    """word -> 64-bit hash; bounded, since a worker lives longer than a batch."""
+    """word -> 64-bit hash; bounded in entries and bytes, since a worker lives longer than a batch."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 250_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -100,45 +110,58 @@ def _low(entries: np.ndarray) -> np.ndarray:
 
 
 def _deal(parts: int):
-    """Batches of (doc_id, text) -> hash ranges of a batch and its member list."""
+    """Batches of (doc_id, text, body) -> hash ranges of a batch and its member list."""
 
     def flush(name: str, rows: list, sets: dict) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        members = np.array(rows, dtype=[("doc", "<i8"), ("null", "?"), ("set", "<i4")])
+        members = np.array(rows, dtype=_MEMBER)
         prints = b"".join(fp for fp in sets)
         sizes = np.fromiter((len(v[1]) for v in sets.values()), "<i8", len(sets))
-        home = xxhash.xxh3_64_intdigest(name.encode()) % parts
-        blob = np.array([len(rows), len(sets)], "<i8").tobytes() + members.tobytes() + sizes.tobytes() + prints
-        part, kind, data = [home], [1], [blob]
+        key = xxhash.xxh3_128_digest(name.encode())
+        part, kind, data = [int.from_bytes(key[:8], "little") % parts], [1], [b""]
+        hot_tokens, hot_counts, hot_sets = np.empty(0, "<u8"), np.empty(0, "<i4"), np.empty(0, "<u2")
         if len(sizes) and sizes.sum():
             hashes = np.concatenate([v[1] for v in sets.values()])
-            # hash ranges are equal slices of the 64-bit space, by the top 32 bits
-            slot = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(slot, kind="stable")
+            order = np.argsort(hashes, kind="stable")
             entry = np.empty(len(hashes), _ENTRY)
             entry["set"] = np.repeat(np.arange(len(sets), dtype="<u2"), sizes)[order]
-            hashes, slot = hashes[order], slot[order]
+            hashes = hashes[order]
             entry["low"], entry["mid"] = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) & np.uint64(0xFFFF)
+            # hash ranges are equal slices of the 64-bit space, by the top 32 bits
+            slot = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+            counts = np.diff(np.r_[starts, len(hashes)])
+            hot = counts >= HOT
+            if hot.any():
+                many = np.repeat(hot, counts)
+                hot_counts, hot_sets = counts[hot].astype("<i4"), entry["set"][many]
+                entry["set"][starts[hot]] = MANY | np.minimum(counts[hot], MANY - 1)
+                hot_tokens = _token(entry[starts[hot]], slot[starts[hot]])
+                stay = ~many
+                stay[starts[hot]] = True
+                entry, slot = entry[stay], slot[stay]
             edges = np.flatnonzero(np.diff(slot)) + 1
             for a, b in zip(np.r_[0, edges], np.r_[edges, len(entry)]):
                 part.append(int(slot[a]))
                 kind.append(0)
                 data.append(entry[a:b].tobytes())
-        arrays = [pa.array(part, pa.int32()), pa.array(kind, pa.int8()), pa.array([name] * len(part), pa.string()), pa.array(data, pa.binary())]
+        head = np.array([len(rows), len(sets), len(hot_tokens), len(hot_sets)], "<i8")
+        data[0] = b"".join(x.tobytes() for x in (head, members, sizes)) + prints + b"".join(x.tobytes() for x in (hot_tokens, hot_counts, hot_sets))
+        arrays = [pa.array(part, pa.int32()), pa.array(kind, pa.int8()), pa.array([key] * len(part), pa.binary()), pa.array(data, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, schema=_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, rows, sets, held, number, salt = _WordHashes(), [], {}, 0, 0, None
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, body in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 text = text.as_py()
                 h = shingle_hashes(text, cache)
                 fp = xxhash.xxh3_128_digest(h.tobytes())
                 if salt is None:  # names the batch by its first row; a retried task names it alike
                     salt = f"{doc}-{fp.hex()}-{_partition()}"
                 at = sets.setdefault(fp, (len(sets), h))[0]
-                rows.append((doc or 0, doc is None, at))
+                rows.append((doc or 0, doc is None, body, at))
                 held += len(text or "")
                 if held >= BATCH_BYTES or len(sets) >= BATCH_SETS or len(rows) >= 20 * BATCH_SETS:
                     yield from flush(f"{salt}-{number}", rows, sets)
@@ -148,6 +171,11 @@ def _deal(parts: int):
     return run
 
 
+def _token(entries: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The number by which shingles are compared: a dealt hash and its range."""
+    return _low(entries) | ((part.astype("<u8") & np.uint64(0xFFFF)) << np.uint64(48))
+
+
 def _partition() -> int:
     from pyspark import TaskContext
 
@@ -171,8 +199,10 @@ def _shared(table: pa.Table) -> pa.Table:
         ranked = hashes[order]
         starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         counts = np.diff(np.r_[starts, len(ranked)])
+        held = np.concatenate([p["set"] for p in parts])[order]
+        sums = np.add.reduceat(np.where(held >= MANY, held & (MANY - 1), 1).astype(np.int64), starts)
         df = np.empty(len(ranked), "<u2")
-        df[order] = np.repeat(np.minimum(counts, 0xFFFF), counts)
+        df[order] = np.repeat(np.minimum(sums, 0xFFFF), counts)
         at = 0
         for i, p in zip(chunks, parts):
             mine = df[at : at + len(p)]
@@ -187,7 +217,7 @@ def _shared(table: pa.Table) -> pa.Table:
                 out_data.append(rows.tobytes())
                 out_kind.append(0)
     n = len(out_data)
-    arrays = [pa.array([part] * n, pa.int32()), pa.array(out_kind, pa.int8()), pa.array(out_names, pa.string()), pa.array(out_data, pa.binary())]
+    arrays = [pa.array([part] * n, pa.int32()), pa.array(out_kind, pa.int8()), pa.array(out_names, pa.binary()), pa.array(out_data, pa.binary())]
     return pa.Table.from_arrays(arrays, schema=_DEALT)
 
 
@@ -205,28 +235,39 @@ def need(n: int) -> int:
     return -(-THRESHOLD * n // 100)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("rare", pa.binary()), ("mask", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("fp", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("rare", pa.binary()), ("mask", pa.binary())])
 
 
 def _prefixes(table: pa.Table) -> pa.Table:
     """One batch: a row for each document, and one for each set that can have a partner."""
     kind, data = table.column("kind").to_numpy(), table.column("data")
     blob = data[int(np.flatnonzero(kind == 1)[0])].as_py()
-    n_rows, n_sets = np.frombuffer(blob, "<i8", 2)
-    kinds = np.dtype([("doc", "<i8"), ("null", "?"), ("set", "<i4")])
-    at = 16 + n_rows * kinds.itemsize
-    members = np.frombuffer(blob, kinds, n_rows, 16)
+    n_rows, n_sets, n_hot, n_held = (int(x) for x in np.frombuffer(blob, "<i8", 4))
+    at = 32 + n_rows * _MEMBER.itemsize
+    members = np.frombuffer(blob, _MEMBER, n_rows, 32)
     sizes = np.frombuffer(blob, "<i8", n_sets, at)
-    prints = [blob[at + 8 * n_sets + 16 * i :][:16] for i in range(n_sets)] if n_sets < 64 else np.frombuffer(blob, "V16", n_sets, at + 8 * n_sets)
-    prints = [bytes(x) for x in prints]
+    at += 8 * n_sets
+    prints = [blob[at + 16 * i : at + 16 * i + 16] for i in range(n_sets)]
+    at += 16 * n_sets
+    hot_tokens, hot_counts, hot_sets = (np.frombuffer(blob, t, n, at + skip) for t, n, skip in (("<u8", n_hot, 0), ("<i4", n_hot, 8 * n_hot), ("<u2", n_held, 12 * n_hot)))
     docs = pa.array(members["doc"], pa.int64(), mask=members["null"])
     fps, ns = [prints[i] for i in members["set"]], sizes[members["set"]]
-    tables = [pa.Table.from_arrays([docs, pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), *[pa.nulls(n_rows, pa.binary())] * 3], schema=_SETS)]
+    tables = [pa.Table.from_arrays([docs, pa.array(members["body"], pa.int64()), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), *[pa.nulls(n_rows, pa.binary())] * 3], schema=_SETS)]
     at, part = np.flatnonzero(kind == 0), table.column("part").to_numpy()
     if len(at):
         chunks = [np.frombuffer(data[int(i)].as_buffer(), _SHARED) for i in at]
         rows = np.concatenate(chunks)
-        tokens = _low(rows) | (np.repeat(part[at].astype("<u8") & np.uint64(0xFFFF), [len(c) for c in chunks]) << np.uint64(48))
+        tokens = _token(rows, np.repeat(part[at], [len(c) for c in chunks]))
+        many = rows["set"] >= MANY
+        if many.any():  # these stand for the sets that the batch kept
+            by = np.argsort(hot_tokens)
+            which = by[np.searchsorted(hot_tokens, tokens[many], sorter=by)]
+            first = np.cumsum(hot_counts) - hot_counts
+            n = hot_counts[which]
+            wide = np.empty(int(n.sum()), _SHARED)
+            wide["df"] = np.repeat(rows["df"][many], n)
+            wide["set"] = hot_sets[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(len(wide))]
+            rows, tokens = np.concatenate([rows[~many], wide]), np.concatenate([tokens[~many], np.repeat(tokens[many], n)])
         order = np.lexsort((tokens, rows["df"], rows["set"]))
         rows, tokens = rows[order], tokens[order]
         starts = np.flatnonzero(np.r_[True, rows["set"][1:] != rows["set"][:-1]])
@@ -241,7 +282,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
                 got.append((prints[i], n, _planes(tokens[a:b]), tokens[a : a + prefix].tobytes(), mask))
         if got:
             fp, n, planes, rare, mask = zip(*got)
-            arrays = [pa.nulls(len(got), pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(planes, pa.binary()), pa.array(rare, pa.binary()), pa.array(mask, pa.binary())]
+            arrays = [pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(planes, pa.binary()), pa.array(rare, pa.binary()), pa.array(mask, pa.binary())]
             tables.append(pa.Table.from_arrays(arrays, schema=_SETS))
     return pa.concat_tables(tables)
 
@@ -443,13 +484,21 @@ def _counted(table: pa.Table) -> pa.Table:
     )
 
 
+def _body(text: Column) -> Column:
+    """The hash by which rows of equal id are told apart."""
+    return F.xxhash64(text.isNull(), text)
+
+
 def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (doc_id, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, rare, mask) with null doc_id and set tokens for each set that can have a partner."""
+    """A row (doc_id, body, fp, n_shingles) for each document, plus a row (fp, n_shingles, tokens, rare, mask) with null doc_id and set tokens for each set that can have a partner.
+
+    ``body`` is the hash of the whole text.
+    """
     size = input_bytes(docs)
     if size > 1 << 50:  # not known to the optimizer, or multiplied up by it
-        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    parts = max(48, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        size = picked(docs, text=(text_col, "string")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(48, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES, size // RANGE_BYTES), size // WIDE_RANGE_BYTES)
+    rows = picked(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("body", _body(F.col("text")))
     dealt = rows.mapInArrow(_deal(parts), _DEALT_DDL)
     shared = dealt.groupBy("part").applyInArrow(_shared, _DEALT_DDL)
     return materialize(shared.groupBy("batch").applyInArrow(_prefixes, _SETS_DDL), "sets")
@@ -496,7 +545,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result.
     """
     sets = sets_table(docs, id_col, text_col)
-    return _members(sets, materialize(jaccard_links(sets, block_rows), "links")).drop("copies", "fp")
+    return _members(sets, materialize(jaccard_links(sets, block_rows), "links")).select("doc_id", "n_shingles", "component_id")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -513,20 +562,44 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _members(sets: DataFrame, links: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """(doc_id, fp, n_shingles, copies, component_id) for every document, and the columns that ``extra`` has by fp."""
+    """(doc_id, body, fp, root, n_shingles, copies, component_id) for every document, and the columns that ``extra`` has by fp."""
     labels = connected_components(links)
-    members = sets.where(F.col("tokens").isNull()).select("doc_id", "fp", "n_shingles")
+    members = sets.where(F.col("tokens").isNull()).select("doc_id", "body", "fp", "n_shingles")
     firsts = members.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     rooted = firsts.join(labels, firsts.fp == labels.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    ids = rooted.join(least, "root").select("fp", "least", "copies")
+    ids = rooted.join(least, "root").select("fp", "root", "least", "copies")
     if extra is not None:
         ids = ids.join(extra, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    return members.join(ids, "fp", "left").select("doc_id", "fp", "n_shingles", "copies", component, *([] if extra is None else ["n"]))
+    return members.join(ids, "fp", "left").select("doc_id", "body", "fp", "root", "n_shingles", "copies", component, *([] if extra is None else ["n"]))
+
 
+def near_duplicate_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of ``docs`` for each group of near copies; all columns stay.
 
-def near_duplicate_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; all columns stay."""
-    found = ngram_components(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(found, docs[id_col] == F.col("__drop"), "left_anti")
+    The row with the least id stays, ids that are null come last, and of rows with that
+    id the one with the least text hash; of rows equal in id and text one stays.  Rows
+    are judged by id and text together, so a repeated id does not tie other texts to
+    a group.  Rows of null or blank text are linked with nothing and all stay.  Other
+    columns may have any names.  An empty table gives no row.
+    """
+    sets = sets_table(docs, id_col, text_col)
+    rows = _members(sets, materialize(jaccard_links(sets, block_rows), "links")).where("n_shingles > 0")
+    keys = rows.groupBy("root", "doc_id", "body").agg(F.count("*").alias("n"))
+    keys = materialize(keys, "keys")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("body").alias("b"))
+    first = keys.groupBy("root").agg(F.min(order).alias("first")).select(F.col("root").alias("r"), "first")
+    kept = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("body").alias("b")).eqNullSafe(F.col("first"))
+    judged = materialize(keys.join(first, keys.root == F.col("r")).select("doc_id", "body", "n", kept.alias("kept")), "judged")
+    table, names = numbered(docs), docs.columns
+    doc_id, body = F.col(name_of(docs, id_col)).cast("long"), _body(F.col(name_of(docs, text_col)).cast("string"))
+    same = doc_id.eqNullSafe(F.col("k_id")) & (body == F.col("k_body"))
+    gone = judged.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("k_id"), F.col("body").alias("k_body"))
+    out = table.join(gone, same, "left_anti")
+    repeated = judged.where(F.col("kept") & (F.col("n") > 1)).select(F.col("doc_id").alias("k_id"), F.col("body").alias("k_body"))
+    if not repeated.isEmpty():
+        whole = F.struct(*table.columns)
+        one = table.join(repeated, same).groupBy("k_id", "k_body").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row")).select("row.*")
+        out = out.unionByName(one)
+    return out.toDF(*names)

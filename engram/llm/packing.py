@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engram.llm.columns import picked
 from engram.session import materialize
 
 WINDOW = 2048
@@ -85,7 +86,7 @@ def _tokenize(path: str):
 def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(row_id, doc_id, queue, n, ids): little-endian 16-bit ids with the end id, written once."""
     path = path or default_vocabulary()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("queue"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=(id_col, "long"), queue=(source_col, "string"), text=(text_col, "string")).fillna("", ["queue"])
     made = rows.mapInArrow(_tokenize(path), "doc_id long, queue string, n long, ids binary")
     return materialize(made.withColumn("row_id", F.monotonically_increasing_id()), "tokens", compression="zstd")
 

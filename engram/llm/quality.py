@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.columns import name_of, numbered
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
     "the of and to a in is that for it with as was on be by this are from at an or not "
@@ -47,8 +49,9 @@ def stop_forms() -> list[str]:
 
 
 def _metrics(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` as struct __row, with the counts as __-columns; each array is computed once."""
-    t = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__t"))
+    """``docs`` as struct __row of numbered columns, with the counts as __-columns; each array is computed once."""
+    rows = numbered(docs)
+    t = rows.select(F.struct(*rows.columns).alias("__row"), F.coalesce(F.col(name_of(docs, text_col)).cast("string"), F.lit("")).alias("__t"))
     t = t.select("__row", "__t", F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)).alias("__w"))
     t = t.select("__row", "__t", "__w", F.size("__w").cast("long").alias("__n"))
     hashed = F.transform(
@@ -115,7 +118,7 @@ def measure(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, id_
     """
     base = _failed()
     return _metrics(docs, text_col).select(
-        F.col(f"__row.`{id_col}`").alias("doc_id"),
+        F.col(f"__row.{name_of(docs, id_col)}").alias("doc_id"),
         F.col("__n").alias("n_words"),
         F.col("__chars").alias("word_chars"),
         F.col("__symbols").alias("n_symbols"),
@@ -127,11 +130,15 @@ def measure(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, id_
 
 
 def keep_good(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+    """The rows of ``docs`` that pass, with all their columns, whatever their names.
+
+    Rows of null or empty text go; null and repeated ids are rows of their own, each
+    judged by its text alone; an empty table gives no row.
+    """
     # a row number, never negative, keeps the filter above the projections: pushed below
     # them it would compute every array again for each element that looks at it
     t = _metrics(docs, text_col).select("__row", (~_failed() & _verdict(thresholds)).alias("__ok"), F.monotonically_increasing_id().alias("__at"))
-    return t.where("__ok AND __at >= 0").select("__row.*")
+    return t.where("__ok AND __at >= 0").select("__row.*").toDF(*docs.columns)
 
 
 def oracle() -> str:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.columns import picked
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -360,7 +362,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
             rows = [[{"kind": rules[r].kind, "start": a, "end": b} for a, b, r in s.spans(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "found"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     return rows.mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
 
 
@@ -379,12 +381,16 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by ``mark``; ``length_col`` is counted again where the text changed."""
+    """``docs`` with every span of ``text_col`` replaced by ``mark``; ``length_col`` is counted again where the text changed.
+
+    Overlapping spans get one mark.  Null and empty texts, null and repeated ids and
+    all other columns, whatever their names, stay as they are; an empty table gives no row.
+    """
     rules, names = BASE + MORE, docs.columns
     at = names.index(text_col)
     size = names.index(length_col) if length_col else None

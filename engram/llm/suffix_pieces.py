@@ -24,10 +24,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.columns import picked
+
 MARK = "▁"
 _UNIT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
-#: Units that a worker keeps.
-KEPT = 500_000
+#: Units that a worker keeps, and their characters.
+KEPT, KEPT_CHARACTERS = 500_000, 1 << 24
 #: Characters of new units that one suffix array indexes.
 INDEXED = 1 << 19
 #: Units longer than this are relaxed one by one.
@@ -241,14 +243,16 @@ class Encoder:
     """Encodes batches; units seen before keep their ids (bounded)."""
 
     def __init__(self, model: PieceModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.held = model, {}, 0
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.known
         cut = [self.model.units(t or "") for t in texts]
         new = {u for units in cut for u in units if u not in known}
-        if len(known) + len(new) > KEPT:
+        self.held += sum(map(len, new))
+        if len(known) + len(new) > KEPT or self.held > KEPT_CHARACTERS:
             known.clear()
+            self.held = sum(map(len, new))
             new = {u for units in cut for u in units}
         group, held = [], 0
         for u in new:
@@ -323,4 +327,4 @@ def digest(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return picked(docs, doc_id=(id_col, "long"), text=(text_col, "string"))

@@ -18,6 +18,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.columns import picked
+
 MARK = "▁"
 
 
@@ -93,16 +95,18 @@ def count_words(text: str | None, counts: dict[str, int]) -> tuple[int, int]:
 
 
 class _Counts(dict):
-    """Counts of words seen, bounded."""
+    """Counts of words seen, bounded in entries and in characters."""
 
     def __init__(self, machine: LongestMatch):
         super().__init__()
         self.machine = machine
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        n = self[word] = self.machine.count(MARK + word)
+        n = self.machine.count(MARK + word)
+        if len(word) <= 64:
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -120,5 +124,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             rows = [count_words(t.as_py(), counts) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")

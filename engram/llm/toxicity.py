@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.columns import picked
+
 #: Labelled rows that a fit reads at most, those with the least hash of their id.
 FIT_ROWS = 40_000
 #: Words that a model knows at most.
@@ -86,13 +88,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def graded(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, grade, text) of labelled documents: the ``rows`` with the least id hash."""
+    """(doc_id, grade, text) of labelled documents, one row an id: the ``rows`` with the least id hash."""
+    texts = picked(docs, doc_id=("doc_id", "long"), text=("text", "string"))
     toxic, quality = F.coalesce(F.col("toxic"), F.lit(0)), F.coalesce(F.col("quality"), F.lit(1))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(toxic > 0, 1 + (quality < 1).cast("int")).otherwise(0)).alias("grade"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most FIT_ROWS pairs of numbers
-    return texts.join(F.broadcast(marks), "doc_id").select("doc_id", "grade", "text")
+    # at most FIT_ROWS pairs of numbers; of repeated ids the least text counts
+    return texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text"))
 
 
 def fit(sample: DataFrame, features: int = FEATURES) -> Model:
@@ -141,12 +143,16 @@ def score(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_id
             arrays = [pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= cut)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "p_toxic", "severity", "grade", "toxic"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     return rows.mapInArrow(run, "doc_id long, p_toxic double, severity double, grade int, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model doesn't call toxic, with all their columns."""
+    """The rows of ``docs`` that the model doesn't call toxic, with all their columns, whatever their names.
+
+    Null or empty text has no words and stays, unless the model calls that toxic too;
+    null and repeated ids are rows of their own; an empty table gives no row.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

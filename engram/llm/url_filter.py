@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.columns import picked
 from engram.session import materialize
 
 #: Levels of the tree; what lies deeper is one last segment.
@@ -196,8 +197,7 @@ def held_out(purity: DataFrame, precision: float = PRECISION, floor: float = FLO
 
 def labelled_templates(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> tuple[DataFrame, DataFrame]:
     """The judged rows with their raw templates, and every distinct template with its purity."""
-    url = F.col(url_col).cast("string")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = picked(pages, page_id=(id_col, "long"), url=(url_col, "string")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     said = F.lit(None).cast("string")
     for r in rules:
