@@ -3,9 +3,10 @@
 Payloads are stored as 8-bit grey PNG images of WIDTH pixels a row, as members of
 ordinary ZIP archives (stored, not deflated again).  Member names have a fixed
 length, so the archive's central directory is a table of fixed-width entries.  The
-source lists archives, reads only each one's end record and plans byte ranges over
-it; a task finds its first member by binary search in the directory, then streams
-members through Arrow.  Every member is read by its own offset and retried by itself.
+source lists a folder once and plans byte ranges over the archives' sizes; a task
+finds its first member by binary search in the directory, reads the directory on from
+there in slices and streams members through Arrow.  Every read, of a member, of a
+directory slice or of an end record, is retried by itself at its offset.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ RANGE_BYTES = 32 << 20
 #: Bytes of payload that one Arrow batch holds, about.
 BATCH_BYTES = 16 << 20
 TRIES = 4
+#: Directory entries of one read.
+SLICE = 4096
 
 _NAME = "{:018d}.p"
 _LOCAL = struct.Struct("<IHHHHHIIIHH")
@@ -125,17 +128,21 @@ def features(payload: bytes) -> str:
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    # Spark's name of the object store's scheme
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
 class ArchiveWriter:
-    """One ZIP archive of stored members, numbered from 0."""
+    """One ZIP archive of stored members, numbered from 0; it gets its name when it is closed, so a listing sees whole ones only."""
 
     def __init__(self, uri: str):
         self.uri = uri
         fs, path = _file_system(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out, self.size, self.entries = fs.open_output_stream(path), 0, []
+        self.fs, self.path = fs, path
+        self.out, self.size, self.entries = fs.open_output_stream(path + ".part"), 0, []
 
     def add(self, data: bytes) -> int:
         """Append a member; its offset."""
@@ -150,37 +157,65 @@ class ArchiveWriter:
         n = len(self.entries)
         self.out.write(directory + _END.pack(0x06054B50, 0, 0, n, n, len(directory), self.size, 0))
         self.out.close()
+        self.fs.move(self.path + ".part", self.path)
 
 
 class Archive:
     """Random access to an archive: its directory by entry number, its members by offset."""
 
-    def __init__(self, uri: str):
-        self.uri = uri
-        self.file = None
-        self._open()
-        size = self.file.size()
-        sign, _, _, _, self.count, self.directory_bytes, self.directory, _ = _END.unpack(self._read(size - _END.size, _END.size))
+    def __init__(self, uri: str, tries: int = TRIES):
+        self.uri, self.tries, self.file = uri, tries, None
+        end = self._retried(lambda: self._read(self._size() - _END.size, _END.size), f"the end record of {uri}")
+        sign, _, _, _, self.count, self.directory_bytes, self.directory, _ = _END.unpack(end)
         if sign != 0x06054B50 or self.directory_bytes != self.count * _ENTRY_BYTES:
             raise ValueError(f"no fixed-width archive directory in {uri}")
 
+    def _size(self) -> int:
+        self._open()
+        return self.file.size()
+
     def _open(self) -> None:
-        if self.file is not None:
-            self.file.close()
-        fs, path = _file_system(self.uri)
-        self.file = fs.open_input_file(path)
+        if self.file is None:
+            fs, path = _file_system(self.uri)
+            self.file = fs.open_input_file(path)
 
     def _read(self, at: int, size: int) -> bytes:
+        self._open()
         self.file.seek(at)
         data = self.file.read(size)
         if len(data) != size:
             raise OSError(f"short read at {at} of {self.uri}")
         return data
 
+    def _retried(self, read, what: str, whole=lambda data: True) -> bytes:
+        """``read()``, tried again on a newly opened file if it fails or its bytes aren't ``whole``."""
+        for k in range(self.tries):
+            try:
+                data = read()
+                if whole(data):
+                    return data
+                fault: Exception = OSError(f"checksum of {what}")
+            except OSError as e:
+                fault = e
+            if self.file is not None:
+                held, self.file = self.file, None
+                try:
+                    held.close()
+                except OSError:  # it is given up in any case
+                    pass
+            if k + 1 < self.tries:
+                time.sleep(0.05 * 2**k)
+        raise fault
+
+    def entries(self, k: int, n: int) -> list[tuple[int, int, int]]:
+        """(offset, size, checksum) of ``n`` members from number k on, or as many as there are, in one read."""
+        n = max(0, min(n, self.count - k))
+        data = self._retried(lambda: self._read(self.directory + k * _ENTRY_BYTES, n * _ENTRY_BYTES), f"the directory of {self.uri}") if n else b""
+        found = (_ENTRY.unpack_from(data, i * _ENTRY_BYTES) for i in range(n))
+        return [(e[16], e[8], e[7]) for e in found]
+
     def entry(self, k: int) -> tuple[int, int, int]:
-        """(offset, size, checksum) of member k."""
-        e = _ENTRY.unpack(self._read(self.directory + k * _ENTRY_BYTES, _ENTRY.size))
-        return e[16], e[8], e[7]
+        return self.entries(k, 1)[0]
 
     def first_at(self, offset: int) -> int:
         """The first member whose offset is not below ``offset``, by binary search."""
@@ -193,20 +228,9 @@ class Archive:
                 hi = mid
         return lo
 
-    def member(self, offset: int, size: int, crc: int, tries: int = TRIES) -> bytes:
+    def member(self, offset: int, size: int, crc: int) -> bytes:
         """A member's bytes; a failed or corrupt read is tried again by its offset alone."""
-        for k in range(tries):
-            try:
-                data = self._read(offset + _LOCAL.size + 20, size)
-                if zlib.crc32(data) == crc:
-                    return data
-                fault: Exception = OSError(f"checksum of the member at {offset} of {self.uri}")
-            except OSError as e:
-                fault = e
-            if k + 1 < tries:
-                time.sleep(0.05 * 2**k)
-                self._open()
-        raise fault
+        return self._retried(lambda: self._read(offset + _LOCAL.size + 20, size), f"the member at {offset} of {self.uri}", lambda data: zlib.crc32(data) == crc)
 
 
 class _Range(InputPartition):
@@ -224,8 +248,9 @@ class ArchiveReader(DataSourceReader):
         for uri in self.paths:
             fs, path = _file_system(uri)
             info = fs.get_file_info(path)
-            files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(path, recursive=True))
+            files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=True))
             prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+            # one listing, as for any file source; it has the sizes
             for f in sorted((f for f in files if f.type == pafs.FileType.File and f.path.endswith(".zip")), key=lambda f: f.path):
                 out += [_Range(prefix + f.path, low, low + self.range_bytes) for low in range(0, max(1, f.size), self.range_bytes)]
         return out or [_Range("", 0, 0)]
@@ -240,10 +265,7 @@ class ArchiveReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([partition.uri] * len(data), pa.string()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=names)
 
-        for k in range(archive.first_at(partition.low), archive.count):
-            offset, size, crc = archive.entry(k)
-            if offset >= partition.high:
-                break
+        for offset, size, crc in self._members(archive, partition):
             offsets.append(offset)
             sizes.append(size)
             data.append(archive.member(offset, size, crc))
@@ -254,6 +276,16 @@ class ArchiveReader(DataSourceReader):
         if data:
             yield batch()
 
+    @staticmethod
+    def _members(archive: Archive, partition: _Range) -> Iterator[tuple[int, int, int]]:
+        k = archive.first_at(partition.low)
+        while k < archive.count:
+            for e in archive.entries(k, SLICE):
+                if e[0] >= partition.high:
+                    return
+                yield e
+            k += SLICE
+
 
 class ArchiveSource(DataSource):
     """``spark.read.format("media_archive").load(folder)``: archive, offset, size, data."""
@@ -335,16 +367,17 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text is empty text (a payload of WIDTH bytes 255); null and repeated ids keep
     their rows; other columns are ignored; an empty table gives no row.  Archives of
-    failed attempts are never named by a row, so the join leaves them out.
+    attempts that failed after closing some are named by no row; the join leaves them out.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "media")
     members = store(docs, folder, id_col, text_col)
-    # the listing of archives, as for any file source
-    paths = [r.archive for r in members.select("archive").distinct().collect()]
-    seen = read_archives(spark, paths).select("archive", "offset", "data").mapInArrow(
+    seen = read_archives(spark, [folder]).select("archive", "offset", "data").mapInArrow(
         _describe, "archive string, offset long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
+    # archives have unique names; a file system may spell their folder in another way
+    name = F.substring_index("archive", "/", -1)
+    members, seen = members.withColumn("archive", name), seen.withColumn("archive", name)
     return members.join(seen, ["archive", "offset"]).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
