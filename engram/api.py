@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from engram import models
 from engram.functions import text
-from engram.operators import filters, ingest, maintain, search, store
+from engram.operators import filters, ingest, maintain, merge, search, store
+from engram.session import materialize
 from engram.sources import tables
 
 
@@ -32,6 +33,8 @@ class Engine:
         self.spark, self.memory, self.edges = spark, memory, edges
         self.as_of = as_of if as_of is not None else F.current_timestamp()
         self.cache = tables.ResultCache()
+        #: what ``llm_rerank`` calls, and the rows that ``internet`` adds
+        self.scorer, self.web = None, None
 
     # reads
     def scan(self, cube: str, types: list[str], page: int = 0, size: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +61,7 @@ class Engine:
     # search
     def search(self, request: dict, profile: str | None = None) -> DataFrame:
         p = search.resolve_params(request, profile)
-        return search.search(self.memory, self.edges, p, self.as_of)
+        return search.search(self.memory, self.edges, p, self.as_of, self.scorer, self.web)
 
     def context(self, request: dict, least: float = 0.30) -> DataFrame:
         """Search rows as chat context: thresholded with back-fill."""
@@ -72,12 +75,24 @@ class Engine:
 
     # writes
     def add(self, messages: DataFrame, cube: str, mode: str = "fast") -> DataFrame:
-        """New rows of messages(conv_id, turn, role, content, chat_time); they join the table."""
+        """New rows of messages(conv_id, turn, role, content, chat_time); they join the table.
+
+        Content that the cube has goes, by its hash and, but for 'async', by its vector.
+        'async' stores working rows with a zero vector, for a task to finish.  The cube's
+        working rows beyond the cap go, the oldest first.
+        """
+        if mode not in ("raw", "fast", "async"):
+            raise ValueError(f"mode {mode!r} needs a model: parse its reply with ingest.parse_facts")
         rows = ingest.raw_memories(messages) if mode == "raw" else ingest.message_windows(messages)
         rows = ingest.skip_known(rows.select(F.lit(cube).alias("user_name"), "memory", "memory_type"), self.memory)
-        new = models.embed_column(ingest.node_pairs(rows)).withColumn("status", F.lit("activated")).withColumn("created_at", self.as_of).withColumn("updated_at", self.as_of)
-        new = new.dropDuplicates(["id"])
-        self.memory = store.upsert(self.memory, new, ["id"])
+        new = ingest.node_pairs(rows).dropDuplicates(["id"])
+        if mode == "async":
+            new = ingest.unembedded(new.where("memory_type = 'WorkingMemory'"))
+        else:
+            new = merge.drop_repeats(models.embed_column(new), self.memory)
+        new = new.withColumn("status", F.lit("activated")).withColumn("created_at", self.as_of).withColumn("updated_at", self.as_of)
+        new = materialize(new, "added")
+        self.memory = store.keep_newest(store.upsert(self.memory, new, ["id"]))
         return new
 
     def update(self, changes: DataFrame) -> DataFrame:

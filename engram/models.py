@@ -64,23 +64,31 @@ def embed_column(rows: DataFrame, text_col: str = "memory", out: str = "embeddin
 reembed = embed_column
 
 
+#: Rows that one rerank call sees at most.
+RERANKED = 50
+
+
 def overlap_reranker(query: str, texts: list[str]) -> list[float]:
     """Share of the query's words that a text holds."""
     q = set(re.findall(r"\w+", query.lower()))
     return [len(q & set(re.findall(r"\w+", (t or "").lower()))) / max(1, len(q)) for t in texts]
 
 
-def rerank(results: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]] = overlap_reranker, top: int | None = None) -> DataFrame:
-    """Scores of (id, memory, score) replaced by the scorer's; beyond ``top`` rows keep theirs and follow."""
-    rows = results.orderBy(F.desc("score"), "id").withColumn("ord", F.monotonically_increasing_id())
+def rerank(results: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]] = overlap_reranker, top: int = RERANKED) -> DataFrame:
+    """Scores of the ``top`` (id, memory, score) rows replaced by the scorer's; other rows keep theirs.
+
+    The scorer sees the best rows as one list, in their order; ``top`` bounds it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(query, b.column(1).to_pylist()), pa.float64())], names=["id", "new"])
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.string()), ("memory", pa.string())]))  # ``top`` rows
+        if t.num_rows:
+            ids, texts = t.column(0).combine_chunks(), t.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(scorer(query, texts), pa.float64())], names=["id", "new"])
 
-    head = rows.limit(top) if top else rows
+    head = results.orderBy(F.desc("score"), "id").limit(top).coalesce(1)
     new = head.select("id", "memory").mapInArrow(run, "id string, new double")
-    return rows.join(new, "id", "left").select("id", "memory", F.coalesce("new", "score").alias("score"), F.col("new").isNotNull().alias("reranked"))
+    return results.join(new, "id", "left").select("id", "memory", F.coalesce("new", "score").alias("score"), F.col("new").isNotNull().alias("reranked"))
 
 
 def with_retries(call: Callable, tries: int = 3, models: tuple[str, ...] = ("default",), sleep: Callable[[float], None] | None = None):

@@ -111,6 +111,11 @@ def node_pairs(rows: DataFrame) -> DataFrame:
     return work.unionByName(keep)
 
 
+def unembedded(rows: DataFrame, size: int = 64) -> DataFrame:
+    """Rows with a zero vector, whose cosine with everything is 0, until a task embeds them."""
+    return rows.withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), size))
+
+
 def code_ratio(t: Column) -> Column:
     """Share of the text inside fenced code blocks."""
     inside = F.aggregate(F.regexp_extract_all(t, F.lit(CODE_BLOCK), F.lit(0)), F.lit(0), lambda s, x: s + F.octet_length(x))

@@ -1,7 +1,9 @@
 """Mutable-table semantics over immutable snapshots: every operator returns the new table.
 
-``Snapshots`` writes each version to a new folder and moves a pointer, so a table is
-never overwritten while it is read.
+``Snapshots`` writes each version to a new folder and then a marker file of its own, so
+a table is never overwritten while it is read, and a crash at any point leaves the
+last whole version readable.  Conditions that decide a deletion are false for nulls: a
+row whose cube or type is not known stays.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ def delete_ids(memory: DataFrame, ids: DataFrame, cubes: list[str] | None = None
     if cubes is None:
         return memory.join(gone, "id", "left_anti")
     hit = gone.withColumn("hit", F.lit(True))
-    return memory.join(hit, "id", "left").where(~(F.coalesce("hit", F.lit(False)) & F.col("user_name").isin(*cubes))).drop("hit")
+    return memory.join(hit, "id", "left").where(~F.coalesce(F.col("hit") & F.col("user_name").isin(*cubes), F.lit(False))).drop("hit")
 
 
 def delete_cube(memory: DataFrame, cube: str) -> DataFrame:
     """All active rows of a cube go."""
-    return memory.where(~((F.col("user_name") == cube) & (F.col("status") == "activated")))
+    return memory.where(~(F.col("user_name").eqNullSafe(cube) & F.col("status").eqNullSafe("activated")))
 
 
 def delete_where(memory: DataFrame, cubes: list[str], f: Filter) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +101,7 @@ def keep_newest(memory: DataFrame, limits: DataFrame | None = None, default: int
     some = memory.where(F.col("memory_type") == memory_type).withColumn("__r", F.row_number().over(w))
     some = some.join(limits.select("user_name", F.col("keep").alias("__k")), "user_name", "left") if limits is not None else some.withColumn("__k", F.lit(default))
     some = some.where(F.col("__r") <= F.coalesce("__k", F.lit(default))).drop("__r", "__k")
-    return memory.where(F.col("memory_type") != memory_type).unionByName(some)
+    return memory.where(~F.col("memory_type").eqNullSafe(memory_type)).unionByName(some)
 
 
 def cubes_upsert(cubes: DataFrame, new: DataFrame, at: Column) -> DataFrame:
@@ -115,7 +117,7 @@ def cubes_upsert(cubes: DataFrame, new: DataFrame, at: Column) -> DataFrame:
 def cubes_delete(cubes: DataFrame, memory: DataFrame, cube: str, hard: bool = False) -> tuple[DataFrame, DataFrame]:
     """The cube is marked inactive; a hard delete takes its memories too."""
     left = cubes.withColumn("is_active", F.when(F.col("cube_id") == cube, False).otherwise(F.col("is_active")))
-    return left, memory.where(F.col("user_name") != cube) if hard else memory
+    return left, memory.where(~F.col("user_name").eqNullSafe(cube)) if hard else memory
 
 
 PROFILE_KEY = ["cube_id", "user_id", "topic", "sub_topic"]
@@ -180,12 +182,12 @@ def purge(tables: dict[str, DataFrame], cube: str) -> dict[str, DataFrame]:
     out = {}
     for name, t in tables.items():
         c = next((c for c in ("user_name", "cube_id", "collection") if c in t.columns), None)
-        out[name] = t.where(F.col(c) != cube) if c else t
+        out[name] = t.where(~F.col(c).eqNullSafe(cube)) if c else t
     return out
 
 
 class Snapshots:
-    """Versions of a table under one root: a folder each, and a pointer file."""
+    """Versions of a table under one root: a folder each, and a marker file once it is whole."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -195,30 +197,28 @@ class Snapshots:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _marker(self, version: int) -> str:
+        return f"{self.root}/WHOLE-{version:012d}"
+
     def version(self) -> int:
+        """The newest version whose marker exists; -1 without one."""
         fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/CURRENT")):
-            return -1
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first().value)
+        found = fs.globStatus(path(f"{self.root}/WHOLE-*"))
+        return max((int(x.getPath().getName()[6:]) for x in found or []), default=-1)
 
-    def read(self) -> DataFrame:
-        v = self.version()
+    def read(self, version: int | None = None) -> DataFrame:
+        v = self.version() if version is None else version
         if v < 0:
             raise FileNotFoundError(self.root)
         return self.spark.read.parquet(f"{self.root}/v{v}")
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> int:
-        """Write the next version, then move the pointer."""
+        """Write the next version, then its marker; another writer's marker of that version is an error."""
         v = self.version() + 1
-        w = df.write.mode("overwrite")
+        w = df.write.mode("overwrite")  # what a crashed writer left without a marker
         (w.partitionBy(partition_by) if partition_by else w).parquet(f"{self.root}/v{v}")
         fs, path = self._fs()
-        out = fs.create(path(f"{self.root}/.CURRENT.tmp"), True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        if fs.exists(path(f"{self.root}/CURRENT")):
-            fs.delete(path(f"{self.root}/CURRENT"), False)
-        fs.rename(path(f"{self.root}/.CURRENT.tmp"), path(f"{self.root}/CURRENT"))
+        fs.create(path(self._marker(v)), False).close()
         return v
 
 

@@ -82,13 +82,13 @@ def _(t):
     return search.full_text(t.memory, TOKENS, filters.scope(CUBE), 10).select("id", F.round("score", 6).alias("score"))
 
 
-PAIRS_SQL = "WITH p AS (SELECT a.item_id, substr(a.text, 1, 60) AS x, substr(b.text, 1, 60) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) "
+PAIRS_SQL = "WITH p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) "
 CHARS = "list_distinct(string_split({}, ''))"
 
 
 def _text_pairs(t):
     b = t.raw("benchmark")
-    return b.select("item_id", F.substring("text", 1, 60).alias("x")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 1, 60).alias("y")), "item_id")
+    return b.select("item_id", F.col("text").alias("x")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("y")), "item_id")
 
 
 @query("tx05_dice", PAIRS_SQL + f"SELECT item_id, round(2.0 * len(list_intersect({CHARS.format('x')}, {CHARS.format('y')})) / (len({CHARS.format('x')}) + len({CHARS.format('y')})), 6)::DOUBLE AS dice FROM p")
@@ -110,11 +110,14 @@ def _(t):
     return _text_pairs(t).select("item_id", F.round(text.char_tfidf(F.col("x"), F.col("y")), 6).alias("tfidf"))
 
 
-@query("tx08_text_similarity")
+TFIDF_SQL = """c AS (SELECT item_id, ch, sum(a) AS a, sum(b) AS b FROM (SELECT item_id, unnest(string_split(x, '')) AS ch, 1 AS a, 0 AS b FROM p UNION ALL SELECT item_id, unnest(string_split(y, '')), 0, 1 FROM p) GROUP BY ALL),
+ w AS (SELECT item_id, sum(a * b) / (sqrt(sum((a * CASE WHEN b > 0 THEN 1.0 ELSE 1.5 END) ^ 2)) * sqrt(sum((b * CASE WHEN a > 0 THEN 1.0 ELSE 1.5 END) ^ 2))) AS tfidf FROM c GROUP BY item_id)"""
+
+
+@query("tx08_text_similarity", PAIRS_SQL + ", " + TFIDF_SQL + ", g AS (SELECT item_id, " + f"2.0 * len(list_intersect({CHARS.format('x')}, {CHARS.format('y')})) / (len({CHARS.format('x')}) + len({CHARS.format('y')})) AS dice, " + BIGRAMS.format("x") + " AS a, " + BIGRAMS.format("y") + """ AS b FROM p)
+ SELECT item_id, round(0.40 * dice + 0.35 * tfidf + 0.25 * len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6)::DOUBLE AS similarity FROM g JOIN w USING (item_id)""")
 def _(t):
-    b = t.raw("benchmark")
-    whole = b.select("item_id", F.col("text").alias("x")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("y")), "item_id")
-    return whole.select("item_id", F.round(text.text_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return _text_pairs(t).select("item_id", F.round(text.text_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 @query("tx10_content_hash", cte("memory") + "SELECT id, substr(sha256(lower(trim(memory))), 1, 32) AS h FROM memory")

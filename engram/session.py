@@ -32,13 +32,15 @@ def get_session(app: str = "engram", cores: str = "*", **conf: str) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a local one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "checkpoints", "engram")
         spark.conf.set("spark.checkpoint.dir", where)
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -129,20 +129,26 @@ def buffer_stream(entries: DataFrame, size: int = BUFFER_SIZE, seconds: int = BU
     """Per (user, cube) buffers flushed at ``size`` entries or when the oldest is older than ``seconds``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
+        held = json.loads(state.get[0]) if state.exists else []  # (arrival in ms, content), oldest first
+
+        def flushed(part: list) -> pd.DataFrame:
+            return pd.DataFrame({"user_id": [key[0]], "cube_id": [key[1]], "content": ["\n---\n".join(c for _, c in part)], "n": [len(part)]})
+
         if state.hasTimedOut:
             state.remove()
             if held:
-                yield pd.DataFrame({"user_id": [key[0]], "cube_id": [key[1]], "content": ["\n---\n".join(held)], "n": [len(held)]})
+                yield flushed(held)
             return
+        now = state.getCurrentProcessingTimeMs()
         for b in batches:
-            held += b["content"].fillna("").tolist()
-        while len(held) >= size:
-            yield pd.DataFrame({"user_id": [key[0]], "cube_id": [key[1]], "content": ["\n---\n".join(held[:size])], "n": [size]})
+            held += [(now, c) for c in b["content"].fillna("").tolist()]
+        while len(held) >= size or held and now - held[0][0] >= seconds * 1000:
+            yield flushed(held[:size])
             held = held[size:]
         if held:
             state.update((json.dumps(held),))
-            state.setTimeoutDuration(seconds * 1000)
+            # new entries don't put off the flush of the oldest
+            state.setTimeoutDuration(max(1, held[0][0] + seconds * 1000 - now))
         elif state.exists:
             state.remove()
 
