@@ -31,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from engram.llm.columns import name_of, numbered, picked
 from engram.operators.graph import connected_components
@@ -48,7 +47,7 @@ MANY = 0x8000
 #: From so many sets of a batch on, a hash is dealt once.
 HOT = 16
 #: Bytes of compressed input a hash range, and with a large input; ranges in between.
-RANGE_BYTES, WIDE_RANGE_BYTES, RANGES = 1 << 21, 1 << 26, 4096
+RANGE_BYTES, WIDE_RANGE_BYTES, RANGES = 1 << 23, 1 << 26, 4096
 #: Rows that one task of the tree join reads at most for a single block.
 BLOCK_ROWS = 2048
 LEAF = 32
