@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.operators import pairs
-from engram.session import materialize
+from engram.session import materialize, release
 
 
 def live(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,18 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(id, hop, seed): nodes within ``depth`` undirected live hops, least hop, then least seed; seeds left out."""
+    # a node is reached once, with its least seed: later walks to it can't be shorter, so a hub adds a row, not one a seed
     pairs = symmetric(live(edges))
     front = seeds.select(F.col("id").alias("id"), F.col("id").alias("seed")).distinct()
-    found = []
+    seen, found = [front.select("id")], []
     for hop in range(1, depth + 1):
-        front = front.join(pairs, front.id == pairs.a).select(F.col("b").alias("id"), "seed").distinct()
+        near = front.join(pairs, front.id == pairs.a).groupBy("b").agg(F.min("seed").alias("seed")).select(F.col("b").alias("id"), "seed")
+        front = near.join(reduce(DataFrame.unionByName, seen), "id", "left_anti")
+        if hop < depth:  # read by the next hop, the visited nodes and the result
+            front = materialize(front, "hop")
+        seen.append(front.select("id"))
         found.append(front.select("id", F.lit(hop).alias("hop"), "seed"))
-    rows = reduce(DataFrame.unionByName, found).join(seeds.select("id"), "id", "left_anti")
-    return rows.groupBy("id").agg(F.min(F.struct("hop", "seed")).alias("best")).select("id", "best.hop", "best.seed")
+    return reduce(DataFrame.unionByName, found)
 
 
 def bindings(memory: DataFrame) -> DataFrame:
@@ -49,17 +53,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     pairs = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("root")), "labels")
+    held = labels
     while True:
         near = pairs.join(labels.select(F.col("u").alias("v"), F.col("root").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
         step = labels.join(near, "u").select("u", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("u").alias("next"), F.col("root").alias("far"))
         new = materialize(step.join(jump, "next", "left").select("u", F.least("next", "far").alias("new"), F.col("root").alias("old")), "labels")
-        labels = new.select("u", F.col("new").alias("root"))
+        release(held)
+        labels, held = new.select("u", F.col("new").alias("root")), new
         if new.where(F.col("new") != F.col("old")).isEmpty():
             return labels.select(F.col("u").alias("node"), "root")
 
 
-def pagerank(edges: DataFrame, iterations: int = 30, damping: float = 0.85, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 30, damping: float = 0.85) -> DataFrame:
     """(id, pagerank): weighted PageRank with dangling mass spread evenly.
 
     ``edges``: from_id, to_id, weight.  Weights not above 0 count as 1; self loops and
@@ -75,17 +81,18 @@ def pagerank(edges: DataFrame, iterations: int = 30, damping: float = 0.85, chec
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    rank = nodes.withColumn("pagerank", F.lit(1.0 / n))
-    for i in range(iterations):
+    rank = materialize(nodes.withColumn("pagerank", F.lit(1.0 / n)), "pr")
+    for _ in range(iterations):  # each reads one written table, so the plan doesn't grow
         gained = e.join(rank, e.from_id == rank.id).groupBy("to_id").agg(F.sum(F.col("pagerank") * F.col("share")).alias("gained"))
         lost = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("pagerank"))), F.lit(0.0)).alias("lost")))  # one row
-        rank = (
+        new = (
             nodes.join(gained, nodes.id == gained.to_id, "left")
             .join(lost, F.lit(True))
             .select("id", "out", (F.lit((1 - damping) / n) + damping * (F.coalesce("gained", F.lit(0.0)) + F.col("lost") / n)).alias("pagerank"))
         )
-        if (i + 1) % checkpoint_every == 0:
-            rank = materialize(rank, "pr")
+        new = materialize(new, "pr")
+        release(rank)
+        rank = new
     return rank.select("id", "pagerank")
 
 

@@ -66,8 +66,21 @@ def remove_contradicted(memory: DataFrame, edges: DataFrame, found: DataFrame, a
 
 
 def resolve_ids(given: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
-    """(given, id): the only known id within ``most`` edits, case folded; ambiguous ones go."""
-    t = given.select(F.col("id").alias("given")).join(F.broadcast(known.select("id")), F.levenshtein(F.lower("given"), F.lower("id")) <= most)
+    """(given, id): the only known id within ``most`` edits, case folded; ambiguous ones go.
+
+    A known id is cut into ``most`` + 1 segments, of which an id within ``most`` edits
+    holds one unchanged, at most ``most`` places away.  So the two tables join on
+    (length, segment number, segment), and only such pairs are compared.
+    """
+    parts = most + 1
+    cut = "substring(low, cast(floor(i * n / {0}) AS int) + 1 + {1}, cast(floor((i + 1) * n / {0}) - floor(i * n / {0}) AS int))"
+    k = known.select("id", F.lower("id").alias("low")).withColumn("n", F.length("low")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    k = k.select("id", "n", "i", F.expr(cut.format(parts, 0)).alias("segment"))
+    g = given.select(F.col("id").alias("given"), F.lower("id").alias("low")).where("low IS NOT NULL").distinct()
+    g = g.withColumn("n", F.explode(F.sequence(F.greatest(F.length("low") - most, F.lit(0)), F.length("low") + most))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    g = g.withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("at", F.expr(f"cast(floor(i * n / {parts}) AS int) + shift")).where("at >= 0 AND at <= length(low)")
+    g = g.select("given", "n", "i", F.expr(cut.format(parts, "shift")).alias("segment")).distinct()
+    t = g.join(k, ["n", "i", "segment"]).select("given", "id").distinct().where(F.levenshtein(F.lower("given"), F.lower("id")) <= most)
     exact = F.max(F.lower("given") == F.lower("id"))
     one = t.groupBy("given").agg(F.count("*").alias("n"), exact.alias("exact"), F.min("id").alias("id"), F.max(F.when(F.lower("given") == F.lower("id"), F.col("id"))).alias("same"))
     return one.where("n = 1 OR exact").select("given", F.coalesce("same", "id").alias("id"))

@@ -56,13 +56,38 @@ def pairs_above(rows: DataFrame, least: float, group: str | None = None, id_col:
     return _blocks(base, block).groupBy("grp", "lo", "hi").applyInArrow(multiply, "a string, b string, score double")
 
 
-def pairs_touching(rows: DataFrame, ids: DataFrame, least: float, **kw) -> DataFrame:
-    """Pairs with at least one side among ``ids``."""
-    pairs = pairs_above(rows, least, **kw)
-    want = ids.select("id").distinct()
-    left = pairs.join(want, F.col("a") == F.col("id"), "left_semi")
-    right = pairs.join(want, F.col("b") == F.col("id"), "left_semi")
-    return left.unionByName(right).dropDuplicates(["a", "b"])
+def _two_sides(rows: DataFrame, others: DataFrame, keys: tuple[str, ...], block: int) -> DataFrame:
+    """(grp, task, side, id, v): both tables (keys, id, v) dealt out, a copy of a row for each block of the other side."""
+    sides = (rows, others)
+    k = [t.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias(f"k{i}")) for i, t in enumerate(sides)]
+    k = k[0].join(k[1], list(keys))
+    dealt = []
+    for i, t in enumerate(sides):
+        mine, other = F.pmod(F.xxhash64("id", "v"), F.col(f"k{i}")).alias("ab"[i]), F.explode(F.sequence(F.lit(0), F.col(f"k{1 - i}") - 1)).alias("ba"[i])
+        dealt.append(t.join(k, list(keys)).select(*keys, mine, other, F.lit(i).alias("side"), "id", "v").select(*keys, "a", "b", "side", "id", "v"))
+    # one key, so that rows already dealt by grp are dealt anew: a hot group becomes many tasks
+    return dealt[0].unionByName(dealt[1]).select("grp", F.struct(*keys, "a", "b").alias("task"), "side", "id", "v")
+
+
+def pairs_touching(rows: DataFrame, ids: DataFrame, least: float, group: str | None = None, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, score), a < b, with at least one side among ``ids``: blocks of those are multiplied with blocks of all."""
+
+    def multiply(table: pa.Table) -> pa.Table:
+        a, x = _matrix(table, 0)
+        b, y = _matrix(table, 1)
+        s = x @ y.T if len(a) and len(b) else np.zeros((0, 0))
+        i, j = np.nonzero(s >= least)
+        p, q, score = a[i], b[j], s[i, j]
+        keep = p != q
+        p, q, score = p[keep], q[keep], score[keep]
+        low, high = np.where(p < q, p, q), np.where(p < q, q, p)
+        return pa.table({"a": pa.array(low.tolist(), pa.string()), "b": pa.array(high.tolist(), pa.string()), "score": pa.array(score, pa.float64())})
+
+    grp = F.col(group).cast("string") if group else F.lit("")
+    base = rows.where(F.col(vector_col).isNotNull()).select(grp.alias("grp"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    some = base.join(ids.select("id").distinct(), "id", "left_semi").select("grp", "id", "v")
+    found = _two_sides(some, base, ("grp",), block).groupBy("task").applyInArrow(multiply, "a string, b string, score double")
+    return found.groupBy("a", "b").agg(F.max("score").alias("score"))  # twice if both are among the ids
 
 
 def top_neighbours(rows: DataFrame, k: int, least: float = -1.0, group: str | None = None, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -81,7 +106,10 @@ def top_neighbours(rows: DataFrame, k: int, least: float = -1.0, group: str | No
         s = x @ y.T if len(a) and len(b) else np.zeros((0, 0))
         for ids, others, m in ((a, b, s),) if same else ((a, b, s), (b, a, s.T)):
             for i, row in enumerate(m):
-                found = [(float(-row[j]), others[j]) for j in np.flatnonzero(row >= least) if others[j] != ids[i]]
+                near = np.flatnonzero(row >= least)
+                if len(near) > 4 * k + 4:  # the k + 1 best, and all that tie with the last of them
+                    near = near[row[near] >= np.partition(row[near], len(near) - k - 1)[len(near) - k - 1] - 1e-9]
+                found = [(float(-row[j]), others[j]) for j in near if others[j] != ids[i]]
                 out += [(ids[i], o, -c) for c, o in sorted(found)[:k]]
         cols = list(zip(*out)) if out else [(), (), ()]
         return pa.table({"from_id": pa.array(cols[0], pa.string()), "to_id": pa.array(cols[1], pa.string()), "score": pa.array(cols[2], pa.float64())})
@@ -116,14 +144,6 @@ def nearest(rows: DataFrame, others: DataFrame, least: float, block: int = BLOCK
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("grp", "id", "other", "score"), cols, (*[pa.string()] * 3, pa.float64()))})
 
     sides = [t.where("grp IS NOT NULL AND v IS NOT NULL").select("grp", F.size("v").alias("dim"), "id", "v") for t in (rows, others)]
-    k = [t.groupBy("grp", "dim").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias(f"k{i}")) for i, t in enumerate(sides)]
-    k = k[0].join(k[1], ["grp", "dim"])
-    dealt = []
-    for i, t in enumerate(sides):
-        mine, other = F.pmod(F.xxhash64("id", "v"), F.col(f"k{i}")).alias("ab"[i]), F.explode(F.sequence(F.lit(0), F.col(f"k{1 - i}") - 1)).alias("ba"[i])
-        dealt.append(t.join(k, ["grp", "dim"]).select("grp", "dim", mine, other, F.lit(i).alias("side"), "id", "v").select("grp", "dim", "a", "b", "side", "id", "v"))
-    # one key, so that rows already dealt by grp are dealt anew: a hot group becomes many tasks
-    task = F.struct("grp", "dim", "a", "b").alias("task")
-    found = dealt[0].unionByName(dealt[1]).select("grp", task, "side", "id", "v").groupBy("task").applyInArrow(multiply, "grp string, id string, other string, score double")
+    found = _two_sides(*sides, ("grp", "dim"), block).groupBy("task").applyInArrow(multiply, "grp string, id string, other string, score double")
     best = F.max(F.struct(F.round("score", 9).alias("r"), "other", "score")).alias("best")
     return found.groupBy("grp", "id").agg(best).select("grp", "id", "best.other", "best.score")

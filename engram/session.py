@@ -79,7 +79,15 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, which no later plan may read."""
+    if getattr(df, "_scratch", None):
+        drop_path(df.sparkSession, df._scratch)
 
 
 def input_bytes(df: DataFrame) -> int:
