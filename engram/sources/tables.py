@@ -83,7 +83,7 @@ class Preferences:
         return self.rows.join(ids.select("id"), "id", "left_anti")
 
     def purge(self, user: str) -> DataFrame:
-        return self.rows.where(F.col("user_id") != user)
+        return self.rows.where(~F.col("user_id").eqNullSafe(user))
 
 
 def vector_cache(memory: DataFrame, newest: int = 50) -> DataFrame:
