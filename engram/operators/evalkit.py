@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram import models
 from engram.functions import text
 
 # Names of question categories, by number only.
@@ -67,6 +69,41 @@ def bleu_1(pred: Column, gold: Column) -> Column:
     return F.when((n == 0) | (F.size(g) == 0), 0.0).otherwise(brevity * _overlap(p, g) / n)
 
 
+def _meteor(pred: list[str], gold: list[str]) -> float:
+    """Exact matches, left to right: 10PR / (R + 9P), less half the cube of the chunks a match."""
+    free: dict[str, list[int]] = {}
+    for i, w in enumerate(gold):
+        free.setdefault(w, []).append(i)
+    at = []
+    for w in pred:
+        places = free.get(w)
+        if places:
+            after = at[-1] + 1 if at else -1
+            at.append(places.pop(places.index(after) if after in places else 0))
+    if not at:
+        return 0.0
+    p, r = len(at) / len(pred), len(at) / len(gold)
+    chunks = 1 + sum(b != a + 1 for a, b in zip(at, at[1:]))
+    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / len(at)) ** 3)
+
+
+def meteor(pred: Column, gold: Column) -> Column:
+    """METEOR by exact words, without stems and synonyms."""
+
+    @F.pandas_udf("double")
+    def score(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([_meteor(list(x), list(y)) for x, y in zip(p, g)], dtype="float64")
+
+    return score(text.answer_tokens(pred), text.answer_tokens(gold))
+
+
+def embedding_similarity(rows: DataFrame, pred: str, gold: str, make=models.HashEmbedder, out: str = "similarity") -> DataFrame:
+    """``rows`` with the cosine of the embedded texts, 0 where one is empty."""
+    t = models.embed_column(models.embed_column(rows, pred, "__p", make), gold, "__g", make)
+    dot = F.aggregate(F.zip_with("__p", "__g", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return t.withColumn(out, dot).drop("__p", "__g")
+
+
 def prediction(chat_answer: Column, retrieved: Column) -> Column:
     """The chat answer, else the first three retrieved texts."""
     return F.coalesce(F.nullif(F.trim(chat_answer), F.lit("")), F.array_join(F.slice(retrieved, 1, 3), " "))

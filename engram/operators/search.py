@@ -181,6 +181,17 @@ def apply_importance(results: DataFrame, memory: DataFrame, as_of: Column, alpha
     return results.join(m, "id", "left").select("id", s.alias("score"))
 
 
+def rescored(found: DataFrame, memory: DataFrame, query: list[float], as_of: Column, alpha: float = scoring.DECAY_ALPHA) -> DataFrame:
+    """(id, memory, memory_type, score): cosine and decay of a few candidates (id, score) in one pass over the table.
+
+    ``found`` must be bounded (top-k lists), as it is broadcast.
+    """
+    m = memory.select("id", "memory", "memory_type", "updated_at", "embedding").join(F.broadcast(found.select("id", "score")), "id")
+    rel = F.coalesce(vector.relativity(vector.cosine(F.col("embedding"), vector.literal(query))), F.col("score"))
+    m = m.withColumn("score", rel)
+    return m.select("id", "memory", "memory_type", scoring.decay(F.col("score"), F.col("updated_at"), as_of, F.col("memory_type"), alpha).alias("score"))
+
+
 def apply_decay(results: DataFrame, memory: DataFrame, as_of: Column, alpha: float = scoring.DECAY_ALPHA) -> DataFrame:
     m = memory.select("id", "updated_at", "memory_type")
     return results.join(m, "id", "left").withColumn("score", scoring.decay(F.col("score"), F.col("updated_at"), as_of, F.col("memory_type"), alpha)).drop("updated_at", "memory_type")
@@ -283,9 +294,10 @@ def precomputed_rerank(results: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def reorder(results: DataFrame, given: DataFrame) -> DataFrame:
-    """Rows of ``given`` (id, pos) first in that order, then the rest in their own."""
-    t = results.join(given, "id", "left")
-    return t.withColumn("place", F.row_number().over(Window.orderBy(F.col("pos").asc_nulls_last(), "ord"))).drop("pos")
+    """Each query's rows (query_id, id, ord) with their ``place``: those of ``given`` (query_id, id, pos) first in that order, then the rest in their own."""
+    t = results.join(given, ["query_id", "id"], "left")
+    w = Window.partitionBy("query_id").orderBy(F.col("pos").asc_nulls_last(), "ord", "id")
+    return t.withColumn("place", F.row_number().over(w)).drop("pos")
 
 
 def fill_up(kept: DataFrame, recall: DataFrame, k: int) -> DataFrame:

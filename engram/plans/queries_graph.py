@@ -180,7 +180,9 @@ def _(t):
     return ingest.sanitize_profiles(t.spark.createDataFrame(rows, "topic string, sub_topic string, memo string")).select("topic", "sub_topic", "memo")
 
 
-@query("i13_profile_pack")
+@query("i13_profile_pack", cte("profiles") + """, l AS (SELECT *, (doc_id % 10) / 10.0::DOUBLE AS confidence, '- ' || topic || '::' || sub_topic || ': ' || memo AS line FROM profiles WHERE expired_s IS NULL),
+ u AS (SELECT *, sum(ceil(length(line) / 4.0)) OVER (PARTITION BY cube_id, user_id ORDER BY confidence DESC, topic, sub_topic, memo ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM l)
+ SELECT cube_id, user_id, topic, sub_topic, line, used FROM u WHERE used <= 60""")
 def _(t):
     p = t.profiles.where("expired_at IS NULL").withColumn("confidence", (F.col("doc_id") % 10) / 10.0)
     return ingest.pack_profile(p, 60)
@@ -203,7 +205,7 @@ def _(t):
     return ingest.fixed_chunks(t.raw("documents"), 100)
 
 
-@query("i18_reembed")
+@query("i18_reembed", M + "SELECT id, 64::INTEGER AS dim FROM memory WHERE status = 'activated'")
 def _(t):
     from engram.models import reembed
 

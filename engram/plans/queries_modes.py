@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from engram import models
 from engram.functions import scoring, text
-from engram.operators import evalkit, filters, ingest, maintain, modes, pairs, search
+from engram.operators import approx, evalkit, filters, ingest, maintain, modes, pairs, search
 from engram.plans.adapter import AS_OF, COS_SQL, CUBE, EPOCH, cte
 from engram.plans.queries_graph import HOP_SQL, PAIR
 from engram.plans.registry import query
@@ -98,6 +98,14 @@ def _(t):
     return search.knn(t.memory, t.vector(), where, None).select("id", F.round("score", 6).alias("score"))
 
 
+# how many of these rows are the exact ones is tested: SQL has no such index
+@query("v05_approx_knn")
+def _(t):
+    rows = t.memory.select("id", "status", "embedding")
+    centroids = approx.fit(rows)
+    return approx.knn(approx.indexed(rows, centroids), centroids, t.vector(), F.col("status") == "activated", 10, 20).select("id", F.round("score", 6).alias("score"))
+
+
 @query("f11_threshold", MQ + f"SELECT id FROM memory, q WHERE status = 'activated' AND user_name = '{CUBE}' AND (({COS} + 1) / 2 >= 0.52 OR memory_type IN ('WorkingMemory', 'PreferenceMemory') AND ({COS} + 1) / 2 >= 0.52 - 0.10)")
 def _(t):
     found = search.cosine_rescore(search.knn(t.memory, t.vector(), filters.scope([CUBE]), None), t.memory, t.vector()).join(t.memory.select("id", "memory_type"), "id")

@@ -218,7 +218,8 @@ def _(t):
     return a.select("user_name", "n", scoring.rerank_gate(F.col("n"), F.col("hi"), F.col("lo")).alias("decision"))
 
 
-@query("s06_rerank")
+@query("s06_rerank", MQ + f"""SELECT id, round(CASE WHEN r <= 10 THEN len(list_intersect(list_distinct(regexp_extract_all(lower(memory), '[\\p{{L}}\\p{{N}}_]+')), ['the', 'thing'])) / 2.0 ELSE score END, 6)::DOUBLE AS score, r <= 10 AS reranked
+ FROM (SELECT id, memory, {COS} AS score, row_number() OVER (ORDER BY {COS} DESC, id) AS r FROM memory, q WHERE status = 'activated' AND embedding IS NOT NULL) WHERE r <= 20""")
 def _(t):
     r = search.knn(t.memory, t.vector(), _active(), 20).join(t.memory.select("id", "memory"), "id")
     return models.rerank(r, "the thing", top=10).select("id", F.round("score", 6).alias("score"), "reranked")
@@ -231,10 +232,12 @@ def _(t):
     return search.precomputed_rerank(r, n)
 
 
-@query("t07_reorder", cte("memory") + "SELECT id, row_number() OVER (ORDER BY pos NULLS LAST, doc_id)::INTEGER AS place FROM memory LEFT JOIN (VALUES ('m9', 0), ('m2', 1)) AS v(w, pos) ON id = w WHERE doc_id < 12")
+@query("t07_reorder", cte("memory") + """, r AS (SELECT doc_id // 20 AS query_id, id, doc_id, CASE doc_id % 20 WHEN 9 THEN 0 WHEN 2 THEN 1 END AS pos FROM memory)
+ SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos NULLS LAST, doc_id)::INTEGER AS place FROM r""")
 def _(t):
-    given = t.spark.createDataFrame([("m9", 0), ("m2", 1)], "id string, pos int")
-    return search.reorder(t.memory.where("doc_id < 12").select("id", F.col("doc_id").alias("ord")), given).select("id", "place")
+    q, n = F.floor(F.col("doc_id") / 20).alias("query_id"), F.col("doc_id") % 20
+    given = t.memory.where(n.isin(9, 2)).select(q, "id", F.when(n == 9, 0).otherwise(1).alias("pos"))
+    return search.reorder(t.memory.select(q, "id", F.col("doc_id").alias("ord")), given).select("query_id", "id", "place")
 
 
 @query("d01_text_dedupe", cte("memory") + "SELECT user_name, count(DISTINCT lower(trim(memory))) AS n FROM memory WHERE trim(memory) <> '' GROUP BY user_name")
@@ -279,8 +282,8 @@ def hybrid(t):
     q = t.vector()
     lists = search.knn(t.memory, q, where, 30).withColumn("source", F.lit("v")).unionByName(search.full_text(t.memory, TOKENS, where, 30).withColumn("source", F.lit("t")))
     found = search.rrf(search.ranked(lists.withColumn("score", F.round("score", 9))))
-    found = search.threshold(search.apply_decay(search.cosine_rescore(found, t.memory, q), t.memory, _as_of()), 0.3)
-    rows = search.first_by_text(found.join(t.memory.select("id", "memory"), "id"), F.lit(0))
+    found = search.threshold(search.rescored(found, t.memory, q, _as_of()), 0.3)  # 60 rows at most
+    rows = search.first_by_text(found, F.lit(0))
     rows = search.ranked(rows.withColumn("all", F.lit(1)).withColumn("raw", F.col("score")).withColumn("score", F.round("score", 9)), ("all",))
     return rows.where("rank <= 10").select("id", F.round("raw", 6).alias("score"), "rank")
 
@@ -325,7 +328,14 @@ def _(t):
     return evalkit.rollup(_scored(t), ["f1", "hit"], exclude=(5,)).select("category", "n", F.round("f1", 6).alias("f1"), F.round("hit", 6).alias("hit"))
 
 
-@query("e07_ngram_scores")
+GRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+SAME = "list_sum(list_transform(list_distinct({0}), lambda t: least(len(list_filter({0}, lambda x: x = t)), len(list_filter({1}, lambda x: x = t)))))"
+
+
+@query("e07_ngram_scores", PG_SQL + f""", k AS (SELECT item_id, q, g, {GRAMS.format("q")} AS q2, {GRAMS.format("g")} AS g2 FROM n),
+ o AS (SELECT *, {SAME.format("q", "g")} AS one, {SAME.format("q2", "g2")} AS two FROM k)
+ SELECT item_id, round(2.0 * one / (len(q) + len(g)), 6)::DOUBLE AS rouge_1, round(2.0 * two / (len(q2) + len(g2)), 6)::DOUBLE AS rouge_2,
+ round(CASE WHEN len(q) >= len(g) THEN 1.0 ELSE exp(1 - len(g) / len(q)::DOUBLE) END * one / len(q), 6)::DOUBLE AS bleu_1 FROM o""")
 def _(t):
     p, g = F.col("pred"), F.col("gold")
     return _preds(t).select("item_id", F.round(evalkit.rouge_n(p, g, 1), 6).alias("rouge_1"), F.round(evalkit.rouge_n(p, g, 2), 6).alias("rouge_2"), F.round(evalkit.bleu_1(p, g), 6).alias("bleu_1"))
