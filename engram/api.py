@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engram import models
 from engram.functions import text
@@ -70,8 +71,9 @@ class Engine:
 
     def context(self, request: dict, least: float = 0.30) -> DataFrame:
         """Search rows as chat context: thresholded with back-fill."""
-        rows = self.search(request)
-        items = rows.select("id", "memory", "score", F.lit(False).alias("outer"), F.col("rank").alias("ord"))
+        rows = materialize(self.search(request), "context")  # a few rows, read twice
+        place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # ranks restart in every bucket
+        items = rows.select("id", "score", F.lit(False).alias("outer"), place.alias("ord"))
         return search.chat_backfill(items, least).join(rows.select("id", "memory"), "id")
 
     def touch(self, hits: DataFrame) -> DataFrame:

@@ -209,21 +209,22 @@ def preference_quality(text_col: Column) -> Column:
     return (F.octet_length(t) >= 30) & ~t.rlike(r"(?i)^(user|assistant|system):")
 
 
-def chat_backfill(items: DataFrame, least: float = 0.30, at_least: int = 3) -> DataFrame:
+def chat_backfill(items: DataFrame, least: float = 0.30, at_least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows over the threshold; too few are filled up from the best personal and outer rows.
 
-    ``items``: id, score, outer (boolean), ord (original place).
+    ``items``: id, score, outer (boolean), ord (original place); one result list, or
+    one for each value of the columns ``by``.
     """
-    personal = F.row_number().over(Window.partitionBy("outer").orderBy("ord"))
+    personal = F.row_number().over(Window.partitionBy(*by, "outer").orderBy("ord"))
     t = items.withColumn("place", personal).withColumn("ok", F.col("score") >= least)
-    everything = Window.partitionBy()
+    everything = Window.partitionBy(*by)
     t = t.withColumn("n_ok", F.count(F.when(F.col("ok"), 1)).over(everything)).withColumn("n_personal", F.count(F.when(F.col("ok") & ~F.col("outer"), 1)).over(everything))
     keep = (
         F.when(F.col("n_ok") < at_least, F.col("place") <= at_least)
         .when(F.col("n_personal") < at_least, F.col("ok") | (~F.col("outer") & (F.col("place") > F.col("n_personal")) & (F.col("place") <= at_least)))
         .otherwise(F.col("ok"))
     )
-    return t.where(keep).select("id", "score", "outer", "ord")
+    return t.where(keep).select(*by, "id", "score", "outer", "ord")
 
 
 def bucket_of(memory_type: Column) -> Column:

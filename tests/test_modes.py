@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from engram import api, models, tuning
-from engram.operators import ingest, modes
+from engram.operators import ingest, modes, search
+from engram.plans.adapter import AS_OF, CUBE, Tables
 from engram.sources import web
 from engram.streaming import loops
 
@@ -173,3 +175,21 @@ def test_web_rows_without_the_engine_that_fails(spark):
 def test_read_later_names_working_rows_only(spark):
     rows = ingest.node_pairs(spark.createDataFrame([("c", "a", "UserMemory")], "user_name string, memory string, memory_type string"))
     assert [r.item_id[:6] for r in ingest.read_later(rows).collect()] == ["read-w"]
+
+
+def test_backfill_of_each_list_and_context_order(spark):
+    items = spark.createDataFrame([(q, f"{q}{i}", 0.9 if (q, i) == (1, 0) else 0.1, False, i) for q in (1, 2) for i in range(5)], "q int, id string, score double, outer boolean, ord int")
+    both = search.chat_backfill(items, by=("q",))
+    assert sorted((r.q, r.id) for r in both.collect()) == [(q, f"{q}{i}") for q in (1, 2) for i in range(3)]
+    one = search.chat_backfill(items.where("q = 1").drop("q"))
+    assert sorted(r.id for r in one.collect()) == ["10", "11", "12"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_context_takes_the_best_rows_of_all_buckets(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    engine = api.Engine(spark, t.memory, t.edges, F.timestamp_seconds(F.lit(AS_OF)))
+    request = {"query": "the thing", "vector": tuple(t.vector()), "cubes": (CUBE,), "top_k": 4}
+    found = sorted(((-r.score, r.id) for r in engine.search(request).collect()))
+    assert [r.id for r in engine.context(request, 2.0).orderBy("ord").collect()] == [i for _, i in found[:3]]
+    assert engine.context(request, -1.0).count() == len(found)
