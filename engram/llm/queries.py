@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import html_text, media, ngram_join, packing, quality, secret_scan, suffix_pieces, token_count, toxicity, url_filter
+from engram.llm import divergence, html_text, media, ngram_join, packing, quality, secret_scan, suffix_pieces, token_count, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_url_filter, op3_token_count, op4_secret_scan, op5_quality, op6_packing, op7_media, op8_pieces, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_html_text, op2_url_filter, op3_token_count, op4_secret_scan, op5_quality, op6_packing, op7_media, op8_pieces, op9_toxicity, op10_ngram_join, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.oracle()}
+    return {"op5_quality": quality.oracle(), "op13_divergence": divergence.oracle()}
