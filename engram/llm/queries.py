@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import divergence, hard_negatives, html_text, media, ngram_join, packing, quality, secret_scan, suffix_pieces, token_count, toxicity, url_filter
+from engram.llm import divergence, hard_negatives, html_text, license_scan, media, ngram_join, packing, quality, secret_scan, suffix_pieces, token_count, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), hard_negatives.contract_label())
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_url_filter, op3_token_count, op4_secret_scan, op5_quality, op6_packing, op7_media, op8_pieces, op9_toxicity, op10_ngram_join, op11_hard_negatives, op13_divergence)}
+    return {f.__name__: f for f in (op1_html_text, op2_url_filter, op3_token_count, op4_secret_scan, op5_quality, op6_packing, op7_media, op8_pieces, op9_toxicity, op10_ngram_join, op11_hard_negatives, op12_license_scan, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.oracle(), "op11_hard_negatives": hard_negatives.oracle(), "op13_divergence": divergence.oracle()}
+    return {"op5_quality": quality.oracle(), "op11_hard_negatives": hard_negatives.oracle(), "op12_license_scan": license_scan.oracle(), "op13_divergence": divergence.oracle()}
