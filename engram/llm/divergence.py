@@ -73,12 +73,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def postings(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The inverted index (lang, term, sources): of each kept term its [(source, n)], n its occurrences there."""
+def postings(docs: DataFrame, sources: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The inverted index (lang, term, at): of each kept term its [(no, n)], n its occurrences in the source with that number.
+
+    ``sources`` (lang, source, no) has every group of the documents.
+    """
     raw = docs.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    one = raw.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    index = one.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
-    return index.where(F.col("docs") >= least_docs).select("lang", "term", "sources")
+    one = raw.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).join(sources, ["lang", "source"])
+    index = one.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("no", "n"))).alias("at"))
+    return index.where(F.col("docs") >= least_docs).select("lang", "term", "at")
 
 
 def share(count: Column, total: Column) -> Column:
@@ -114,29 +117,34 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS, tex
     many as each of them has rows in the result.
     """
     rows = picked(docs, lang=(lang_col, "string"), source=(source_col, "string"), text=(text_col, "string")).fillna("")
-    index = materialize(postings(rows, least_docs), "postings")
-    kept = index.groupBy("lang").agg(F.count("*").alias("v"))
-    totals = index.select("lang", F.explode("sources").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.n").alias("n"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["n", "v"])
-    groups = groups.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")))  # as many rows as a group has pairs
-    total = F.greatest(F.col("n") + F.col("v"), F.lit(1))  # 1 where the language keeps no term, whose pairs are V = 0 times something
-    groups = materialize(groups.withColumn("zero", share(F.lit(0).cast("long"), total)), "groups")
-    few = groups.count() <= BROADCAST_GROUPS
+    sources = rows.select("lang", "source").distinct()
+    sources = sources.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")))  # as many rows as a group has pairs
+    sources = materialize(sources, "sources")
+    few = sources.count() <= BROADCAST_GROUPS
 
     def beside(t: DataFrame) -> DataFrame:
         return F.broadcast(t) if few else t
 
-    langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.max("v").alias("v"), F.map_from_entries(F.collect_list(F.struct("source", F.struct("no", "n", "zero")))).alias("own"))
+    index = materialize(postings(rows, beside(sources), least_docs), "postings")
+    kept = index.groupBy("lang").agg(F.count("*").alias("v"))
+    totals = index.select("lang", F.explode("at").alias("s")).groupBy("lang", "s.no").agg(F.sum("s.n").alias("n"))
+    groups = sources.join(totals, ["lang", "no"], "left").join(kept, "lang", "left").fillna(0, ["n", "v"])
+    total = F.greatest(F.col("n") + F.col("v"), F.lit(1))  # 1 where the language keeps no term, whose pairs are V = 0 times something
+    groups = materialize(groups.select("lang", "source", "no", "v", "n", total.alias("total"), share(F.lit(0).cast("long"), total).alias("zero")), "groups")
+    by_no = F.array_sort(F.collect_list(F.struct("no", "total", "zero")))
+    langs = groups.groupBy("lang").agg((F.sum("n") + F.max("v")).alias("whole"), by_no.alias("own"))
+    langs = langs.select("lang", "whole", F.col("own.total").alias("totals"), F.col("own.zero").alias("zeros"))
 
     def with_share(s: Column) -> Column:
-        g = F.element_at("own", s["source"])
-        return F.struct(g["no"].alias("no"), share(s["n"], g["n"] + F.col("v")).alias("p"), g["zero"].alias("zero"), s["source"].alias("source"))
+        return F.struct(s["no"].alias("no"), share(s["n"], F.element_at("totals", s["no"])).alias("p"), F.element_at("zeros", s["no"]).alias("zero"))
 
-    lang_count = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    shared = index.join(beside(langs), "lang").select("lang", "term", F.transform("sources", with_share).alias("at"), share(lang_count, F.col("lang_n") + F.col("v")).alias("q"))
+    count = F.aggregate("at", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    shared = index.join(beside(langs), "lang").select("lang", "term", F.transform("at", with_share).alias("at"), share(count, F.col("whole")).alias("q"))
+    shared = materialize(shared, "shares")  # read for the terms, the single counts and the pairs
     one = shared.select("lang", "term", "q", F.explode("at").alias("a")).select("lang", "term", "q", "a.*")
 
-    own = one.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), worth(F.col("p"), F.col("q")).alias("value"))
+    own = one.where("p > q").join(beside(sources), ["lang", "no"])
+    own = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), worth(F.col("p"), F.col("q")).alias("value"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     own = own.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= terms)
     return own.unionByName(_pairs(groups, shared, one, beside).withColumn("rank", F.row_number().over(best))).select("lang", "source", "part", "item", "value", "rank")
