@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import text
-from engram.operators import graph, ingest, pairs, search, store
+from engram.operators import graph, hierarchy, ingest, pairs, search, store
+from engram.session import materialize
 
 # Thresholds of the jobs.
 NEAR_DUPLICATE, AUTO_MERGE, CLUSTER_CHILDREN = 0.85, 0.97, 6
@@ -116,11 +117,17 @@ def compaction_split(memory: DataFrame, at: int = COMPACT_AT, keep: int = COMPAC
     return t.where((F.col("n") >= at) & (F.col("place") <= F.col("n") - keep)).drop("n", "place")
 
 
-def compact(memory: DataFrame, at: int = COMPACT_AT, keep: int = COMPACT_KEEP) -> DataFrame:
-    """One episodic row a cube out of its compacted working rows (texts joined, oldest first)."""
+def compact(memory: DataFrame, at: int = COMPACT_AT, keep: int = COMPACT_KEEP, now: Column | None = None) -> DataFrame:
+    """One episodic row a cube out of its compacted working rows: texts joined, oldest first; the mean vector; the newest time, or ``now``."""
     t = compaction_split(memory, at, keep)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("updated_at", "id", "memory"))), lambda x: x["memory"]), "\n")
-    return t.groupBy("user_name").agg(joined.alias("memory"), F.count("*").alias("n")).withColumn("memory_type", F.lit("EpisodicMemory"))
+    made = t.groupBy("user_name").agg(joined.alias("memory"), F.count("*").alias("n"), F.max("updated_at").alias("updated_at")).withColumn("memory_type", F.lit("EpisodicMemory"))
+    made = made if now is None else made.withColumn("updated_at", now)
+    if "embedding" not in memory.columns:
+        return made
+    parts = t.select("user_name", F.posexplode("embedding").alias("i", "x")).groupBy("user_name", "i").agg(F.avg("x").alias("x"))
+    mean = parts.groupBy("user_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).cast(memory.schema["embedding"].dataType).alias("embedding"))
+    return made.join(mean, "user_name", "left")
 
 
 def refresh_working(memory: DataFrame, query: list[float], where: Column, k: int | None = 10, least: float = 0.60) -> DataFrame:
@@ -175,15 +182,25 @@ def raw_windows(memory: DataFrame, limit: int = 50) -> DataFrame:
     return t.orderBy(F.col("created_at").asc_nulls_last(), "id").limit(min(limit, 200))
 
 
-def cycle(memory: DataFrame, edges: DataFrame, at: Column, least: float = NEAR_DUPLICATE) -> tuple[DataFrame, DataFrame]:
-    """One periodic round over all cubes: compact, consolidate, promote, decay."""
-    made = compact(memory)
+def cycle(memory: DataFrame, edges: DataFrame, at: Column, least: float = NEAR_DUPLICATE, tiers: dict[str, tuple[float, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One periodic round over all cubes: compact, consolidate, grow the tree by both tiers, decay.
+
+    But for the decay of importance a second round over the result changes nothing.
+    ``tiers`` sets a tier's cosine and least cluster.
+    """
+    memory = store._with_column(store._with_column(memory, "hierarchy_level"), "parent_memory_id")
     gone = compaction_split(memory).select("id")
-    m = store.delete_ids(memory, gone).unionByName(
-        made.select(F.concat(F.lit("c"), F.substring(F.sha2("memory", 256), 1, 16)).alias("id"), "user_name", "memory", "memory_type", F.lit("activated").alias("status")), allowMissingColumns=True
+    made = compact(memory, now=at).select(
+        F.concat(F.lit("c"), F.substring(F.sha2(F.concat_ws("\n", "user_name", "memory"), 256), 1, 16)).alias("id"), "user_name", "memory", "memory_type", "embedding", "updated_at", F.col("updated_at").alias("created_at"), F.lit("activated").alias("status")
     )
-    merges, merged = consolidate(m, least)
+    made = made.select(*[c for c in made.columns if c in memory.columns])
+    m = materialize(store.delete_ids(memory, gone).unionByName(made, allowMissingColumns=True), "compacted")
+    # a parent has the vector of its longest child, so it isn't a copy of it
+    merges, merged = consolidate(m.where("coalesce(hierarchy_level, 'raw') = 'raw'"), least)
+    merges = materialize(merges, "merges")
     m = store.soft_merge(m, merges, at)
-    up = promote(m, "raw", least)
-    e = graph.upsert_edges(edges, merged.unionByName(up["edges"]))
+    e = graph.upsert_edges(edges, merged)
+    for level in hierarchy.TIERS:
+        cosine, size = (tiers or {}).get(level, (None, None))
+        m, e, _ = hierarchy.grow(m, e, at, level, cosine, size)
     return store.decay_importance(m), e

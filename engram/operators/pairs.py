@@ -1,122 +1,317 @@
 """Vector pair joins: all pairs above a cosine, top-k neighbours of each row, and the nearest row of another table.
 
-Rows of a group (tenant) are dealt into blocks; a task multiplies one pair of blocks
-as matrices, so memory is bounded by the block size and a hot tenant becomes many
-tasks.  The result is exact.
+The result is exact.  A group (tenant) that fits a block is one task.  A larger one is
+cut by pivots: every row goes to its nearest pivot, and the rows of a pivot are cut
+into rings by their angle to it.  Angles obey the triangle inequality, so two rings
+whose angles to their pivots, and the angle between the pivots, put them further
+apart than the wanted cosine are never brought together; of two rings that may meet,
+only the rows that can reach the other ring are copied.  A task multiplies one pair
+of rings as matrices, so memory is bounded by the block size, and a hot tenant
+becomes many tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that one side of a block pair holds, about.
+from engram.session import materialize
+
+#: Rows of a block, about: a ring may hold up to twice as many.
 BLOCK = 4096
+#: Pivots at most, and components of the sample that they are fitted on.
+PIVOTS, SAMPLE_VALUES = 256, 1 << 21
+#: Rows that share an angle bucket of this width, in radians, are split by their hash.
+BUCKET = 1 / 256
+#: Slack for angles of rounded cosines.
+EPS = 1e-6
+#: Pivot numbers of rows without a direction, and of groups that fit a block; their rings meet whatever they may.
+NO_DIRECTION, SMALL = -1, -2
+_WIDE = 10.0
+
+
+# -- geometry -----------------------------------------------------------------
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def fit_pivots(rows: DataFrame, n: int, seed: int = 1) -> np.ndarray:
+    """At most ``n`` unit vectors: k-means of a bounded sample of rows(id, v), the ones of least id hash.
+
+    Pivots decide how much is pruned, never what is found.
+    """
+    dim = rows.select(F.size("v").alias("d")).agg(F.max("d")).first()[0] or 1
+    some = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(n, SAMPLE_VALUES // dim)).select("v").toArrow()
+    x = _unit(np.array(some.column("v").to_pylist(), np.float64).reshape(some.num_rows, -1))
+    x = np.unique(x[np.linalg.norm(x, axis=1) > 0], axis=0)
+    if len(x) <= n:
+        return x
+    rng = np.random.default_rng(seed)
+    points = x[[rng.integers(len(x))]]
+    far = 1 - x @ points[0]
+    for _ in range(n - 1):  # spread: the next one is far from all others, with a chance by its distance
+        p = np.maximum(far, 0) / np.maximum(far, 0).sum() if (far > 1e-12).any() else None
+        points = np.vstack([points, x[rng.choice(len(x), p=p)]])
+        far = np.minimum(far, 1 - x @ points[-1])
+    for _ in range(8):
+        near = (x @ points.T).argmax(1)
+        sums = np.zeros_like(points)
+        np.add.at(sums, near, x)
+        points = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, points)
+        points = _unit(points)
+    return points
+
+
+def _placed(rows: DataFrame, points: np.ndarray) -> DataFrame:
+    """rows(grp, id, v, large) with the nearest ``pivot`` and the ``angle`` to it, for rows of large groups."""
+
+    def run(batches):
+        for b in batches:
+            pivot, angle = np.full(b.num_rows, SMALL, np.int32), np.zeros(b.num_rows)
+            at = np.flatnonzero(b.column("large").to_numpy(zero_copy_only=False))
+            if len(at):
+                x = np.array(b.column("v").take(pa.array(at)).to_pylist(), np.float64).reshape(len(at), -1)
+                x = _unit(x)
+                cos = x @ points.T if points.size else np.zeros((len(at), 1))
+                best = cos.argmax(1)
+                none = ~x.any(1)
+                pivot[at] = np.where(none, NO_DIRECTION, best)
+                angle[at] = np.where(none, 0.0, np.arccos(np.clip(cos[np.arange(len(at)), best], -1, 1)))
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("id"), b.column("v"), pa.array(pivot), pa.array(angle)], names=["grp", "id", "v", "pivot", "angle"])
+
+    return rows.select("grp", "id", "v", "large").mapInArrow(run, "grp string, id string, v array<double>, pivot int, angle double")
+
+
+def _rings(placed: DataFrame, block: int, tag: str) -> DataFrame:
+    """(grp, ring, id, v, pivot, angle): cells of rows by pivot, cut by the angle into rings of about ``block`` rows.
+
+    The cuts come from counts of angle buckets, so no cell passes through one task; a
+    bucket that alone is larger than a block is split by the rows' hash.
+    """
+    bucket = F.floor(F.col("angle") / BUCKET).cast("int")
+    counts = placed.groupBy("grp", "pivot", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("grp", "pivot").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = counts.withColumn("cut", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / block)).withColumn("parts", F.ceil(F.col("n") / block))
+    t = placed.withColumn("bucket", bucket).join(cuts.select("grp", "pivot", "bucket", "cut", "parts"), ["grp", "pivot", "bucket"])
+    ring = F.struct("pivot", F.col("cut").alias("cut"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    return materialize(t.select("grp", ring.alias("ring"), "id", "v", "pivot", "angle"), tag)
+
+
+def _bounds(rings: DataFrame) -> DataFrame:
+    """(grp, ring, pivot, low, high): the angles that a ring spans."""
+    wide = F.col("pivot") < 0
+    b = rings.groupBy("grp", "ring", "pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+    return b.select("grp", "ring", "pivot", F.when(wide, -_WIDE).otherwise(F.col("low")).alias("low"), F.when(wide, _WIDE).otherwise(F.col("high")).alias("high"))
+
+
+def _between(rows: DataFrame, points: np.ndarray) -> DataFrame:
+    """(p, q, between): the angles between all pivots; rows without a direction are near all, small groups near themselves."""
+    angles = np.arccos(np.clip(points @ points.T, -1, 1)) if points.size else np.zeros((len(points), len(points)))
+    k = len(points)
+    out = [(p, q, float(angles[p, q])) for p in range(k) for q in range(k)] + [(NO_DIRECTION, q, 0.0) for q in range(-1, k)] + [(p, NO_DIRECTION, 0.0) for p in range(k)] + [(SMALL, SMALL, 0.0)]
+    return rows.sparkSession.createDataFrame(out, "p int, q int, between double")
+
+
+def _apart(x_low: Column, x_high: Column, y_low: Column, y_high: Column, between: Column) -> Column:
+    """The least angle between a row with angle [x_low, x_high] to its pivot and one with [y_low, y_high] to another pivot."""
+    return F.greatest(between - x_high - y_high, x_low - y_high - between, y_low - x_high - between)
+
+
+def _meeting(a: DataFrame, b: DataFrame, between: DataFrame) -> DataFrame:
+    """Pairs of rings that may hold a wanted pair.  ``a`` has a ``reach`` a ring: the angle that its rows look as far as.
+
+    Cells (all rings of a pivot) are compared first, so rings meet only inside cells that do.
+    """
+    cell = ["grp", "pivot"]
+    ca = a.groupBy(*cell).agg(F.min("low").alias("a_low"), F.max("high").alias("a_high"), F.max("reach").alias("cell_reach")).withColumnRenamed("pivot", "p")
+    cb = b.groupBy(*cell).agg(F.min("low").alias("b_low"), F.max("high").alias("b_high")).withColumnRenamed("pivot", "q")
+    near = ca.join(cb, "grp").join(F.broadcast(between), ["p", "q"])  # (PIVOTS + 1)^2 rows of numbers
+    near = near.where(_apart(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high"), F.col("between")) <= F.col("cell_reach")).select("grp", "p", "q", "between")
+    ra = a.select("grp", F.col("pivot").alias("p"), F.col("ring").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), "reach")
+    rb = b.select("grp", F.col("pivot").alias("q"), F.col("ring").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    t = near.join(ra, ["grp", "p"]).join(rb, ["grp", "q"])
+    return t.where(_apart(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high"), F.col("between")) <= F.col("reach"))
+
+
+def _dealt(rows_a: DataFrame, rows_b: DataFrame, meeting: DataFrame, symmetric: bool) -> DataFrame:
+    """(grp, a, b, side, id, v): a copy of a row for each pair of rings in which it can reach the other one.
+
+    ``rows_a`` may have a ``reach`` of their own.  A ring that meets itself has one side.
+    """
+    reach = F.least(F.col("own_reach"), F.col("reach"))
+    own = F.coalesce(F.col("reach"), F.lit(math.inf)) if "reach" in rows_a.columns else F.lit(math.inf)
+    left = rows_a.select("grp", F.col("ring").alias("a"), "id", "v", "pivot", "angle", own.alias("own_reach")).join(meeting, ["grp", "a"])
+    left = left.where((F.col("pivot") < 0) | (_apart(F.col("angle"), F.col("angle"), F.col("b_low"), F.col("b_high"), F.col("between")) <= reach))
+    right = rows_b.select("grp", F.col("ring").alias("b"), "id", "v", "pivot", "angle").join(meeting.where("a <> b") if symmetric else meeting, ["grp", "b"])
+    right = right.where((F.col("pivot") < 0) | (_apart(F.col("a_low"), F.col("a_high"), F.col("angle"), F.col("angle"), F.col("between")) <= F.col("reach")))
+    return left.select("grp", "a", "b", F.lit(0).alias("side"), "id", "v").unionByName(right.select("grp", "a", "b", F.lit(1).alias("side"), "id", "v"))
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """rows(grp, id, v) dealt out: one copy for each block pair that a row takes part in."""
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("k"))
-    t = rows.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")))
-    t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    side = F.when(F.col("mine") > F.col("other"), 1).otherwise(0)
-    return t.select("grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"), "id", "v")
+def _reach(least: float) -> float:
+    return math.acos(max(-1.0, min(1.0, least))) + EPS
+
+
+class _Cut:
+    """Tables (grp, id, v) cut into rings around the same pivots."""
+
+    def __init__(self, tables: list[DataFrame], block: int, pivots: int | None = None):
+        self.tables = [materialize(t, "vectors") for t in tables]
+        sizes = [t.groupBy("grp").agg(F.count("*").alias("n")) for t in self.tables]
+        every = sizes[0]
+        for s in sizes[1:]:
+            every = every.unionByName(s)
+        every = every.groupBy("grp").agg(F.sum("n").alias("n"))
+        most = every.agg(F.max("n")).first()[0] or 0
+        #: whether no group is larger than a block
+        self.small = most <= block
+        if self.small:
+            return
+        n = min(PIVOTS, pivots or max(2, 4 * math.isqrt(-(-most // block))))
+        self.points = fit_pivots(self.tables[0], n)
+        large = every.select("grp", (F.col("n") > block).alias("large"))
+        self.rings = [_rings(_placed(t.join(large, "grp"), self.points), block, "rings") for t in self.tables]
+
+    def between(self) -> DataFrame:
+        return _between(self.rings[0], self.points)
+
+    def whole(self, table: int, side: int) -> DataFrame:
+        """Without large groups: the rows of a table as one side, a group to a task."""
+        return self.tables[table].select("grp", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(side).alias("side"), "id", "v")
+
+
+def _base(rows: DataFrame, group: str | None, id_col: str, vector_col: str) -> DataFrame:
+    grp = F.col(group).cast("string") if group else F.lit("")
+    return rows.where(F.col(vector_col).isNotNull()).select(grp.alias("grp"), F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+
+# -- kernels ----------------------------------------------------------------------
 
 
 def _matrix(table: pa.Table, side: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = table.column("side").to_numpy() == side
-    part = table.filter(pa.array(mask))
+    part = table.filter(pa.array(table.column("side").to_numpy() == side))
     ids = np.array(part.column("id").to_pylist(), object)
-    m = np.array(part.column("v").to_pylist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return ids, np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    return ids, _unit(np.array(part.column("v").to_pylist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1)))
+
+
+def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x @ y.T if len(x) and len(y) else np.zeros((len(x), len(y)))
+
+
+def _pair_table(p: np.ndarray, q: np.ndarray, score: np.ndarray) -> pa.Table:
+    low, high = np.where(p < q, p, q), np.where(p < q, q, p)
+    return pa.table({"a": pa.array(low.tolist(), pa.string()), "b": pa.array(high.tolist(), pa.string()), "score": pa.array(score, pa.float64())})
+
 
+_PAIR = "a string, b string, score double"
 
-def pairs_above(rows: DataFrame, least: float, group: str | None = None, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(a, b, score): every pair a < b of a group whose cosine reaches ``least``."""
+
+def pair_copies(rows: DataFrame, least: float, group: str | None = None, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """The copies of rows that ``pairs_above`` shuffles: (grp, a, b, side, id, v)."""
+    cut = _Cut([_base(rows, group, id_col, vector_col)], block, pivots)
+    if cut.small:
+        return cut.whole(0, 0)
+    rings = cut.rings[0]
+    bounds = materialize(_bounds(rings), "bounds")
+    meeting = _meeting(bounds.withColumn("reach", F.lit(_reach(least))), bounds, cut.between()).where("a <= b")
+    return _dealt(rings, rings, meeting, True)
+
+
+def pairs_above(rows: DataFrame, least: float, group: str | None = None, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """(a, b, score): every pair a < b of a group whose cosine reaches ``least``.
+
+    Rows without a vector, or without a group where one is named, take no part.
+    """
 
     def multiply(table: pa.Table) -> pa.Table:
         a, x = _matrix(table, 0)
         b, y = _matrix(table, 1)
-        if not len(b):
+        same = table.column("a")[0] == table.column("b")[0]
+        if same:
             b, y = a, x
-        s = x @ y.T if len(a) and len(b) else np.zeros((0, 0))
+        s = _scores(x, y)
         i, j = np.nonzero(s >= least)
         p, q = a[i], b[j]
-        keep = p < q if b is a else p != q
-        p, q, score = p[keep], q[keep], s[i, j][keep]
-        low, high = np.where(p < q, p, q), np.where(p < q, q, p)
-        return pa.table({"a": pa.array(low.tolist(), pa.string()), "b": pa.array(high.tolist(), pa.string()), "score": pa.array(score, pa.float64())})
-
-    grp = F.col(group).cast("string") if group else F.lit("")
-    base = rows.where(F.col(vector_col).isNotNull()).select(grp.alias("grp"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    return _blocks(base, block).groupBy("grp", "lo", "hi").applyInArrow(multiply, "a string, b string, score double")
+        keep = p < q if same else p != q
+        return _pair_table(p[keep], q[keep], s[i, j][keep])
 
-
-def _two_sides(rows: DataFrame, others: DataFrame, keys: tuple[str, ...], block: int) -> DataFrame:
-    """(grp, task, side, id, v): both tables (keys, id, v) dealt out, a copy of a row for each block of the other side."""
-    sides = (rows, others)
-    k = [t.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias(f"k{i}")) for i, t in enumerate(sides)]
-    k = k[0].join(k[1], list(keys))
-    dealt = []
-    for i, t in enumerate(sides):
-        mine, other = F.pmod(F.xxhash64("id", "v"), F.col(f"k{i}")).alias("ab"[i]), F.explode(F.sequence(F.lit(0), F.col(f"k{1 - i}") - 1)).alias("ba"[i])
-        dealt.append(t.join(k, list(keys)).select(*keys, mine, other, F.lit(i).alias("side"), "id", "v").select(*keys, "a", "b", "side", "id", "v"))
-    # one key, so that rows already dealt by grp are dealt anew: a hot group becomes many tasks
-    return dealt[0].unionByName(dealt[1]).select("grp", F.struct(*keys, "a", "b").alias("task"), "side", "id", "v")
+    return pair_copies(rows, least, group, id_col, vector_col, block, pivots).groupBy("grp", "a", "b").applyInArrow(multiply, _PAIR)
 
 
 def pairs_touching(rows: DataFrame, ids: DataFrame, least: float, group: str | None = None, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, score), a < b, with at least one side among ``ids``: blocks of those are multiplied with blocks of all."""
+    """Pairs (a, b, score), a < b, with at least one side among ``ids``: rings of those meet rings of all."""
 
     def multiply(table: pa.Table) -> pa.Table:
         a, x = _matrix(table, 0)
         b, y = _matrix(table, 1)
-        s = x @ y.T if len(a) and len(b) else np.zeros((0, 0))
+        s = _scores(x, y)
         i, j = np.nonzero(s >= least)
-        p, q, score = a[i], b[j], s[i, j]
-        keep = p != q
-        p, q, score = p[keep], q[keep], score[keep]
-        low, high = np.where(p < q, p, q), np.where(p < q, q, p)
-        return pa.table({"a": pa.array(low.tolist(), pa.string()), "b": pa.array(high.tolist(), pa.string()), "score": pa.array(score, pa.float64())})
+        p, q = a[i], b[j]
+        return _pair_table(p[p != q], q[p != q], s[i, j][p != q])
 
-    grp = F.col(group).cast("string") if group else F.lit("")
-    base = rows.where(F.col(vector_col).isNotNull()).select(grp.alias("grp"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    some = base.join(ids.select("id").distinct(), "id", "left_semi").select("grp", "id", "v")
-    found = _two_sides(some, base, ("grp",), block).groupBy("task").applyInArrow(multiply, "a string, b string, score double")
+    base = _base(rows, group, id_col, vector_col)
+    some = base.join(ids.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi").select("grp", "id", "v")
+    found = _two_tables(base, some, least, block).groupBy("grp", "a", "b").applyInArrow(multiply, _PAIR)
     return found.groupBy("a", "b").agg(F.max("score").alias("score"))  # twice if both are among the ids
 
 
+def _two_tables(others: DataFrame, rows: DataFrame, least: float, block: int) -> DataFrame:
+    """Copies of both tables (grp, id, v) for the pairs of rings that may hold a pair at ``least``: side 0 is ``rows``, side 1 ``others``."""
+    cut = _Cut([others, rows], block)
+    if cut.small:
+        return cut.whole(1, 0).unionByName(cut.whole(0, 1))
+    far, near = (_bounds(r) for r in cut.rings)
+    meeting = materialize(_meeting(near.withColumn("reach", F.lit(_reach(least))), far, cut.between()), "meeting")
+    return _dealt(cut.rings[1], cut.rings[0], meeting, False)
+
+
 def top_neighbours(rows: DataFrame, k: int, least: float = -1.0, group: str | None = None, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(from_id, to_id, score, rank): the k nearest others of each row in its group; ties by id.
 
-    Each block pair keeps k rows a side before the shuffle.
+    First every ring is searched by itself.  The k-th best score that a row then has is
+    its reach: it is copied only to rings that can hold a better one.  Each pair of
+    rings keeps k rows a side before the shuffle.
     """
 
-    def multiply(table: pa.Table) -> pa.Table:
+    def best(table: pa.Table) -> pa.Table:
         a, x = _matrix(table, 0)
         b, y = _matrix(table, 1)
-        same = not len(b)
-        if same:
+        if table.column("a")[0] == table.column("b")[0]:
             b, y = a, x
         out: list[tuple] = []
-        s = x @ y.T if len(a) and len(b) else np.zeros((0, 0))
-        for ids, others, m in ((a, b, s),) if same else ((a, b, s), (b, a, s.T)):
-            for i, row in enumerate(m):
-                near = np.flatnonzero(row >= least)
-                if len(near) > 4 * k + 4:  # the k + 1 best, and all that tie with the last of them
-                    near = near[row[near] >= np.partition(row[near], len(near) - k - 1)[len(near) - k - 1] - 1e-9]
-                found = [(float(-row[j]), others[j]) for j in near if others[j] != ids[i]]
-                out += [(ids[i], o, -c) for c, o in sorted(found)[:k]]
+        for i, row in enumerate(_scores(x, y)):
+            near = np.flatnonzero(row >= least)
+            if len(near) > 4 * k + 4:  # the k + 1 best, and all that tie with the last of them
+                near = near[row[near] >= np.partition(row[near], len(near) - k - 1)[len(near) - k - 1] - 1e-9]
+            found = [(float(-row[j]), b[j]) for j in near if b[j] != a[i]]
+            out += [(a[i], o, -c) for c, o in sorted(found)[:k]]
         cols = list(zip(*out)) if out else [(), (), ()]
         return pa.table({"from_id": pa.array(cols[0], pa.string()), "to_id": pa.array(cols[1], pa.string()), "score": pa.array(cols[2], pa.float64())})
 
-    grp = F.col(group).cast("string") if group else F.lit("")
-    base = rows.where(F.col(vector_col).isNotNull()).select(grp.alias("grp"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    found = _blocks(base, block).groupBy("grp", "lo", "hi").applyInArrow(multiply, "from_id string, to_id string, score double")
+    schema = "from_id string, to_id string, score double"
+    cut = _Cut([_base(rows, group, id_col, vector_col)], block)
+    if cut.small:
+        found = cut.whole(0, 0).groupBy("grp", "a", "b").applyInArrow(best, schema)
+    else:
+        rings = cut.rings[0]
+        own = rings.select("grp", F.col("ring").alias("a"), F.col("ring").alias("b"), F.lit(0).alias("side"), "id", "v")
+        alone = materialize(own.groupBy("grp", "a", "b").applyInArrow(best, schema), "alone")
+        # a row with fewer than k neighbours looks as far as ``least``; ties after rounding are kept
+        kth = alone.groupBy("from_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+        limit = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("kth") - 2e-9))) + EPS
+        reached = rings.join(kth.select(F.col("from_id").alias("id"), limit.alias("reach")), "id", "left")
+        reached = materialize(reached.withColumn("reach", F.least(F.coalesce("reach", F.lit(_reach(least))), F.lit(_reach(least)))), "reached")
+        bounds = materialize(_bounds(rings), "bounds")
+        looking = bounds.join(reached.groupBy("grp", "ring").agg(F.max("reach").alias("reach")), ["grp", "ring"])
+        meeting = materialize(_meeting(looking, bounds, cut.between()).where("a <> b"), "meeting")
+        found = alone.unionByName(_dealt(reached, rings, meeting, False).groupBy("grp", "a", "b").applyInArrow(best, schema))
     w = Window.partitionBy("from_id").orderBy(F.desc(F.round("score", 9)), "to_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -143,7 +338,8 @@ def nearest(rows: DataFrame, others: DataFrame, least: float, block: int = BLOCK
         cols = list(zip(*out)) if out else [(), (), (), ()]
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("grp", "id", "other", "score"), cols, (*[pa.string()] * 3, pa.float64()))})
 
-    sides = [t.where("grp IS NOT NULL AND v IS NOT NULL").select("grp", F.size("v").alias("dim"), "id", "v") for t in (rows, others)]
-    found = _two_sides(*sides, ("grp", "dim"), block).groupBy("task").applyInArrow(multiply, "grp string, id string, other string, score double")
+    sized = F.concat_ws(":", F.size("v"), "grp")  # vectors of one length
+    sides = [t.where("grp IS NOT NULL AND v IS NOT NULL").select(sized.alias("grp"), F.col("id").cast("string").alias("id"), F.col("v").cast("array<double>").alias("v")) for t in (others, rows)]
+    found = _two_tables(*sides, least, block).groupBy("grp", "a", "b").applyInArrow(multiply, "grp string, id string, other string, score double")
     best = F.max(F.struct(F.round("score", 9).alias("r"), "other", "score")).alias("best")
-    return found.groupBy("grp", "id").agg(best).select("grp", "id", "best.other", "best.score")
+    return found.groupBy("grp", "id").agg(best).select(F.expr("substring(grp, instr(grp, ':') + 1)").alias("grp"), "id", "best.other", "best.score")

@@ -9,6 +9,8 @@ row whose cube or type is not known stays.
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +49,19 @@ def delete_where(memory: DataFrame, cubes: list[str], f: Filter) -> tuple[DataFr
     return memory.where(~hit), memory.where(hit).select("id")
 
 
+def one_change(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """A row an id: of each column the last value by ``pos`` that isn't null, or without ``pos`` the greatest."""
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))) if "pos" in changes.columns else F.max(c) for c in columns]
+    return changes.where(F.col("id").isNotNull()).groupBy("id").agg(F.lit(True).alias("__hit"), *[x.alias(f"__{c}") for x, c in zip(last, columns)])
+
+
 def update_rows(memory: DataFrame, changes: DataFrame, at: Column, columns: tuple[str, ...] = ("memory", "embedding")) -> DataFrame:
-    """Patch named columns of active rows where ``changes`` has a value; only touched rows get the time."""
+    """Patch named columns of active rows where ``changes`` has a value; only touched rows get the time.
+
+    An id that ``changes`` repeats is patched once, see ``one_change``.
+    """
     have = [c for c in columns if c in changes.columns]
-    ch = changes.select("id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in have])
-    t = memory.join(ch, "id", "left")
+    t = memory.join(one_change(changes, have), "id", "left")
     live = F.col("__hit") & (F.col("status") == "activated")
     for c in have:
         new = F.col(f"__{c}")
@@ -63,17 +73,25 @@ def update_rows(memory: DataFrame, changes: DataFrame, at: Column, columns: tupl
     return t.drop("__hit", *[f"__{c}" for c in have]).select(*memory.columns)
 
 
+def _with_column(memory: DataFrame, name: str, kind: str = "string") -> DataFrame:
+    return memory if name in memory.columns else memory.withColumn(name, F.lit(None).cast(kind))
+
+
 def soft_merge(memory: DataFrame, merged: DataFrame, at: Column) -> DataFrame:
-    """merged(id, into_id): status merged, merged_into_id set."""
-    t = memory.join(merged.select("id", "into_id"), "id", "left")
-    hit = F.col("into_id").isNotNull()
-    return t.select(*[F.when(hit, "merged").otherwise(F.col("status")).alias("status") if c == "status" else F.when(hit, at).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in memory.columns], F.col("into_id").alias("merged_into_id"))
+    """merged(id, into_id): status merged, merged_into_id set; of a repeated id the least target.  Rows merged before keep their target."""
+    memory = _with_column(memory, "merged_into_id")
+    t = memory.join(merged.groupBy("id").agg(F.min("into_id").alias("__into")), "id", "left")
+    hit = F.col("__into").isNotNull()
+    new = {"status": F.lit("merged"), "updated_at": at, "merged_into_id": F.col("__into")}
+    return t.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in memory.columns])
 
 
 def set_hierarchy(memory: DataFrame, levels: DataFrame) -> DataFrame:
-    """levels(id, level, parent_id): hierarchy_level and parent_memory_id."""
-    t = memory.join(levels.select("id", "level", "parent_id"), "id", "left")
-    return t.withColumn("hierarchy_level", F.coalesce("level", "hierarchy_level")).withColumnRenamed("parent_id", "parent_memory_id").drop("level")
+    """levels(id, level, parent_id): hierarchy_level and parent_memory_id; other rows, and null values, keep theirs.  Of a repeated id the least row counts."""
+    memory = _with_column(_with_column(memory, "hierarchy_level"), "parent_memory_id")
+    one = levels.groupBy("id").agg(F.min(F.struct(F.col("level"), F.col("parent_id"))).alias("__l"))
+    new = {"hierarchy_level": "__l.level", "parent_memory_id": "__l.parent_id"}
+    return memory.join(one, "id", "left").select(*[F.coalesce(F.col(new[c]), F.col(c)).alias(c) if c in new else F.col(c) for c in memory.columns])
 
 
 def clear_neighbour(memory: DataFrame, ids: list[str]) -> DataFrame:
@@ -170,11 +188,23 @@ def apply_fact_actions(memory: DataFrame, edges: DataFrame, facts: DataFrame, at
     return m, graph.invalidate(edges, gone.unionByName(changed.select("id")), at)
 
 
-def feedback_ops(memory: DataFrame, ops: DataFrame, at: Column) -> DataFrame:
-    """ADD / UPDATE / NONE operations; ids that are not active rows are dropped."""
-    upd = ops.where("upper(op) = 'UPDATE'").select("id", "memory").join(memory.where("status = 'activated'").select("id"), "id", "left_semi")
-    add = ops.where("upper(op) = 'ADD'").select(F.concat(F.lit("f"), F.substring(F.sha2("memory", 256), 1, 16)).alias("id"), "memory", F.lit("activated").alias("status"), F.lit("LongTermMemory").alias("memory_type"))
-    return update_rows(memory, upd, at, ("memory",)).unionByName(add, allowMissingColumns=True)
+def feedback_ops(memory: DataFrame, ops: DataFrame, at: Column, cube: str | None = None) -> DataFrame:
+    """ADD / UPDATE / NONE operations; ids that are not active rows are dropped.
+
+    An id updated twice gets one text, see ``one_change``.  An added row belongs to the
+    ``user_name`` of its operation, or to ``cube``; without either the operation is an
+    error.  Equal additions to a cube, also to one that has the row, are one row.
+    """
+    owner = F.lit(cube) if cube is not None else F.lit(None).cast("string")
+    owner = F.coalesce("user_name", owner) if "user_name" in ops.columns else owner
+    order = ["pos"] if "pos" in ops.columns else []
+    upd = ops.where("upper(op) = 'UPDATE'").select("id", "memory", *order).join(memory.where("status = 'activated'").select("id"), "id", "left_semi")
+    owner = F.when((owner != "") & owner.isNotNull(), owner).otherwise(F.raise_error(F.lit("an added row needs a cube")))
+    add = ops.where("upper(op) = 'ADD' AND trim(memory) <> ''").select(owner.alias("user_name"), "memory")
+    add = add.withColumn("id", F.concat(F.lit("f"), F.substring(F.sha2(F.concat_ws("\n", "user_name", "memory"), 256), 1, 16))).dropDuplicates(["id"])
+    add = add.join(memory.select("id"), "id", "left_anti").select("id", "user_name", "memory", F.lit("activated").alias("status"), F.lit("LongTermMemory").alias("memory_type"), at.alias("created_at"), at.alias("updated_at"))
+    have = [c for c in add.columns if c in memory.columns]
+    return update_rows(memory, upd, at, ("memory",)).unionByName(add.select(*have), allowMissingColumns=True)
 
 
 def purge(tables: dict[str, DataFrame], cube: str) -> dict[str, DataFrame]:
@@ -186,6 +216,10 @@ def purge(tables: dict[str, DataFrame], cube: str) -> dict[str, DataFrame]:
     return out
 
 
+#: Seconds after which a marker without a name is a crashed commit.
+COMMIT_SECONDS = 60
+
+
 class Snapshots:
     """Versions of a table under one root: a folder each, and a marker file once it is whole."""
 
@@ -200,25 +234,58 @@ class Snapshots:
     def _marker(self, version: int) -> str:
         return f"{self.root}/WHOLE-{version:012d}"
 
+    def _markers(self) -> dict[int, tuple[int, float]]:
+        """Of every version's marker its length and its time in seconds."""
+        fs, path = self._fs()
+        found = fs.globStatus(path(f"{self.root}/WHOLE-*")) or []
+        return {int(x.getPath().getName()[6:]): (x.getLen(), x.getModificationTime() / 1000) for x in found}
+
     def version(self) -> int:
-        """The newest version whose marker exists; -1 without one."""
+        """The newest version whose marker names its folder; -1 without one."""
+        return max((v for v, (size, _) in self._markers().items() if size), default=-1)
+
+    def _folder(self, version: int) -> str:
+        """The folder that a version's marker names."""
         fs, path = self._fs()
-        found = fs.globStatus(path(f"{self.root}/WHOLE-*"))
-        return max((int(x.getPath().getName()[6:]) for x in found or []), default=-1)
+        stream = fs.open(path(self._marker(version)))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
         if v < 0:
             raise FileNotFoundError(self.root)
-        return self.spark.read.parquet(f"{self.root}/v{v}")
-
-    def write(self, df: DataFrame, partition_by: str | None = None) -> int:
-        """Write the next version, then its marker; another writer's marker of that version is an error."""
-        v = self.version() + 1
-        w = df.write.mode("overwrite")  # what a crashed writer left without a marker
-        (w.partitionBy(partition_by) if partition_by else w).parquet(f"{self.root}/v{v}")
+        return self.spark.read.parquet(f"{self.root}/{self._folder(v)}")
+
+    def write(self, df: DataFrame, partition_by: str | None = None, base: int | None = None) -> int:
+        """Write the next version into a folder of its own, then the marker that names it.
+
+        ``base`` is the version that ``df`` was made from, the newest now without one.  If
+        another writer has committed since, its marker exists: that is an error, and this
+        writer's folder goes.  Folders of crashed writers have no marker and are never read.
+        """
+        base = self.version() if base is None else base
+        folder = f"v{base + 1}-{uuid.uuid4().hex[:12]}"
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(f"{self.root}/{folder}")
         fs, path = self._fs()
-        fs.create(path(self._marker(v)), False).close()
+        later = {v: x for v, x in self._markers().items() if v > base}
+        # an empty marker is a commit just now, or one that crashed between its two steps, whose number is left out
+        crashed = {v for v, (size, at) in later.items() if not size and time.time() - at > COMMIT_SECONDS}
+        v = max([base, *crashed]) + 1
+        try:
+            if set(later) - crashed:
+                raise FileExistsError(f"version {min(set(later) - crashed)} of {self.root} was written by another writer")
+            try:
+                stream = fs.create(path(self._marker(v)), False)  # fails if it exists: one writer wins
+            except Exception as e:
+                raise FileExistsError(f"version {v} of {self.root} was written by another writer") from e
+        except FileExistsError:
+            fs.delete(path(f"{self.root}/{folder}"), True)
+            raise
+        stream.write(bytearray(folder.encode()))
+        stream.close()
         return v
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engram.operators import maintain, pairs, store
+from engram.operators import hierarchy, maintain, pairs, store
 from engram.plans.adapter import AS_OF, CUBE, cte
-from engram.plans.queries_graph import NEAR, PAIRS_SQL
+from engram.plans.queries_graph import COMPONENTS_SQL, NEAR, PAIRS_SQL
 from engram.plans.registry import query
 from engram.schema import FEEDBACK_LABELS, HIGH_PRIORITY
 from engram.streaming import tasks
@@ -62,14 +62,16 @@ def _(t):
     return store.append_feedback(e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"), FEEDBACK_LABELS)
 
 
-@query("m13_feedback_ops", M + """SELECT id, CASE WHEN doc_id % 5 = 0 AND status = 'activated' THEN 'new ' || id ELSE memory END AS memory FROM memory
- UNION ALL SELECT 'f' || substr(sha256('added ' || id), 1, 16), 'added ' || id FROM memory WHERE doc_id % 5 = 1""")
+@query("m13_feedback_ops", M + """SELECT id, user_name, CASE WHEN doc_id % 5 = 0 AND status = 'activated' THEN 'new ' || id ELSE memory END AS memory FROM memory
+ UNION ALL SELECT 'f' || substr(sha256(user_name || chr(10) || 'added ' || id), 1, 16), user_name, 'added ' || id FROM memory WHERE doc_id % 5 = 1""")
 def _(t):
     op = F.when(_d() % 5 == 0, "update").when(_d() % 5 == 1, "ADD").otherwise("NONE")
     text = F.concat(F.when(_d() % 5 == 1, "added ").otherwise("new "), "id")
-    ops = t.memory.select("id", op.alias("op"), text.alias("memory"))
-    unknown = ops.select(F.concat(F.lit("x"), "id").alias("id"), F.lit("UPDATE").alias("op"), "memory")
-    return store.feedback_ops(t.memory, ops.unionByName(unknown), _at()).select("id", "memory")
+    ops = t.memory.select("id", "user_name", op.alias("op"), text.alias("memory"))
+    ops = ops.unionByName(ops.where("op = 'update'").withColumn("memory", F.lit("an older text")))  # the greatest wins
+    ops = ops.unionByName(ops.where("op = 'ADD'"))
+    unknown = ops.select(F.concat(F.lit("x"), "id").alias("id"), "user_name", F.lit("UPDATE").alias("op"), "memory")
+    return store.feedback_ops(t.memory, ops.unionByName(unknown), _at()).select("id", "user_name", "memory")
 
 
 def _facts(t):
@@ -129,3 +131,18 @@ def _(t):
     status = F.expr("CASE event_id % 4 WHEN 0 THEN 'waiting' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'failed' END")
     e = t.raw("events").select("user_id", F.col("event_id").alias("item_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
     return tasks.status_counts(tasks.lifecycle(e), ("user_id",))
+
+
+TREE_SQL = COMPONENTS_SQL.replace("b.status = 'activated'", "b.status = 'activated' AND a.hierarchy_level = 'raw' AND b.hierarchy_level = 'raw' AND NOT contains(a.memory_type, 'Tool') AND NOT contains(b.memory_type, 'Tool') AND a.memory_type NOT IN ('SkillMemory', 'PreferenceMemory') AND b.memory_type NOT IN ('SkillMemory', 'PreferenceMemory')")
+
+
+# two rounds of a tier: the second must change nothing, and every edge's parent is a row
+@query("b13_cycle_twice", TREE_SQL.replace(" SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM w",
+       """, k AS (SELECT id, 'p' || substr(sha256('raw:' || cluster), 1, 16) AS parent FROM w)
+ SELECT id, status, hierarchy_level, parent AS parent_memory_id, parent AS edge FROM memory LEFT JOIN k USING (id) UNION ALL SELECT DISTINCT parent, 'activated', 'episodic', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM k"""))
+def _(t):
+    m, e = t.memory.withColumn("user_name", F.lit("one")), t.edges
+    for _ in range(2):
+        m, e, _audit = hierarchy.grow(m, e, _at(), "raw", NEAR, 2)
+    links = e.where(F.col("relation") == hierarchy.RELATION).where("invalid_at IS NULL").select(F.col("from_id").alias("id"), F.col("to_id").alias("edge"))
+    return m.join(links, "id", "left").select("id", "status", "hierarchy_level", "parent_memory_id", "edge")
