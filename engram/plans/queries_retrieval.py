@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from engram import models
 from engram.functions import scoring, text, vector
-from engram.operators import dedup, evalkit, filters, search
+from engram.operators import dedup, evalkit, filters, search, textindex
 from engram.plans.adapter import AS_OF, COS_SQL, CUBE, cte
 from engram.plans.registry import query
+from engram.session import scratch_path
 
 MQ = cte("memory", "q")
 ACTIVE = f"user_name = '{CUBE}' AND status = 'activated'"
@@ -82,6 +83,19 @@ def _(t):
     return search.full_text(t.memory, TOKENS, filters.scope(CUBE), 10).select("id", F.round("score", 6).alias("score"))
 
 
+# the index is built of two thirds of the rows; the rest is appended, some rows are replaced twice and others deleted and put back
+@query("tx04_indexed", cte("memory") + f"SELECT id, round({RANK_SQL}, 6) AS score FROM memory WHERE {ACTIVE} AND {HITS_SQL} > 0 ORDER BY {RANK_SQL} DESC, id LIMIT 10")
+def _(t):
+    index = textindex.TextIndex(t.spark, scratch_path(t.spark, "text-index"))
+    m, third = t.memory, F.col("doc_id") % 3
+    index.append(m.where(third != 0))
+    index.append(m.where(third == 0).withColumn("memory", F.concat(F.lit("the the the and "), "memory")))
+    index.upsert(m.where(third == 0))
+    index.delete(m.where("doc_id % 7 = 0").select("id"))
+    index.append(m.where("doc_id % 7 = 0"))
+    return index.search(TOKENS, 10, m, filters.scope(CUBE), [CUBE]).select("id", F.round("score", 6).alias("score"))
+
+
 PAIRS_SQL = "WITH p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) "
 CHARS = "list_distinct(string_split({}, ''))"
 

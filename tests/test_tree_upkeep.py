@@ -102,11 +102,11 @@ def test_other_cubes_types_and_nulls_stay_out(spark):
 
 
 def test_cycle_twice(spark):
-    rows = cluster_rows([0, 0, 0, 0], spread=0.3) + cluster_rows([1, 1, 1], start=10, spread=0.25) + cluster_rows([3, 3], start=20, spread=0.001)
+    rows = cluster_rows([0, 0, 0, 0], spread=0.12) + cluster_rows([1, 1, 1], start=10, spread=0.12) + cluster_rows([3, 3], start=20, spread=0.001)
     rows += [(f"w{i:03d}", "c", f"working {i}", "WorkingMemory", "activated", None, [0.0] * 5 + [1.0, 0.1 * (i % 3), 0.0]) for i in range(55)]
     m, e = tables(spark, rows)
     m = m.withColumn("updated_at", F.timestamp_seconds(F.lit(1_600_000_000)))
-    tiers = {"raw": (0.5, 3), "episodic": (0.6, 2)}
+    tiers = {"raw": (0.7, 3), "episodic": (0.6, 2)}
     m1, e1 = maintain.cycle(m, e, at(), 0.9, tiers)
     check_whole(m1, e1)
     got = {r.id: r for r in m1.collect()}
