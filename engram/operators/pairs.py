@@ -46,10 +46,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def fit_pivots(rows: DataFrame, n: int, seed: int = 1) -> np.ndarray:
     """At most ``n`` unit vectors: k-means of a bounded sample of rows(id, v), the ones of least id hash.
 
-    Pivots decide how much is pruned, never what is found.
+    Pivots decide how much is pruned, never what is found.  They have the most common
+    length of the vectors; rows of another length count as without direction.
     """
-    dim = rows.select(F.size("v").alias("d")).agg(F.max("d")).first()[0] or 1
-    some = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(n, SAMPLE_VALUES // dim)).select("v").toArrow()
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim = max(1, lengths.d if lengths else 1)
+    some = rows.where(F.size("v") == dim).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(n, SAMPLE_VALUES // dim)).select("v").toArrow()
     x = _unit(np.array(some.column("v").to_pylist(), np.float64).reshape(some.num_rows, -1))
     x = np.unique(x[np.linalg.norm(x, axis=1) > 0], axis=0)
     if len(x) <= n:
@@ -78,7 +80,8 @@ def _placed(rows: DataFrame, points: np.ndarray) -> DataFrame:
             pivot, angle = np.full(b.num_rows, SMALL, np.int32), np.zeros(b.num_rows)
             at = np.flatnonzero(b.column("large").to_numpy(zero_copy_only=False))
             if len(at):
-                x = np.array(b.column("v").take(pa.array(at)).to_pylist(), np.float64).reshape(len(at), -1)
+                width = points.shape[1]
+                x = np.array([v if len(v) == width else [0.0] * width for v in b.column("v").take(pa.array(at)).to_pylist()], np.float64).reshape(len(at), width)
                 x = _unit(x)
                 cos = x @ points.T if points.size else np.zeros((len(at), 1))
                 best = cos.argmax(1)

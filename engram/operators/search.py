@@ -13,12 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from engram import models
 from engram.functions import scoring, text, vector
-from engram.operators import dedup, graph
+from engram.operators import graph, manysearch
 from engram.operators.filters import scope
 from engram.schema import SKILL_TYPES, TEXT_TYPES, TOOL_TYPES
-from engram.session import materialize
 
 
 @dataclass(frozen=True)
@@ -52,6 +50,8 @@ PROFILES = {
     "inject": {"top_k": 5, "relativity": 0.93, "dedup": "mmr", "decay_alpha": 0.01},
     "deep": {"top_k": 10, "relativity": 0.85, "dedup": "mmr", "num_stages": 2, "llm_rerank": True, "decay_alpha": 0.002},
 }
+#: Rows from outside that every query may get.
+WEB_ROWS = 1000
 LEVELS = ("l1", "l2", "l3")
 
 
@@ -250,22 +250,6 @@ def top_per_bucket(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def drop_near_copies(rows: DataFrame, p: SearchParams) -> DataFrame:
-    """Candidates (id, memory, bucket, score, embedding) less what ``p.dedup`` drops.
-
-    'sim' selects among texts, 'mmr' among texts and preferences, ``top_k`` of each;
-    the other buckets lose equal texts only, in ``cross_source_dedupe``.
-    """
-    if p.dedup not in ("sim", "mmr"):
-        return rows
-    buckets = ["text"] if p.dedup == "sim" else ["text", "pref"]
-    lam = p.mmr_lambda if 0 < p.mmr_lambda <= 1 else SearchParams.mmr_lambda
-    rows = materialize(rows, "candidates")  # a few rows, read twice
-    c = rows.where(F.col("bucket").isin(*buckets)).select(F.lit(0).cast("long").alias("query_id"), "id", "memory", F.col("bucket").alias("kind"), F.lit(0).alias("bucket"), "score", "embedding")
-    chosen = dedup.select_by_query(c, p.dedup, p.top_k, p.top_k, list(p.vector), lam)
-    return rows.where(~F.col("bucket").isin(*buckets)).unionByName(rows.join(chosen.select("id"), "id", "left_semi"))
-
-
 def item_projection(memory: DataFrame) -> DataFrame:
     """The response row: no sources, blank embedding, short reference, default counter."""
     ref = F.concat(F.lit("["), F.get(F.split("id", "-"), F.lit(0)), F.lit("]"))
@@ -351,70 +335,7 @@ def sub_query_union(memory: DataFrame, vectors: list[list[float]], where: Column
     return union_max(*[knn(memory, v, where, k) for v in vectors]).orderBy(F.desc("score"), "id").limit(k)
 
 
-def query_tokens(memory: DataFrame, query: str) -> list[str]:
-    """The query's search tokens, by the rules that documents' tokens follow."""
-    one = memory.sparkSession.sql("SELECT 1 AS one").select(text.keywords(F.lit(query)).alias("t"))
-    return list(dict.fromkeys(one.first().t))
-
-
-def recall(memory: DataFrame, edges: DataFrame, tokens: list[str], where: Column, k: int) -> DataFrame:
-    """(id, score) by key, by shared tags and by mentioned entities, the best ``k``."""
-    by_entity = entity_recall(edges, memory, tokens, where).select("id", F.lit(scoring.KEY_SCORE).alias("score"))
-    lists = [key_recall(memory, tokens, where), tag_recall(memory, tokens, where).select("id", "score"), by_entity]
-    return union_max(*lists).orderBy(F.desc("score"), "id").limit(k).select("id", "score")
-
-
 def search(memory: DataFrame, edges: DataFrame, p: SearchParams, as_of: Column, scorer=None, web: DataFrame | None = None) -> DataFrame:
-    """The full search as one plan: (bucket, rank, id, memory, score).
-
-    ``scorer`` (query, texts) -> scores serves ``llm_rerank``, without one by word
-    overlap; ``num_stages`` above 1 puts a shortlist before it.  ``web`` (id, memory,
-    score) are rows from outside, which only ``internet`` lets in.
-    """
-    types = TEXT_TYPES + (SKILL_TYPES if p.include_skill else []) + (TOOL_TYPES if p.include_tool else [])
-    if p.level == "l1":
-        types = ["WorkingMemory"]
-    elif p.level == "l2":
-        types = ["EpisodicMemory"]
-    where = scope(list(p.cubes), p.user_id or None, types, p.agent_id)
-    k = inflated_k(p.top_k, p.dedup)
-    query = list(p.vector)
-    tokens = query_tokens(memory, p.query) if p.query else []
-    by_vector = knn(memory, query, where, k).withColumn("source", F.lit("vector"))
-    lists = by_vector if p.level == "l2" else by_vector.unionByName(full_text(memory, tokens, where, k).withColumn("source", F.lit("text")))
-    found = rrf(ranked(lists))
-    if p.level == "l3":
-        found = graph_merge(found, recall(memory, edges, tokens, where, k)) if tokens else found
-        # a few rows, read several times by the steps below: written once instead of planned again each time
-        found = materialize(found, "fused")
-        found = materialize(multi_hop(found, edges, memory, query, where, p.hops, 3 * k), "expanded")
-        found = contradiction_penalty(found, edges)
-    # the rows of the candidates, a few times k, are fetched once for all steps below
-    found = materialize(found, "found")
-    fetched = ["id", "memory", "embedding", "memory_type", "updated_at", "access_count", "hierarchy_level", "pagerank"]
-    some = materialize(memory.where(where).join(F.broadcast(found.select("id").distinct()), "id", "left_semi").select(*fetched), "fetched")
-    rescore = apply_importance if p.importance else apply_decay
-    found = threshold(rescore(cosine_rescore(found, some, query), some, as_of, p.decay_alpha), p.relativity)
-    rows = found.join(some.select("id", "memory", bucket_of(F.col("memory_type")).alias("bucket"), "embedding"), "id")
-    if p.internet and web is not None:
-        rows = rows.unionByName(web.select("id", F.col("score").cast("double").alias("score"), "memory", F.lit("text").alias("bucket"), F.lit(None).cast(rows.schema["embedding"].dataType).alias("embedding")))
-    rows = drop_near_copies(rows, p)
-    if p.llm_rerank:
-        rows = staged_rerank(rows, p, scorer or models.overlap_reranker)
-    return top_per_bucket(cross_source_dedupe(rows), p.top_k).select("bucket", "rank", "id", "memory", "score")
-
-
-#: A staged search needs so many rows, looks at so many, and shortlists so many.
-STAGE_LEAST, STAGE_FIRST, STAGE_SHORTLIST = 5, 50, 10
-
-
-def staged_rerank(rows: DataFrame, p: SearchParams, scorer) -> DataFrame:
-    """Scores by the scorer; with stages, of the best STAGE_FIRST rows a shortlist by word overlap goes first."""
-    rows = materialize(rows, "rerank")
-    most = models.RERANKED
-    if p.num_stages > 1 and rows.count() >= STAGE_LEAST:
-        head = rows.orderBy(F.desc("score"), "id").limit(STAGE_FIRST).select("id", "memory", "score")
-        short = models.rerank(head, p.query, models.overlap_reranker, STAGE_FIRST).orderBy(F.desc("score"), "id").limit(STAGE_SHORTLIST)
-        rows, most = rows.join(short.select("id"), "id", "left_semi"), STAGE_SHORTLIST
-    new = models.rerank(rows.select("id", "memory", "score"), p.query, scorer, most)
-    return rows.drop("score").join(new.select("id", "score"), "id")
+    """The full search of one query as one lazy plan: (bucket, rank, id, memory, score); see ``manysearch.search_many``."""
+    one = manysearch.request_rows(memory.sparkSession, [{"query": p.query, "vector": p.vector, "cubes": p.cubes}])
+    return manysearch.search_many(memory, edges, one, p, as_of, scorer, web).drop("query_id")

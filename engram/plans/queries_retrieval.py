@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from engram import models
 from engram.functions import scoring, text, vector
-from engram.operators import dedup, evalkit, filters, search, textindex
+from engram.operators import dedup, evalkit, filters, manysearch, search, textindex
 from engram.plans.adapter import AS_OF, COS_SQL, CUBE, cte
 from engram.plans.registry import query
 from engram.session import scratch_path
@@ -308,6 +308,43 @@ def _(t):
     return search.search(t.memory, t.edges, p, _as_of()).select("bucket", "rank", "id", F.round("score", 6).alias("score"))
 
 
+SEEN = TYPES + ["SkillMemory"]
+TYPES_SQL = ", ".join(f"'{x}'" for x in SEEN)
+ASKED = ("die und en src0 q1 e3", "les dans fr src0 b0 e5")
+ASKED_SQL = "CASE WHEN vec_id % 40 = 0 THEN {} ELSE {} END".format(*[str(x.split()) for x in ASKED])
+MANY_SQL = cte("memory", "edges") + f""", q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, {ASKED_SQL} AS tokens FROM embeddings WHERE vec_id % 20 = 0),
+ w AS (SELECT *, {WORDS_SQL} AS ws FROM memory WHERE status = 'activated' AND user_name IN ('src0', 'src1') AND memory_type IN ({TYPES_SQL})),
+ c AS (SELECT query_id, id, 'v' AS kind, {COS} AS s FROM w, q WHERE embedding IS NOT NULL UNION ALL
+  SELECT query_id, id, 't', h / (1 + ln(1 + n)) FROM (SELECT query_id, id, len(ws) AS n, len(list_filter(ws, lambda x: list_contains(tokens, x))) AS h FROM w, q) WHERE h > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY s DESC, id) AS rank FROM c),
+ g AS (SELECT query_id, id, max(s) AS s FROM (SELECT query_id, id, least(0.85, 0.70 + 0.05 * n) AS s FROM (SELECT query_id, id, len(list_intersect(tags, tokens)) AS n FROM w, q) WHERE n >= 2
+  UNION ALL SELECT query_id, id, 0.85 FROM w, q WHERE list_contains(tokens, lower(key))
+  UNION ALL SELECT query_id, id, 0.85 FROM edges JOIN w ON from_id = id, q WHERE relation = 'MENTIONS_ENTITY' AND NOT dead AND list_contains(tokens, to_id)) GROUP BY ALL),
+ g2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM g) WHERE k <= 10),
+ f AS (SELECT query_id, id, max(s)::DOUBLE AS s FROM (SELECT query_id, id, sum(1.0 / (60 + rank)) AS s FROM r WHERE rank <= 10 GROUP BY ALL UNION ALL SELECT query_id, id, s FROM g2) GROUP BY ALL),
+ u AS (SELECT from_id AS a, to_id AS b FROM edges WHERE NOT dead UNION SELECT to_id, from_id FROM edges WHERE NOT dead),
+ h1 AS (SELECT query_id, b AS id, min(f.id) AS seed FROM f JOIN u ON f.id = u.a GROUP BY ALL),
+ h2 AS (SELECT query_id, b AS id, min(seed) AS seed FROM h1 JOIN u ON h1.id = u.a GROUP BY ALL),
+ h AS (SELECT query_id, id, min(hop) AS hop, arg_min(seed, (hop, seed)) AS seed FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) x ANTI JOIN f USING (query_id, id) GROUP BY ALL),
+ hs AS (SELECT h.query_id, h.id, coalesce(({COS} + 1) / 2, f.s) * 0.8 ^ hop AS s FROM h JOIN w USING (id) JOIN q USING (query_id) JOIN f ON f.query_id = h.query_id AND f.id = h.seed),
+ hr AS (SELECT query_id, id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM hs) JOIN (SELECT query_id, count(*) AS n FROM f GROUP BY ALL) USING (query_id) WHERE k <= least(n, 30)),
+ a AS (SELECT * FROM f UNION ALL SELECT * FROM hr), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM a) WHERE k <= 10),
+ bad AS (SELECT DISTINCT query_id, to_id AS id, true AS hit FROM (SELECT query_id, to_id, row_number() OVER (PARTITION BY query_id ORDER BY from_id, to_id) AS k FROM edges JOIN top ON top.id = from_id WHERE relation = 'CONTRADICTS' AND NOT dead) WHERE k <= 20),
+ s AS (SELECT query_id, a.id, memory, memory_type, updated_s, coalesce(({COS} + 1) / 2, CASE WHEN hit THEN greatest(s - 0.30, 0.0) ELSE s END) AS rel FROM a JOIN w USING (id) JOIN q USING (query_id) LEFT JOIN bad USING (query_id, id)),
+ d AS (SELECT query_id, id, memory, CASE WHEN memory_type = 'SkillMemory' THEN 'skill' ELSE 'text' END AS bucket, 0.75 * rel + 0.25 * CASE WHEN greatest({DAYS}, 0) <= 730 THEN exp(-0.0039 * greatest({DAYS}, 0)) ELSE 0 END AS score FROM s),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(memory)) ORDER BY bucket = 'skill', score DESC, id) AS k FROM d WHERE trim(memory) <> '' AND score >= 0)
+ SELECT query_id, bucket, rank::INTEGER AS rank, id, round(score, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY score DESC, id) AS rank FROM o WHERE k = 1) WHERE rank <= 10"""
+
+
+@query("r01_many_searches", MANY_SQL)
+def _(t):
+    p = search.resolve_params({"top_k": 10, "hops": 2})
+    asked = F.when(F.col("vec_id") % 40 == 0, ASKED[0]).otherwise(ASKED[1])
+    q = t.raw("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), asked.alias("query"), F.col("embedding").alias("vector"), F.array(F.lit("src0"), F.lit("src1")).alias("cubes"))
+    found = manysearch.search_many(t.memory, t.edges, q, p, _as_of())
+    return found.select("query_id", "bucket", "rank", "id", F.round("score", 6).alias("score"))
+
+
 # -- evaluation ---------------------------------------------------------------------
 
 PG_SQL = r"""WITH p AS (SELECT a.item_id, a.item_id % 5 + 1 AS category, a.text AS gold, b.text AS pred FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id * 3) % (SELECT count(*) FROM benchmark)),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram import api, session
-from engram.operators import search, store
+from engram.operators import manysearch, search, store
 
 DDL = "id string, user_name string, memory string, memory_type string, status string, embedding array<float>, updated_at timestamp, created_at timestamp, key string, tags array<string>, user_id string, agent_id string, access_count int, hierarchy_level string, pagerank double, info map<string,string>, importance_score double, retrieval_count int"
 
@@ -66,7 +66,8 @@ def test_search_uses_the_querys_words_and_parameters(spark):
     rows = [row("1", "c", "Paris in spring", vec=(1, 0)), row("2", "c", "notes on paris and rome", vec=(0, 1)), row("3", "c", "nothing here", vec=(0.9, 0.1)), row("4", "c", "nothing here at all", vec=(0.9, 0.11)), row("5", "c", "keyed", vec=(-1, 0))]
     m = spark.createDataFrame(rows, DDL).withColumn("key", F.when(F.col("id") == "5", "paris").otherwise("k")).withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
     e = spark.createDataFrame([], "from_id string, to_id string, relation string, confidence double, invalid_at timestamp")
-    assert search.query_tokens(m, "The Paris trip, the PARIS trip") == ["paris", "trip"]
+    (q,) = manysearch._queries(manysearch.request_rows(spark, [{"query": "The Paris trip, the PARIS trip"}])).collect()
+    assert q.tokens == ["paris", "trip"]
     ask = {"query": "Where is Paris", "vector": (1.0, 0.0), "cubes": ("c",), "top_k": 2}
     run = lambda **kw: [r.id for r in search.search(m, e, search.resolve_params(ask | kw), F.timestamp_seconds(F.lit(0))).orderBy("rank").collect()]
     assert {"1", "3"} == set(run())
