@@ -1,13 +1,17 @@
 """Main-text extraction by composite text density.
 
 A page becomes a small DOM.  Every node gets its link-adjusted characters per tag,
-the composite density, and the sum of its children's densities.  Characters of page
-furniture (elements that their tag, role or class names as navigation, footers,
-adverts, forms, comments and the like) count as link characters, so furniture has
-density 0 without being cut off first.  The subtree with the largest sum is the
-article's core.  The least density on the path from it up to the body is the
-threshold: on that path sibling subtrees join the core when their density reaches
-it, and inside what is chosen, furniture and lists of links below it go.
+the composite density, and the sum of its children's densities.  The subtree with the
+largest sum is the article's core.  The least density on the path from it up to the
+body is the threshold: on that path sibling subtrees join the core when their density
+reaches it, and lists of links below it go.
+
+Furniture by tag or role (nav, footer, aside, forms) and reader comments are never
+text.  Other words of a class or an id (related, alert, advert) only turn an element's
+characters into link characters, so outside the core it has density 0 and is not
+chosen.  Inside the core, or beside it in the same article, such an element stays if
+without that word it is as dense as the core's own parts are on average: running prose
+under a misleading class is text, a line of advertising is not.
 """
 
 from __future__ import annotations
@@ -71,15 +75,18 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "mark", "noise", "keeps", "articles", "chars", "plain", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "mark", "noise", "soft", "keeps", "articles", "chars", "plain", "tags", "link_chars", "link_tags", "bare_chars", "bare_tags", "density", "bare", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
         #: why it may be furniture: '' not at all, 'tag' certainly, 'words' by its class, 'comments'
         self.mark = ""
-        self.noise = self.keeps = False
-        self.articles = self.chars = self.plain = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        #: never text, and in doubt by a class word, with all below it
+        self.noise = self.soft = self.keeps = False
+        self.articles = self.chars = self.plain = self.tags = 0
+        #: links and furniture in characters and elements, and the same as if no class word said so
+        self.link_chars = self.link_tags = self.bare_chars = self.bare_tags = 0
+        self.density = self.bare = self.total = 0.0
 
 
 def _mark(tag: str, attributes: str) -> str:
@@ -181,7 +188,7 @@ def _tree(body: Node) -> list[Node]:
 
 
 def _furniture(order: list[Node], hints: bool = True) -> None:
-    """Set ``noise`` on furniture and all below it."""
+    """Set ``noise`` on furniture and all below it, and ``soft`` where only a class word says so."""
     for x in reversed(order):
         x.plain, x.articles, x.keeps = 0, int(x.tag in ("article", "main")), x.tag in ("main", "h1")
         for k in x.kids:
@@ -199,15 +206,17 @@ def _furniture(order: list[Node], hints: bool = True) -> None:
     inside, heads = set(), set()  # nodes of an article or main element, and of a header in one
     for x in order[1:]:
         up = x.parent
-        x.noise = up.noise
+        x.noise, x.soft = up.noise, up.soft
         if up.tag in ("article", "main") or id(up) in inside:
             inside.add(id(x))
         if x.noise:
             continue
         if x.mark == "tag":
             x.noise = True
+        elif x.mark == "comments":
+            x.noise = x.plain < whole or not x.keeps and (x.plain <= MOST * whole or x.articles < articles)
         elif x.mark:
-            x.noise = x.mark == "comments" and x.plain < whole or not x.keeps and (x.plain <= MOST * whole or x.articles < articles)
+            x.soft |= not x.keeps and (x.plain <= MOST * whole or x.articles < articles)
         elif x.tag == "header" and id(x) not in inside:
             x.noise = True
         elif x.tag == "header" or id(up) in heads and x.tag not in HEADINGS:
@@ -220,7 +229,7 @@ def _furniture(order: list[Node], hints: bool = True) -> None:
 def _measure(order: list[Node]) -> None:
     """Link-adjusted characters per tag of every node, and the sums over its children."""
     for x in reversed(order):
-        x.chars = x.tags = x.link_chars = x.link_tags = 0
+        x.chars = x.tags = x.link_chars = x.link_tags = x.bare_chars = x.bare_tags = 0
         for k in x.kids:
             if isinstance(k, str):
                 x.chars += _length(k)
@@ -228,15 +237,21 @@ def _measure(order: list[Node]) -> None:
                 x.chars += k.chars
                 x.tags += 1 + k.tags
                 x.link_chars += k.link_chars
-                x.link_tags += k.link_tags + (k.tag == "a" or k.noise)
+                x.link_tags += k.link_tags + (k.tag == "a" or k.noise or k.soft)
+                x.bare_chars += k.bare_chars
+                x.bare_tags += k.bare_tags + (k.tag == "a" or k.noise)
         if x.tag == "a" or x.noise:
+            x.link_chars = x.bare_chars = x.chars
+        elif x.soft:
             x.link_chars = x.chars
     body = order[0]
     body_links, body_chars = max(1, body.link_chars), max(1, body.chars)
     for x in reversed(order):
-        x.density = composite_density(x.chars, x.tags, x.link_chars, x.link_tags, body_links, body_chars)
-        if x.noise:
+        if x.noise or x.soft:
             x.density = 0.0
+            x.bare = 0.0 if x.noise else composite_density(x.chars, x.tags, x.bare_chars, x.bare_tags, body_links, body_chars)
+        else:
+            x.density = x.bare = composite_density(x.chars, x.tags, x.link_chars, x.link_tags, body_links, body_chars)
         x.total = sum(k.density for k in x.kids if isinstance(k, Node))
 
 
@@ -252,8 +267,8 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return c / t * math.log(gain) / math.log(max(base, 1.0001))
 
 
-def _content(order: list[Node]) -> tuple[list[Node], float]:
-    """The subtrees that are the article, in page order, and the threshold."""
+def _content(order: list[Node]) -> tuple[list[Node], float, float]:
+    """The subtrees that are the article, in page order, the threshold, and the mean density of the core's parts."""
     body = order[0]
     best, todo = body, [body]
     while todo:  # in page order, so that ties end on the first
@@ -261,6 +276,8 @@ def _content(order: list[Node]) -> tuple[list[Node], float]:
         if x.total > best.total:
             best = x
         todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
+    parts = [k.density for k in best.kids if isinstance(k, Node) and k.density > 0]
+    mean = sum(parts) / len(parts) if parts else best.density
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
@@ -271,7 +288,7 @@ def _content(order: list[Node]) -> tuple[list[Node], float]:
         if parent is not body and any(isinstance(k, str) and not k.isspace() for k in parent.kids):
             chosen.add(id(parent))  # its own text can't be taken without it
         for k in parent.kids:
-            if isinstance(k, Node) and k is not child and _joins(k, best, threshold, at <= article):
+            if isinstance(k, Node) and k is not child and _joins(k, best, threshold, mean, at <= article):
                 chosen.add(id(k))
     picked, todo = [], [body]
     while todo:
@@ -280,10 +297,10 @@ def _content(order: list[Node]) -> tuple[list[Node], float]:
             picked.append(x)
         else:
             todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
-    return picked, threshold
+    return picked, threshold, mean
 
 
-def _joins(x: Node, best: Node, threshold: float, same_article: bool) -> bool:
+def _joins(x: Node, best: Node, threshold: float, mean: float, same_article: bool) -> bool:
     """Whether a sibling on the core's path to the body is part of the article.
 
     Its density must reach the threshold, and it must be running text or weigh against
@@ -291,6 +308,8 @@ def _joins(x: Node, best: Node, threshold: float, same_article: bool) -> bool:
     density whatever it is, so headings and what shares the core's article or main
     element join if most of their characters aren't links.
     """
+    if x.soft:
+        return same_article and x.bare >= mean > 0
     if x.density <= 0:
         return False
     if x.tag in HEADINGS or same_article:
@@ -298,14 +317,16 @@ def _joins(x: Node, best: Node, threshold: float, same_article: bool) -> bool:
     return x.density >= threshold and (x.tag in TEXT_TAGS or 4 * x.total >= best.total)
 
 
-def _dropped(x: Node, threshold: float) -> bool:
-    """Inside the article: furniture, and lists of links whose density is below the threshold."""
+def _dropped(x: Node, threshold: float, mean: float) -> bool:
+    """Inside the article: furniture, what a class word doubts unless it is dense, and lists of links whose density is below the threshold."""
     if x.noise:
         return True
-    return x.link_tags >= MENU_LINKS and x.density < threshold and x.chars > 0 and 10 * x.link_chars >= 9 * x.chars and x.tag in BLOCKS
+    if x.soft and not x.parent.soft:  # below it the first decision holds
+        return x.bare < mean
+    return x.bare_tags >= MENU_LINKS and x.bare < threshold and x.chars > 0 and 10 * x.bare_chars >= 9 * x.chars and x.tag in BLOCKS
 
 
-def _blocks(node: Node, threshold: float) -> list[str]:
+def _blocks(node: Node, threshold: float, mean: float) -> list[str]:
     """Texts of the blocks below a node, white space collapsed, empty ones dropped."""
     out, line = [], []
 
@@ -322,7 +343,7 @@ def _blocks(node: Node, threshold: float) -> list[str]:
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif x is node or not _dropped(x, threshold):
+        elif x is node or not _dropped(x, threshold, mean):
             if x.tag in BLOCKS:
                 close()
                 todo.append(None)
@@ -334,28 +355,30 @@ def _blocks(node: Node, threshold: float) -> list[str]:
 def main_text(page: str | None, density: bool = True, hints: bool = True) -> str:
     """The article of one HTML page; '' for null, empty or text-free pages.
 
-    Without ``hints`` names of tags and classes say nothing about furniture.  Without
-    ``density`` the whole body is printed (both are for comparison).
+    For comparison: without ``hints`` names of tags and classes say nothing about
+    furniture; without ``density`` no subtree is chosen and no class word decides, so the
+    body is printed without what its tag or role, or being a comment, excludes.
     """
     if not page:
         return ""
     body = parse_dom(page)
     order = _tree(body)
-    if not density:
-        return "\n".join(_blocks(body, 0.0))
     _furniture(order, hints)
+    if not density:
+        return "\n".join(_blocks(body, 0.0, 0.0))
     _measure(order)
     if not body.chars:
         return ""
-    picked, threshold = _content(order)
-    return "\n".join(b for node in picked for b in _blocks(node, threshold))
+    picked, threshold, mean = _content(order)
+    return "\n".join(b for node in picked for b in _blocks(node, threshold, mean))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row.
 
     Null html gives an empty text; null ids and urls pass through; repeated rows are
-    rows of their own; other columns are ignored; an empty table gives no row.
+    rows of their own; other columns are ignored; an empty table gives no row.  A page is
+    one DOM in memory, in proportion to its length, and deep nesting needs no recursion.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
