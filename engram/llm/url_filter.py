@@ -10,8 +10,8 @@ domain, and the same path at all hosts.  A template's share of blocked labels is
 smoothed level by level along these ancestors, so one without labels of its own
 follows the nearest that have some.  A template whose smoothed purity reaches the
 threshold is blocked, with every URL that it covers.  The threshold is the least
-one that keeps PRECISION on labels of hosts that their own purity did not see, or
-REJECT where the labels are too few to tell.
+one that keeps PRECISION on labels of hosts that their own purity did not see; what
+the purities promise counts as a few labels more (``held_out``).
 
 Hand-made rules (host and path prefix, the longest wins) come first; their verdicts
 are the labels.  All tree statistics are taken from one aggregate of distinct
@@ -21,6 +21,7 @@ shuffle by host.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from engram.llm.columns import picked
 from engram.session import materialize
 
-#: Levels of the tree; what lies deeper is one last segment.
+#: Levels of the tree, a parameter of the model; what lies deeper is one last segment, so more levels tell longer paths apart.
 DEPTH = 4
 #: A level is variable if it has more values than this and none holds this share.
 VALUES, SHARE = 20, 0.5
 #: Labels that the parent's purity counts for.
 SMOOTHING = 4.0
-#: Share of rejected labels that must be blocked ones, on held-out hosts; the least purity that may reject; the purity that rejects without enough labels.
+#: Share of rejected labels that must be blocked ones, on held-out hosts; the least purity that may reject; the purity that is asked for where no such label is.
 PRECISION, FLOOR, REJECT = 0.95, 0.5, 0.8
 #: Groups of hosts of which each is held out once, and steps of the purity at which a threshold may lie.
 FOLDS, STEPS = 5, 100
@@ -177,21 +178,28 @@ def template_purity(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     return made.withColumn("purity", F.coalesce("purity", F.lit(start))).withColumn("held_purity", F.coalesce("held_purity", F.lit(start))).drop("leaf", "fold")
 
 
-def held_out(purity: DataFrame, precision: float = PRECISION, floor: float = FLOOR) -> tuple[float, float, float] | None:
-    """(threshold, precision, recall) on the labels of held-out hosts.
+def held_out(purity: DataFrame, precision: float = PRECISION, floor: float = FLOOR) -> tuple[float, float, float]:
+    """(threshold, precision, recall) by the labels of held-out hosts; a threshold above 1 rejects nothing.
 
-    One more rejected label, an allowed one, must leave the precision; so few labels,
-    or impure ones, give no threshold.
+    Of the n labels that a threshold t rejects by their held-out purity, ``precision``
+    should be blocked ones; the purity t itself, against REJECT, weighs as SMOOTHING
+    labels more.  So by one rule at every size few labels leave the threshold near REJECT,
+    and many leave it to what is seen.  It is the lowest that passes; below REJECT, and
+    not below ``floor``, only purities of labelled templates are looked at.
     """
+    said = F.col("blocked") + F.col("allowed")
     step = F.floor(F.least(F.col("held_purity"), F.lit(1.0)) * STEPS).cast("int").alias("step")
     # at most STEPS + 1 rows
-    bins = purity.where(F.col("blocked") + F.col("allowed") > 0).groupBy(step).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).orderBy(F.desc("step")).collect()
-    blocked = allowed = 0
-    best, every = None, sum(r.b for r in bins)
-    for r in bins:
-        blocked, allowed = blocked + r.b, allowed + r.a
-        if r.step >= floor * STEPS and blocked >= precision * (blocked + allowed + 1):
-            best = (r.step / STEPS, blocked / (blocked + allowed), blocked / max(1, every))
+    bins = {r.step: (r.b, r.a) for r in purity.where(said > 0).groupBy(step).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).collect()}
+    every = sum(b for b, _ in bins.values())
+    blocked = n = 0
+    best = (2.0, 0.0, 0.0)
+    for k in range(STEPS, math.ceil(floor * STEPS) - 1, -1):
+        b, a = bins.get(k, (0, 0))
+        blocked, n = blocked + b, n + b + a
+        t = k / STEPS
+        if (t >= REJECT or k in bins) and blocked + SMOOTHING * t >= precision * n + SMOOTHING * REJECT:
+            best = (t, blocked / max(1, n), blocked / max(1, every))
     return best
 
 
@@ -221,7 +229,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH,
     """
     rows, made = labelled_templates(pages, rules, depth, id_col, url_col)
     if reject is None:
-        reject = (held_out(made) or (REJECT,))[0]
+        reject = held_out(made)[0]
     raw = [f"r{k}" for k in range(depth)]
     name = F.concat(F.lit("/"), F.concat_ws("/", *[f"t{k}" for k in range(depth)]))
     refused = (F.col("purity") >= reject) & (F.col("host") != "")

@@ -76,3 +76,18 @@ def test_a_bad_host_taints_its_other_paths_and_few_labels_do_not(spark):
     rules = (url_filter.Rule("bad.com/spam/", "block"), url_filter.Rule("little.com/spam/", "block"), *[url_filter.Rule(f"g{i}.com/spam-free/", "allow") for i in range(60)])
     got = {r.path: (r.verdict, r.rule) for r in url_filter.judge(pages, rules).collect()}
     assert got["/other/a"] == ("block", None) and got["/more/b"] == ("allow", None) and got["/rest/c"] == ("allow", None)
+
+
+def test_one_rule_sets_the_threshold_at_every_size(spark):
+    """More labels of the same purities lower the threshold or leave it; none are needed for the rule to hold."""
+
+    kind = "held_purity double, blocked long, allowed long"
+
+    def threshold(times, rows=((0.97, 4, 0), (0.9, 3, 0), (0.65, 2, 0), (0.6, 1, 3), (0.2, 0, 9))):
+        t = [(p, b * times, a * times) for p, b, a in rows]
+        return url_filter.held_out(spark.createDataFrame(t, kind))[0]
+
+    found = [threshold(k) for k in (1, 2, 5, 50)]
+    assert found == sorted(found, reverse=True) and found[0] == 0.8 and found[-1] == 0.65
+    assert url_filter.held_out(spark.createDataFrame([], kind)) == (0.8, 0.0, 0.0)
+    assert threshold(1, ((0.95, 1, 9),)) == 0.96  # promised, but not seen
