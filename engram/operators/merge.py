@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import vector
-from engram.operators import pairs, search
+from engram.operators import pairs, ranks, search
 
 #: Cosine from which a new row of fast and raw ingest is a repeat.
 REPEATED = 0.92
@@ -25,15 +25,20 @@ def split_kinds(*lists: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def merge_cubes(lists: list[DataFrame], k: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Results of several cubes: of a repeated id the first list's row stays; best score first, with ``rank``."""
+    """Results of several cubes: of a repeated id the first list's row stays; best score first, with ``rank``.
+
+    Without ``k`` whole lists are ranked, by ranges.
+    """
     rows = reduce(DataFrame.unionByName, [x.withColumn("__list", F.lit(i)) for i, x in enumerate(lists)])
     first = Window.partitionBy(*by, "id").orderBy("__list", F.desc("score"))
     rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__list")
-    if k is not None and not by:
-        rows = rows.orderBy(F.desc("score"), "id").limit(k)
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
-    rows = rows.withColumn("rank", F.row_number().over(w))
-    return rows if k is None else rows.where(F.col("rank") <= k)
+    order = (F.desc("score"), F.col("id").asc())
+    if k is None:
+        keys = by or ("__all",)
+        return ranks.row_numbers(rows if by else rows.withColumn("__all", F.lit(1)), keys, order).select(*rows.columns, "rank")
+    if not by:
+        rows = rows.orderBy(*order).limit(k)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def merge_speakers(a: DataFrame, b: DataFrame, k: int, labels: tuple[str, str] = ("a", "b")) -> DataFrame:

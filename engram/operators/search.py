@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import scoring, text, vector
-from engram.operators import graph, manysearch
+from engram.operators import graph, manysearch, ranks
 from engram.operators.filters import scope
 from engram.schema import SKILL_TYPES, TEXT_TYPES, TOOL_TYPES
 
@@ -111,9 +111,12 @@ def entity_recall(edges: DataFrame, memory: DataFrame, entities: list[str], wher
 # -- fusion ------------------------------------------------------------------
 
 
-def ranked(candidates: DataFrame, by: tuple[str, ...] = ("source",)) -> DataFrame:
-    """``candidates`` with the 1-based ``rank`` inside each list."""
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")))
+def ranked(candidates: DataFrame, by: tuple[str, ...] = ("source",), whole: bool = False) -> DataFrame:
+    """``candidates`` with the 1-based ``rank`` inside each list; ``whole`` for lists of any length, else a list is one task."""
+    order = (F.desc("score"), F.col("id").asc())
+    if whole:
+        return ranks.row_numbers(candidates, by, order)
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def rrf(candidates: DataFrame, k: int = scoring.RRF_K, keys: tuple[str, ...] = ()) -> DataFrame:

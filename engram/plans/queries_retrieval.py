@@ -150,7 +150,7 @@ def _lists(t):
     w = filters.scope(CUBE)
     v = search.knn(t.memory, t.vector(), w, None).withColumn("source", F.lit("vector"))
     x = search.full_text(t.memory, TOKENS, w, None).withColumn("source", F.lit("text"))
-    return search.ranked(v.unionByName(x).withColumn("score", F.round("score", 9)))
+    return search.ranked(v.unionByName(x).withColumn("score", F.round("score", 9)), whole=True)
 
 
 @query("r03_rrf", LISTS_SQL + "SELECT id, round(sum(1.0 / (rank + 60)), 6)::DOUBLE AS score FROM r GROUP BY id")

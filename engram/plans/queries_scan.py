@@ -251,7 +251,7 @@ def _(t):
 
 @query("w01_list_rank", M + "SELECT id, user_name, row_number() OVER (PARTITION BY user_name ORDER BY importance_score DESC, id)::INTEGER AS rank FROM memory")
 def _(t):
-    return search.ranked(t.memory.select("id", "user_name", F.col("importance_score").alias("score")), ("user_name",)).drop("score")
+    return search.ranked(t.memory.select("id", "user_name", F.col("importance_score").alias("score")), ("user_name",), True).drop("score")
 
 
 @query("w02_timeline", M + """SELECT from_id, to_id, dt FROM (SELECT id AS from_id, lag(id) OVER w AS to_id, created_s - lag(created_s) OVER w AS dt, doc_id >= 500 OR coalesce(lag(doc_id) OVER w >= 500, false) AS fresh
