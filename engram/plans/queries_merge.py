@@ -56,9 +56,9 @@ def _(t):
     return merge.inner_rows(m, False).select("id")
 
 
-@query("r06_working_bucket", MQ + f"SELECT id, round(({COS} + 1) / 2, 6)::DOUBLE AS score, row_number() OVER (ORDER BY ({COS} + 1) / 2 DESC, id)::INTEGER AS rank FROM memory, q WHERE status = 'activated' AND user_name = '{CUBE}' AND memory_type = 'WorkingMemory' AND ({COS} + 1) / 2 >= 0.55 - 0.10 ORDER BY ({COS} + 1) / 2 DESC, id LIMIT 20")
+@query("r06_working_bucket", MQ + f"SELECT id, round(({COS} + 1) / 2, 6)::DOUBLE AS score, row_number() OVER (ORDER BY ({COS} + 1) / 2 DESC, id)::INTEGER AS rank FROM memory, q WHERE status = 'activated' AND user_name IN ('src3', 'src7', 'src11') AND memory_type = 'WorkingMemory' AND ({COS} + 1) / 2 >= 0.55 - 0.10 ORDER BY ({COS} + 1) / 2 DESC, id LIMIT 20")
 def _(t):
-    return merge.working_bucket(t.memory, t.vector(), filters.scope([CUBE]), 0.55).select("id", F.round("score", 6).alias("score"), "rank")
+    return merge.working_bucket(t.memory, t.vector(), filters.scope(["src3", "src7", "src11"]), 0.55).select("id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("d07_preferences", cte("memory") + """SELECT id, memory FROM (SELECT 'p' || (doc_id // 3) AS id, coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN '' ELSE memory END), ''), nullif(trim(CASE WHEN doc_id % 4 = 0 THEN key END), '')) AS memory, doc_id FROM memory)

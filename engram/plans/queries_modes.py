@@ -32,7 +32,7 @@ def _id(n, prefix="m"):
 
 # -- search ---------------------------------------------------------------------
 
-FINE = M + f""", r AS (SELECT doc_id // 25 AS query_id, id, {SCORE_SQL} AS score, doc_id % 3 <> 0 AND row_number() OVER (PARTITION BY doc_id // 25 ORDER BY {SCORE_SQL} DESC, id) <= 20 AS keep FROM memory WHERE doc_id % 50 < 48),
+FINE = M + f""", r AS (SELECT doc_id // 25 AS query_id, id, {SCORE_SQL} AS score, doc_id % 3 <> 0 AND row_number() OVER (PARTITION BY doc_id // 25 ORDER BY {SCORE_SQL} DESC, id) <= 20 AS keep FROM memory),
  t AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, count(*) FILTER (keep) OVER (PARTITION BY query_id) AS kept FROM r),
  s AS (SELECT *, n >= 3 AND kept > 0 AND 1 - kept / n::DOUBLE > 0.3 AS short FROM t WHERE n < 3 OR kept = 0 OR keep),
  b AS (SELECT query_id, id, score, 0 AS ord FROM s UNION ALL SELECT m.doc_id // 25, m.id, 0.5, 1 FROM memory m WHERE m.doc_id // 25 IN (SELECT query_id FROM s WHERE short) AND (m.doc_id // 25, m.id) NOT IN (SELECT (query_id, id) FROM s))
@@ -42,7 +42,7 @@ FINE = M + f""", r AS (SELECT doc_id // 25 AS query_id, id, {SCORE_SQL} AS score
 @query("r12_fine", FINE)
 def _(t):
     q = F.floor(_d() / 25).alias("query_id")
-    results = t.memory.where(_d() % 50 < 48).select(q, "id", _score().alias("score"))
+    results = t.memory.select(q, "id", _score().alias("score"))
     verdicts = t.memory.select(q, "id", (_d() % 3 != 0).alias("keep"))
     return modes.fine(results, verdicts, t.memory.select(q, "id", F.lit(0.5).alias("score")), 19).select("query_id", "id", "score", "rank")
 
@@ -69,12 +69,12 @@ def _(t):
     return modes.rewrite_queries(queries, t.memory.where(_d() % 11 != 0).select(F.col("id").alias("query_id"), new.alias("rewritten"), ((_d() % 10) / 10.0).alias("confidence")))
 
 
-@query("s09_staged", M + """, s AS (SELECT doc_id // 30 AS query_id, id, row_number() OVER (PARTITION BY doc_id // 30 ORDER BY (doc_id * 7) % 31, id) - 1 AS pos FROM memory WHERE doc_id % 2 = 0),
- t AS (SELECT m.doc_id // 30 AS query_id, m.id, m.doc_id, s.pos, row_number() OVER (PARTITION BY m.doc_id // 30 ORDER BY m.doc_id) AS nth, count(*) OVER (PARTITION BY m.doc_id // 30) AS n FROM memory m LEFT JOIN s ON m.id = s.id AND s.pos < 10 WHERE m.doc_id % 60 < 33)
+@query("s09_staged", M + """, s AS (SELECT (doc_id // 60) * 2 + (doc_id % 60 >= 57)::INTEGER AS query_id, id, row_number() OVER (PARTITION BY (doc_id // 60) * 2 + (doc_id % 60 >= 57)::INTEGER ORDER BY (doc_id * 7) % 31, id) - 1 AS pos FROM memory WHERE doc_id % 2 = 0),
+ t AS (SELECT (m.doc_id // 60) * 2 + (m.doc_id % 60 >= 57)::INTEGER AS query_id, m.id, m.doc_id, s.pos, row_number() OVER (PARTITION BY (m.doc_id // 60) * 2 + (m.doc_id % 60 >= 57)::INTEGER ORDER BY m.doc_id) AS nth, count(*) OVER (PARTITION BY (m.doc_id // 60) * 2 + (m.doc_id % 60 >= 57)::INTEGER) AS n FROM memory m LEFT JOIN s ON m.id = s.id AND s.pos < 10)
  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n >= 5 AND nth <= 50 AND pos IS NOT NULL AND (query_id % 3 = 0 OR doc_id % 4 = 0) THEN pos END NULLS LAST, nth)::INTEGER AS place FROM t""")
 def _(t):
-    q = F.floor(_d() / 30).alias("query_id")
-    results = t.memory.where(_d() % 60 < 33).select(q, "id", _d().alias("ord"))
+    q = (F.floor(_d() / 60) * 2 + (_d() % 60 >= 57).cast("int")).alias("query_id")  # 57 rows, or three
+    results = t.memory.select(q, "id", _d().alias("ord"))
     w = Window.partitionBy("query_id").orderBy((_d() * 7) % 31, "id")
     short = t.memory.where(_d() % 2 == 0).select(q, "id", "doc_id").withColumn("pos", F.row_number().over(w) - 1)
     verdicts = t.memory.select(q, "id", (_d() % 4 == 0).alias("relevant")).where("query_id % 3 <> 0")
@@ -165,16 +165,17 @@ def _(t):
 # -- ingest ---------------------------------------------------------------------
 
 
-@query("i05_async_add", M + """SELECT DISTINCT 'read-' || w AS item_id, user_name AS cube_id, 'mem_read' AS label, '{"memory_ids":["' || w || '"]}' AS content FROM (SELECT user_name, 'w' || substr(sha256(concat_ws('|', user_name, memory)), 1, 16) AS w FROM memory WHERE doc_id % 5 = 0)""")
+@query("i05_async_add", M + """SELECT DISTINCT 'read-' || w AS item_id, user_name AS cube_id, 'mem_read' AS label, '{"memory_ids":["' || w || '"]}' AS content FROM (SELECT user_name, 'w' || substr(sha256(concat_ws('|', user_name, memory)), 1, 16) AS w FROM memory)""")
 def _(t):
-    rows = t.memory.where(_d() % 5 == 0).select("user_name", "memory", F.lit("LongTermMemory").alias("memory_type"))
+    rows = t.memory.select("user_name", "memory", F.lit("LongTermMemory").alias("memory_type"))
     return ingest.read_later(ingest.unembedded(ingest.node_pairs(rows).dropDuplicates(["id"])))
 
 
-@query("i10_believed", M + """, f AS (SELECT doc_id // 4 AS conv_id, id, doc_id % 20 = 3 AS flagged, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 END AS keep, count(*) OVER (PARTITION BY doc_id // 4) AS n, bool_or(doc_id % 20 = 3) OVER (PARTITION BY doc_id // 4) AS flags FROM memory WHERE doc_id % 8 < 6)
+@query("i10_believed", M + """, f AS (SELECT (doc_id // 6) * 2 + (doc_id % 6 >= 4)::INTEGER AS conv_id, id, doc_id % 20 = 3 AS flagged, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 END AS keep, count(*) OVER (PARTITION BY (doc_id // 6) * 2 + (doc_id % 6 >= 4)::INTEGER) AS n, bool_or(doc_id % 20 = 3) OVER (PARTITION BY (doc_id // 6) * 2 + (doc_id % 6 >= 4)::INTEGER) AS flags FROM memory)
  SELECT id FROM f WHERE CASE WHEN n <= 2 THEN true WHEN flags THEN NOT flagged ELSE coalesce(keep, true) END""")
 def _(t):
-    facts = t.memory.where(_d() % 8 < 6).select(F.floor(_d() / 4).alias("conv_id"), F.col("id").alias("fact_id"), (_d() % 20 == 3).alias("flagged"))
+    conv = F.floor(_d() / 6) * 2 + (_d() % 6 >= 4).cast("int")  # four facts, or two
+    facts = t.memory.select(conv.alias("conv_id"), F.col("id").alias("fact_id"), (_d() % 20 == 3).alias("flagged"))
     verdicts = t.memory.where(_d() % 3 == 0).select(F.col("id").alias("fact_id"), (_d() % 2 == 0).alias("keep"))
     return modes.believed(facts, verdicts).select(F.col("fact_id").alias("id"))
 

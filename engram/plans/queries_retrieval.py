@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engram import models
 from engram.functions import scoring, text, vector
@@ -66,12 +67,19 @@ def _(t):
     return t.memory.select("id", F.size(text.keywords(F.col("memory"))).alias("n"))
 
 
-LANG = [("hello there", "en", "en"), ("привет мир", "ru", "ru"), ("你好世界", "zh", "zh"), ("ok 你好 как", "ru", "ru"), ("", "en", "en")]
+# every third text is spelt with Cyrillic letters and every third with Chinese ones for some of its own
+SPELT = (("aeiounrst", "аеиоунрст"), ("aeio", "你好世界"))
+PHRASE_SQL = "CASE doc_id % 4 WHEN 1 THEN translate(text, '{}', '{}') WHEN 2 THEN translate(text, '{}', '{}') WHEN 3 THEN '' ELSE text END".format(*SPELT[0], *SPELT[1])
 
 
-@query("tx02_language", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LANG) + ") AS v(phrase, search, chat)")
+@query("tx02_language", rf"""WITH p AS (SELECT doc_id, {PHRASE_SQL} AS p FROM documents), b AS (SELECT doc_id, regexp_replace(p, '[\s\p{{P}}]', '', 'g') AS a, regexp_replace(p, '[^\p{{L}}\p{{N}}]', '', 'g') AS b FROM p),
+ n AS (SELECT doc_id, length(a) AS n, length(a) - length(regexp_replace(a, '[Ѐ-ӿ]', '', 'g')) AS ru, length(a) - length(regexp_replace(a, '[一-鿿㐀-䶿]', '', 'g')) AS zh,
+  length(b) AS m, length(b) - length(regexp_replace(b, '[Ѐ-ӿ]', '', 'g')) AS ru2, length(b) - length(regexp_replace(b, '[一-鿿㐀-䶿]', '', 'g')) AS zh2 FROM b)
+ SELECT doc_id, CASE WHEN ru > 0.20 * n THEN 'ru' WHEN zh > 0.30 * n THEN 'zh' ELSE 'en' END AS search, CASE WHEN zh2 > 0.3 * m THEN 'zh' WHEN ru2 > 0.3 * m THEN 'ru' ELSE 'en' END AS chat FROM n""")
 def _(t):
-    return t.spark.createDataFrame([(a,) for a, _, _ in LANG], "phrase string").select("phrase", text.search_language(F.col("phrase")).alias("search"), text.chat_language(F.col("phrase")).alias("chat"))
+    k = F.col("doc_id") % 4
+    phrase = F.when(k == 1, F.translate("text", *SPELT[0])).when(k == 2, F.translate("text", *SPELT[1])).when(k == 3, "").otherwise(F.col("text"))
+    return t.raw("documents").select("doc_id", phrase.alias("p")).select("doc_id", text.search_language(F.col("p")).alias("search"), text.chat_language(F.col("p")).alias("chat"))
 
 
 HITS_SQL = f"len(list_filter({WORDS_SQL}, lambda x: list_contains(['the', 'thing', 'and'], x)))"
@@ -239,10 +247,15 @@ def _(t):
     return models.rerank(r, "the thing", top=10).select("id", F.round("score", 6).alias("score"), "reranked")
 
 
-@query("s07_precomputed", """SELECT id, score, place, covered FROM (VALUES ('a', 0.5::DOUBLE, 1::INTEGER, true), ('c', 0.95::DOUBLE, 2::INTEGER, true), ('b', 0.3::DOUBLE, 3::INTEGER, true)) AS v(id, score, place, covered)""")
+# the best 30 rows as one result list; every row of the table is a stored neighbour of every other
+@query("s07_precomputed", MQ + f"""SELECT id, CASE WHEN ord = 0 THEN score ELSE stored END AS score, row_number() OVER (ORDER BY ord <> 0, -stored, ord)::INTEGER AS place, true AS covered
+ FROM (SELECT id, round({COS}, 6) AS score, (doc_id % 10) / 10.0::DOUBLE AS stored, row_number() OVER (ORDER BY {COS} DESC, id) - 1 AS ord FROM memory, q WHERE status = 'activated' AND embedding IS NOT NULL ORDER BY {COS} DESC, id LIMIT 30)""")
 def _(t):
-    r = t.spark.createDataFrame([("a", 0.5, 0), ("b", 0.9, 1), ("c", 0.2, 2)], "id string, score double, ord int")
-    n = t.spark.createDataFrame([("a", "b", 0.3), ("a", "c", 0.95)], "id string, neighbor_id string, score double")
+    m, best = t.memory, search.knn(t.memory, t.vector(), _active(), 30)
+    w = Window.orderBy(F.desc("score"), "id")  # 30 rows
+    r = best.withColumn("ord", F.row_number().over(w) - 1).withColumn("score", F.round("score", 6))
+    first = r.where("ord = 0").select("id")
+    n = F.broadcast(first).join(m.select(F.col("id").alias("neighbor_id"), ((F.col("doc_id") % 10) / 10.0).alias("score")), F.col("id") != F.col("neighbor_id"))
     return search.precomputed_rerank(r, n)
 
 

@@ -104,7 +104,6 @@ def _(t):
 
 F_CASES = {
     "f01_equals": ({"user_id": "u1"}, "user_id = 'u1'"),
-    "f02_array_equals": ({"tags": "en"}, "tags = ['en']"),
     "f03_compare": ({"confidence": {"gte": 0.5}, "created_at": {"lt": "2023-01-05"}}, f"confidence >= 0.5 AND created_s < {EPOCH + 4 * 86400}"),
     "f04_contains": ({"tags": {"contains": "b3"}}, "list_contains(tags, 'b3')"),
     "f05_in": ({"tags": {"in": ["de", "b1"]}}, "list_has_any(tags, ['de', 'b1'])"),
@@ -128,9 +127,16 @@ PHRASES = ["what did I do today", "last week plans", "this month", "last quarter
 DAYS = [1, 7, 30, 90, 30, 0, 1, 7]
 
 
-@query("f10_temporal", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {d}::INTEGER)" for p, d in zip(PHRASES, DAYS)) + ") AS v(phrase, days)")
+@query("f02_array_equals", M + "SELECT id FROM memory WHERE CASE WHEN doc_id % 2 = 0 THEN [tags[1]] ELSE tags END = ['en']")
 def _(t):
-    return t.spark.createDataFrame([(p,) for p in PHRASES], "phrase string").select("phrase", text.temporal_days(F.col("phrase")).alias("days"))
+    one = F.when(F.col("doc_id") % 2 == 0, F.slice("tags", 1, 1)).otherwise(F.col("tags"))
+    return t.memory.withColumn("tags", one).where(filters.compile_filter({"tags": "en"})).select("id")
+
+
+@query("f10_temporal", "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {d}" for i, d in enumerate(DAYS)) + " END::INTEGER AS days FROM documents")
+def _(t):
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 8).cast("int"))
+    return t.raw("documents").select("doc_id", text.temporal_days(F.concat("text", F.lit(" "), phrase)).alias("days"))
 
 
 @query("f10_cutoff", M + f"SELECT id FROM memory WHERE {ACTIVE} AND created_s >= {EPOCH + 40 * 86400} - 30 * 86400")
@@ -306,10 +312,10 @@ def _(t):
     return t.memory.select("id").join(t.memory.where("doc_id % 3 = 0").select("id"), "id", "left_anti")
 
 
-@query("u08_fill_up", M + f"SELECT id, score FROM (SELECT id, pagerank AS score, 0 AS o FROM memory WHERE {ACTIVE} AND doc_id < 60 UNION ALL SELECT id, pagerank, 1 FROM memory WHERE {ACTIVE} AND doc_id >= 60) ORDER BY o, score DESC, id LIMIT 10")
+@query("u08_fill_up", M + f"SELECT id, score FROM (SELECT id, pagerank AS score, 0 AS o FROM memory WHERE {ACTIVE} AND doc_id % 3 = 0 UNION ALL SELECT id, pagerank, 1 FROM memory WHERE {ACTIVE} AND doc_id % 3 <> 0) ORDER BY o, score DESC, id LIMIT 10")
 def _(t):
     m = t.memory.where(filters.scope(CUBE)).select("doc_id", "id", F.col("pagerank").alias("score"))
-    return search.fill_up(m.where("doc_id < 60").drop("doc_id"), m.drop("doc_id"), 10)
+    return search.fill_up(m.where("doc_id % 3 = 0").drop("doc_id"), m.drop("doc_id"), 10)
 
 
 @query("x16_canary", M + "SELECT DISTINCT user_id, ('0x' || substr(sha256(user_id), 1, 8))::BIGINT % 100 AS bucket FROM memory")
