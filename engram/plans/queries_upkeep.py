@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engram.operators import hierarchy, maintain, pairs, store
+from engram.operators import hierarchy, maintain, pairs, store, tablelog
 from engram.plans.adapter import AS_OF, CUBE, cte
 from engram.plans.queries_graph import COMPONENTS_SQL, NEAR, PAIRS_SQL
 from engram.plans.registry import query
 from engram.schema import FEEDBACK_LABELS, HIGH_PRIORITY
+from engram.session import scratch_path
 from engram.streaming import tasks
 
 M, ME = cte("memory"), cte("memory", "edges")
@@ -146,3 +147,16 @@ def _(t):
         m, e, _audit = hierarchy.grow(m, e, _at(), "raw", NEAR, 2)
     links = e.where(F.col("relation") == hierarchy.RELATION).where("invalid_at IS NULL").select(F.col("from_id").alias("id"), F.col("to_id").alias("edge"))
     return m.join(links, "id", "left").select("id", "status", "hierarchy_level", "parent_memory_id", "edge")
+
+
+# the table as a log: appended, every fourth row rewritten, every ninth deleted, compacted, and two thirds of those put back
+@query("src16_table_log", M + """SELECT id, user_name, CASE WHEN doc_id % 9 = 0 AND doc_id % 3 = 0 THEN 'back ' || id WHEN doc_id % 4 = 0 THEN 'new ' || id ELSE memory END AS memory FROM memory WHERE doc_id % 9 <> 0 OR doc_id % 27 <> 0""")
+def _(t):
+    log = tablelog.TableLog(t.spark, scratch_path(t.spark, "table-log"))
+    m = t.memory.select("id", "user_name", "memory", "doc_id")
+    log.append(m)
+    log.change(lambda now: now.where("doc_id % 4 = 0").withColumn("memory", F.concat(F.lit("new "), "id")))
+    log.delete(m.where("doc_id % 9 = 0"))
+    log.compact()
+    log.upsert(m.where("doc_id % 9 = 0 AND doc_id % 27 <> 0").withColumn("memory", F.concat(F.lit("back "), "id")))
+    return log.read().select("id", "user_name", "memory")
