@@ -182,7 +182,7 @@ def raw_windows(memory: DataFrame, limit: int = 50) -> DataFrame:
     return t.orderBy(F.col("created_at").asc_nulls_last(), "id").limit(min(limit, 200))
 
 
-def cycle(memory: DataFrame, edges: DataFrame, at: Column, least: float = NEAR_DUPLICATE, tiers: dict[str, tuple[float, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+def cycle(memory: DataFrame, edges: DataFrame, at: Column, least: float = NEAR_DUPLICATE, tiers: dict[str, tuple[float, int]] | None = None, merge_at: float = AUTO_MERGE) -> tuple[DataFrame, DataFrame]:
     """One periodic round over all cubes: compact, consolidate, grow the tree by both tiers, decay.
 
     But for the decay of importance a second round over the result changes nothing.
@@ -196,7 +196,7 @@ def cycle(memory: DataFrame, edges: DataFrame, at: Column, least: float = NEAR_D
     made = made.select(*[c for c in made.columns if c in memory.columns])
     m = materialize(store.delete_ids(memory, gone).unionByName(made, allowMissingColumns=True), "compacted")
     # a parent has the vector of its longest child, so it isn't a copy of it
-    merges, merged = consolidate(m.where("coalesce(hierarchy_level, 'raw') = 'raw'"), least)
+    merges, merged = consolidate(m.where("coalesce(hierarchy_level, 'raw') = 'raw'"), least, merge_at)
     merges = materialize(merges, "merges")
     m = store.soft_merge(m, merges, at)
     e = graph.upsert_edges(edges, merged)

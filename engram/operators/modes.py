@@ -102,10 +102,10 @@ def iterate(first: DataFrame, phrases: Callable[[DataFrame, int], list[str]], fe
     return rows.orderBy(F.desc("score"), "id").select("id", "score", "stage", "phrase")
 
 
-def rewrite_queries(queries: DataFrame, rewrites: DataFrame) -> DataFrame:
+def rewrite_queries(queries: DataFrame, rewrites: DataFrame, sure_from: float = REWRITE_SURE) -> DataFrame:
     """queries(query_id, query) by their rewrites(query_id, rewritten, confidence), where both pass the gates: (query_id, query, used)."""
     long = (F.octet_length("query") <= REWRITE_BYTES) & (F.size(F.filter(F.split("query", r"\s+"), lambda w: w != "")) >= REWRITE_TOKENS)
-    sure = (F.trim("rewritten") != "") & (F.col("confidence") >= REWRITE_SURE)
+    sure = (F.trim("rewritten") != "") & (F.col("confidence") >= sure_from)
     used = F.coalesce(long & sure, F.lit(False))
     t = queries.join(rewrites.select("query_id", "rewritten", "confidence"), "query_id", "left")
     return t.select("query_id", F.when(used, F.col("rewritten")).otherwise(F.col("query")).alias("query"), used.alias("used"))

@@ -43,6 +43,9 @@ class SearchParams:
     as_of: object = None
     resort: bool = False
     hops: int = 2
+    mode: str = "fast"
+    include_working: bool = False
+    include_preferences: bool = False
     extra: dict = field(default_factory=dict)
 
 
