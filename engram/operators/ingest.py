@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import text
+from engram.operators import windows
 
 # Limits and patterns of ingest.
 WINDOW_BYTES, OVERLAP_BYTES, WINDOW_RANGE = 4096, 800, (128, 16384)
@@ -73,22 +73,16 @@ def windows_of(lines: list[tuple[str, str]], size: int = WINDOW_BYTES, overlap:
 
 
 def _request() -> Column:
-    """Messages arrive in requests of MOST_MESSAGES at most; windows and verdicts never cross one, so no group grows with a conversation."""
+    """Messages arrive in requests of MOST_MESSAGES at most; verdicts never cross one, so no group grows with a conversation."""
     return F.floor(F.col("turn") / MOST_MESSAGES).cast("int")
 
 
-def message_windows(messages: DataFrame, size: int | None = None) -> DataFrame:
-    """(conv_id, request, window, first, end, memory, memory_type) of each request of a conversation, in turn order."""
-    limit = window_size(size)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        lines = [(r, f"{r}: [{t}]: {c}") for r, t, c in zip(pdf["role"], pdf["at"], pdf["content"])]
-        rows = [(pdf["conv_id"].iloc[0], pdf["request"].iloc[0], i, a, b, text_, kind) for i, (a, b, text_, kind) in enumerate(windows_of(lines, limit))]
-        return pd.DataFrame(rows, columns=["conv_id", "request", "window", "first", "end", "memory", "memory_type"])
-
-    t = messages.select("conv_id", _request().alias("request"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("content", F.lit("")).alias("content"), F.date_format("chat_time", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
-    return t.groupBy("conv_id", "request").applyInPandas(one, "conv_id long, request int, window int, first int, end int, memory string, memory_type string")
+def message_windows(messages: DataFrame, size: int | None = None, overlap: int = OVERLAP_BYTES) -> DataFrame:
+    """(conv_id, window, first, end, memory, memory_type) of whole conversations, in turn order, of any length."""
+    at = F.coalesce(F.date_format("chat_time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("None"))
+    role = F.coalesce("role", F.lit(""))
+    lines = messages.select("conv_id", "turn", role.alias("role"), F.concat(role, F.lit(": ["), at, F.lit("]: "), F.coalesce("content", F.lit(""))).alias("line"))
+    return windows.windows(lines, window_size(size), overlap)
 
 
 def raw_memories(messages: DataFrame) -> DataFrame:
