@@ -23,6 +23,7 @@ STOP_ZH = (
 ).split()
 TOKEN = "[a-zA-ZА-Яа-яёЁ0-9]+"
 #: (pattern, days), the first match wins.
+# Time phrases and the days that they look back.
 TEMPORAL = (
     (r"(?i)\b(?:today|yesterday|last\s*(?:24\s*h|night))\b", 1),
     (r"(?i)(?:^|\s)(?:сегодня|вчера|за\s*(?:последние\s*)?сутки)(?:\s|$)", 1),

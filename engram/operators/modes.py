@@ -22,26 +22,36 @@ FINE_LEAST, FINE_ASKED, FINE_DROPPED = 3, 20, 0.30
 REWRITE_BYTES, REWRITE_TOKENS, REWRITE_SURE = 400, 5, 0.5
 STAGED_LEAST, STAGED_ASKED, STAGED_SHORT = 5, 50, 10
 UNJUDGED_FACTS, TYPO, PREFERENCE_REPEATED = 2, 2, 0.93
+#: Share of failed calls from which, with so many at least, the callable is at fault.
+MOST_FAILED, FEW_FAILED = 0.5, 5
 
 
 def ask(rows: DataFrame, columns: list[str], call: Callable[..., str | None], out: str = "reply") -> DataFrame:
-    """``rows`` with the callable's reply to ``columns``; null where it raises.  Written once, so a row is asked once."""
+    """``rows`` with the callable's reply to ``columns``; null where it raises.  Written once, so a row is asked once.
+
+    More than MOST_FAILED of the rows, if these are FEW_FAILED at least, point to the
+    callable and not to a row: that is an error.
+    """
     names = [c for c in rows.columns if c != out]
     at = [names.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(*args):
             try:
-                return call(*args)
-            except Exception:  # a step goes on without this reply
-                return None
+                return call(*args), None
+            except Exception as e:  # a step goes on without this reply
+                return None, repr(e)[:200]
 
         for b in batches:
             replies = [one(*v) for v in zip(*[b.column(i).to_pylist() for i in at])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in replies], pa.string()), pa.array([e for _, e in replies], pa.string())], names=[*names, out, "__fault"])
 
     base = rows.select(*names)
-    return materialize(base.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + f", `{out}` string"), "asked")
+    asked = materialize(base.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + f", `{out}` string, __fault string"), "asked")
+    n, failed, fault = asked.agg(F.count("*"), F.count("__fault"), F.max("__fault")).first()
+    if failed >= FEW_FAILED and failed > MOST_FAILED * n:
+        raise RuntimeError(f"{failed} of {n} calls failed: {fault}")
+    return asked.drop("__fault")
 
 
 # -- search ------------------------------------------------------------------

@@ -42,6 +42,12 @@ def test_ask_asks_each_row_once_and_goes_on_without_a_reply(spark, tmp_path):
     assert [open(f"{tmp_path}/{x}").read() for x in "ab"] == ["1", "1"]
 
 
+def test_a_callable_that_always_fails_is_an_error(spark):
+    t = spark.createDataFrame([(str(i),) for i in range(8)], "x string")
+    with pytest.raises(RuntimeError, match="8 of 8 calls failed: TypeError"):
+        modes.ask(t, ["x"], lambda: "takes nothing")
+
+
 def test_fine_with_few_rows_no_kept_rows_and_no_rows(spark):
     r = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.8), *[(2, c, 0.5) for c in "cde"]], "query_id int, id string, score double")
     none = spark.createDataFrame([(1, "a", False), (2, "c", False)], "query_id int, id string, keep boolean")
