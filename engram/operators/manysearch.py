@@ -182,7 +182,9 @@ def search_many(memory: DataFrame, edges: DataFrame, queries: DataFrame, p, as_o
 
     k = search.inflated_k(p.top_k, p.dedup)
     q = _queries(queries)
-    rows = _expanded(fused(candidates(memory, edges, q, p, k)), edges, memory, q, p, 3 * k)
+    # one small row a query, read several times: kept when first computed, and computed anew if lost
+    found = fused(candidates(memory, edges, q, p, k)).persist()
+    rows = _expanded(found, edges, memory, q, p, 3 * k).persist()
     rows = _penalised(rows, edges) if p.level == "l3" else rows.select("query_id", F.explode("rows").alias("x")).select("query_id", "x.*")
     rel = F.coalesce("rel", "score")
     if p.importance:
