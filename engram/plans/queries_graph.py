@@ -399,7 +399,7 @@ def _(t):
  r AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g), k AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) // 5 AS part FROM r)
  SELECT user_id, run::BIGINT AS run, part::INTEGER AS part, count(*) AS n FROM k GROUP BY ALL""")
 def _(t):
-    e = t.raw("events").select("user_id", F.lit("c").alias("cube_id"), F.col("event_id").alias("item_id"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    e = t.raw("events").select("user_id", F.lit("c").alias("cube_id"), F.col("event_id").alias("item_id"), F.col("ts").cast("timestamp").alias("ts"))
     return tasks.buffer_batch(e, 5, 3600).select("user_id", "run", "part", "n")
 
 

@@ -159,10 +159,12 @@ def buffer_stream(entries: DataFrame, size: int = BUFFER_SIZE, seconds: int = BU
 
 def buffer_batch(entries: DataFrame, size: int = BUFFER_SIZE, seconds: int = BUFFER_SECONDS) -> DataFrame:
     """The batch analogue: gaps over ``seconds`` end a run, runs are cut by ``size``."""
-    w = Window.partitionBy("user_id", "cube_id").orderBy("ts", "item_id")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-    t = entries.withColumn("run", F.sum(F.when(gap > seconds, 1).otherwise(0)).over(w))
-    k = F.row_number().over(Window.partitionBy("user_id", "cube_id", "run").orderBy("ts", "item_id")) - 1
+    order = [F.col("ts").asc_nulls_last(), F.col("item_id").asc_nulls_last()]
+    w = Window.partitionBy("user_id", "cube_id").orderBy(*order)
+    second = F.rint(F.unix_micros("ts") / F.lit(1e6))  # the nearest second; the order keeps the fractions
+    t = entries.withColumn("gap", second - F.lag(second).over(w))
+    t = t.withColumn("run", F.sum(F.when(F.col("gap") > seconds, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    k = F.row_number().over(Window.partitionBy("user_id", "cube_id", "run").orderBy(*order)) - 1
     t = t.withColumn("part", F.floor(k / size).cast("int"))
     return t.groupBy("user_id", "cube_id", "run", "part").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
 
