@@ -32,30 +32,44 @@ def clusters(pair_rows: DataFrame, least_size: int = 2) -> DataFrame:
 def cluster_scores(pair_rows: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, min_score): the least over members of each one's best pair."""
     both = pair_rows.select(F.col("a").alias("id"), "score").unionByName(pair_rows.select(F.col("b").alias("id"), "score"))
-    best = both.groupBy("id").agg(F.max("score").alias("best"))
+    return least_best(both.select("id", F.col("score").alias("best")), members)
+
+
+def least_best(scores: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, min_score) from scores(id, best), some a row."""
+    best = scores.groupBy("id").agg(F.max("best").alias("best"))
     return members.join(best, "id").groupBy("cluster").agg(F.min("best").alias("min_score"))
 
 
+def link_clusters(links: DataFrame, least_size: int = 2) -> DataFrame:
+    """``clusters`` of ``pairs.links``."""
+    return clusters(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), least_size)
+
+
 def split_clusters(members: DataFrame, most: int = CLUSTER_CHILDREN) -> DataFrame:
     """Slices of at most ``most`` members: (id, cluster, part)."""
     w = Window.partitionBy("cluster").orderBy("id")
     return members.withColumn("part", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
 
 
-def auto_merge(memory: DataFrame, members: DataFrame, scores: DataFrame, least: float = AUTO_MERGE) -> DataFrame:
-    """(id, into_id): in clusters above the score the longest text in bytes stays, the least id on a tie."""
+def auto_merge(memory: DataFrame, members: DataFrame, scores: DataFrame, least: float = AUTO_MERGE, sizes: DataFrame | None = None) -> DataFrame:
+    """(id, into_id): in clusters above the score the longest text in bytes stays, the least id on a tie.
+
+    ``sizes`` (id, size_bytes), where they are known, save reading the texts.
+    """
+    sizes = sizes if sizes is not None else memory.select("id", F.octet_length("memory").alias("size_bytes"))
     ok = scores.where(F.col("min_score") >= least).select("cluster")
-    t = members.join(ok, "cluster", "left_semi").join(memory.select("id", F.octet_length("memory").alias("size_bytes")), "id")
+    t = members.join(ok, "cluster", "left_semi").join(sizes, "id")
     w = Window.partitionBy("cluster").orderBy(F.desc("size_bytes"), "id")
     t = t.withColumn("into_id", F.first("id").over(w))
     return t.where("id <> into_id").select("id", "into_id")
 
 
-def consolidate(memory: DataFrame, least: float = NEAR_DUPLICATE, merge_at: float = AUTO_MERGE) -> tuple[DataFrame, DataFrame]:
-    """Merges (id, into_id) and their MERGED_INTO edges."""
-    found = duplicate_pairs(memory, least)
-    members = clusters(found)
-    merges = auto_merge(memory, members, cluster_scores(found, members), merge_at)
+def consolidate(memory: DataFrame, least: float = NEAR_DUPLICATE, merge_at: float = AUTO_MERGE, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merges (id, into_id) and their MERGED_INTO edges; ``sizes`` as in ``auto_merge``."""
+    found = materialize(pairs.links(memory.where("status = 'activated'"), least, group="user_name"), "links")
+    members = link_clusters(found)
+    merges = auto_merge(memory, members, least_best(found, members), merge_at, sizes)
     return merges, merges.select(F.col("id").alias("from_id"), F.col("into_id").alias("to_id"), F.lit("MERGED_INTO").alias("relation"), F.lit(1.0).alias("confidence"))
 
 
@@ -94,7 +108,7 @@ def promote(memory: DataFrame, level: str = "raw", least: float = EPISODIC[0], l
     """
     up = {"raw": "episodic", "episodic": "semantic"}[level]
     rows = memory.where((F.coalesce("hierarchy_level", F.lit("raw")) == level) & F.col("embedding").isNotNull() & (F.col("status") == "activated"))
-    members = clusters(pairs.pairs_above(rows, least, group="user_name"), least_size)
+    members = link_clusters(pairs.links(rows, least, group="user_name"), least_size)
     m = members.join(rows.select("id", "user_name", "memory"), "id")
     longest = F.max_by("memory", F.struct(F.octet_length("memory"), F.col("id")))
     texts = summarize(F.collect_list("memory")) if summarize else longest

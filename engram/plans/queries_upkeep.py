@@ -35,9 +35,9 @@ def _(t):
 
 @query("a10_cluster_scores", M + PAIRS_SQL + ", b AS (SELECT id, max(score) AS best FROM (SELECT a AS id, score FROM p UNION ALL SELECT b, score FROM p) GROUP BY id) SELECT 'c' || (doc_id % 10) AS cluster, round(min(best), 6) AS min_score FROM memory JOIN b USING (id) GROUP BY ALL")
 def _(t):
-    found = pairs.pairs_above(t.memory.where("status = 'activated' AND embedding IS NOT NULL"), NEAR)
+    found = pairs.links(t.memory.where("status = 'activated' AND embedding IS NOT NULL"), NEAR)
     members = t.memory.select("id", F.concat(F.lit("c"), _d() % 10).alias("cluster"))
-    return maintain.cluster_scores(found, members).select("cluster", F.round("min_score", 6).alias("min_score"))
+    return maintain.least_best(found, members).select("cluster", F.round("min_score", 6).alias("min_score"))
 
 
 @query("m04_set_hierarchy", M + "SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'semantic' ELSE hierarchy_level END AS hierarchy_level, CASE WHEN doc_id % 4 = 0 THEN 'm' || (doc_id % 7) END AS parent_memory_id FROM memory")
