@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from engram.functions import scoring, text
@@ -84,12 +86,12 @@ COMPONENTS_SQL = M + PAIRS_SQL + """, u AS (SELECT a, b FROM p UNION SELECT b, a
 
 @query("g07_components", COMPONENTS_SQL)
 def _(t):
-    return maintain.clusters(pairs.pairs_above(_vectors(t), NEAR))
+    return maintain.link_clusters(pairs.links(_vectors(t), NEAR))
 
 
 @query("g08_threshold_clusters", COMPONENTS_SQL.replace("SELECT id, cluster, count(*)", "SELECT * FROM (SELECT id, cluster, count(*)") + ") WHERE size >= 3")
 def _(t):
-    return maintain.clusters(pairs.pairs_above(_vectors(t), NEAR), 3)
+    return maintain.link_clusters(pairs.links(_vectors(t), NEAR), 3)
 
 
 @query("g03_invalidate", ME + "SELECT relation, count(*) FILTER (dead OR from_id IN (SELECT id FROM memory WHERE doc_id % 20 < 3)) AS dead, count(*) AS n FROM edges GROUP BY relation")
@@ -100,8 +102,7 @@ def _(t):
 
 @query("g09_cosine_edges", M + PAIRS_SQL + ", d AS (SELECT a AS from_id, b AS to_id, score FROM p UNION ALL SELECT b, a, score FROM p) SELECT from_id, to_id, round(score, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY score DESC, to_id) AS r FROM d WHERE score > 0.32 AND score < 0.45) WHERE r <= 2")
 def _(t):
-    p = pairs.pairs_above(_vectors(t), NEAR)
-    d = p.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "score").unionByName(p.select(F.col("b").alias("from_id"), F.col("a").alias("to_id"), "score"))
+    d = pairs.top_neighbours(_vectors(t), 2, math.nextafter(0.32, 1), below=0.45, digits=12)
     return graph.cosine_edges(d, 0.32, 0.45, 2).select("from_id", "to_id", F.round("confidence", 6).alias("confidence"))
 
 
@@ -296,7 +297,9 @@ B01 = COMPONENTS_SQL.replace(" SELECT id, cluster, count(*) OVER (PARTITION BY c
 # the tables' nearest pairs are at about 0.3, so the merge threshold is there too
 @query("b01_consolidate", B01)
 def _(t):
-    return maintain.consolidate(t.memory.withColumn("user_name", F.lit("one")), NEAR, 0.3)[0]
+    # sizes of texts straight from their table, so that no text is shuffled
+    sizes = t.raw("documents").select(F.concat(F.lit("m"), F.col("doc_id")).alias("id"), F.octet_length("text").alias("size_bytes"))
+    return maintain.consolidate(t.memory.withColumn("user_name", F.lit("one")), NEAR, 0.3, sizes)[0]
 
 
 @query("b05_promote", COMPONENTS_SQL.replace("b.status = 'activated'", "b.status = 'activated' AND a.hierarchy_level = 'raw' AND b.hierarchy_level = 'raw'").replace(" SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM w",
