@@ -4,6 +4,7 @@ A document's score is the count of its tokens that the query names, over 1 + ln(
 length).  Documents are dealt into blocks by cube and length class, so a block's scores
 are alike.  The index holds, for every term and block, the documents with their counts,
 and beside them, in a small table, the greatest score that the term gives in the block.
+Texts are shuffled once, by block, and a block's postings are made where its texts lie.
 A search adds these up to each block's bound, scores the few best blocks, and then reads
 only blocks whose bound reaches the k-th score found.  The result equals a full scan.
 
@@ -18,6 +19,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from engram.session import materialize, release
 
 #: Documents of a block, about.
 BLOCK = 4096
+#: Words of a block and of a task that makes postings, about; a longer document is a block of its own.
+BLOCK_WORDS, TASK_WORDS = 1 << 20, 4 << 20
 #: Blocks scored first, to learn the k-th score.
 FIRST = 8
 #: Blocks up to which a search names them to the scan; more are joined.
@@ -36,44 +40,70 @@ NAMED = 1000
 BUCKETS = 16
 
 _MANIFEST = "kind string, segment int, path string, n long"
-_TERMS = "id string, user_name string, size int, term string, tf int"
+_POSTINGS = "term string, block long, user_name string, n long, most double, docs array<struct<id: string, tf: int, size: int>>"
+_BOUNDS = "term string, block long, user_name string, n long, most double"
 
 
 def weight(tf: Column, size: Column) -> Column:
     return tf / (1 + F.log1p(size))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, user_name, words) to a row a term, and one with the term '' for the document itself."""
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, user_name, id, size, words) by block to a row a term and block."""
+    held: list = []  # what has come of one block
     for batch in batches:
-        ids, cubes, sizes, terms, tfs = [], [], [], [], []
-        for i, cube, words in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            seen = Counter(words or [])
-            for t, n in [("", 0), *seen.items()]:
-                ids.append(i)
-                cubes.append(cube)
-                sizes.append(len(words or []))
-                terms.append(t)
-                tfs.append(n)
-        arrays = [pa.array(ids, pa.string()), pa.array(cubes, pa.string()), pa.array(sizes, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "user_name", "size", "term", "tf"])
-
-
-def postings(memory: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(bucket, term, block, user_name, n, most, docs) of rows (id, user_name, memory), and the written rows a term that it is made from."""
+        cuts = np.flatnonzero(np.diff(batch.column("block").to_numpy())) + 1
+        for first, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part = batch.slice(first, end - first)
+            if held and part.num_rows and held[0]["block"][0] != part["block"][0]:
+                yield _of_block(pa.Table.from_batches(held))
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield _of_block(pa.Table.from_batches(held))
+
+
+def _of_block(docs: pa.Table) -> pa.RecordBatch:
+    seen = [Counter(words.split(" ")) for words in docs["words"].to_pylist()]
+    terms = pa.array([t for c in seen for t in c], pa.string()).dictionary_encode()
+    code = terms.indices.to_numpy()
+    order, counts = np.argsort(code, kind="stable"), np.bincount(code)
+    ends = np.cumsum(counts)
+    doc = np.repeat(np.arange(len(seen)), [len(c) for c in seen])[order]
+    tf = np.fromiter((n for c in seen for n in c.values()), np.int32, len(order))[order]
+    size = docs["size"].to_numpy()[doc]
+    most = np.maximum.reduceat(tf / (1 + np.log1p(size)), ends - counts)
+    ids = pa.concat_arrays(docs["id"].chunks).take(pa.array(doc))
+    rows = pa.StructArray.from_arrays([ids, pa.array(tf, pa.int32()), pa.array(size, pa.int32())], ["id", "tf", "size"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), rows)
+    same = [pa.array([docs[c][0].as_py()] * len(counts), k) for c, k in (("block", pa.int64()), ("user_name", pa.string()))]
+    return pa.RecordBatch.from_arrays([terms.dictionary, *same, pa.array(counts, pa.int64()), pa.array(most), lists], ["term", "block", "user_name", "n", "most", "docs"])
+
+
+def documents(memory: DataFrame) -> DataFrame:
+    """(id, user_name, size, words) of rows (id, user_name, memory), the words in order with a space between."""
     rows = memory.where("id IS NOT NULL AND memory IS NOT NULL").select("id", "user_name", text.lexemes(F.col("memory")).alias("words"))
-    terms = materialize(rows.mapInArrow(_counted, _TERMS), "terms")
-    kind = F.floor(2 * F.log2(1 + F.col("size"))).alias("kind")
-    parts = terms.where("term = ''").groupBy("user_name", kind).agg(F.ceil(F.count("*") / block).alias("parts"))
-    parts = parts.select(F.col("user_name").alias("__u"), F.col("kind").alias("__k"), "parts")
-    dealt = terms.where("term <> ''").join(parts, F.col("user_name").eqNullSafe(F.col("__u")) & (kind == F.col("__k")))
+    return rows.select("id", "user_name", F.size("words").alias("size"), F.array_join("words", " ").alias("words"))
+
+
+def postings(docs: DataFrame, parts: DataFrame, tasks: int) -> DataFrame:
+    """(bucket, term, block, user_name, n, most, docs) of ``documents``, whose classes (__u, __k) are cut to ``parts`` blocks."""
+    dealt = docs.where("size > 0").join(parts, F.col("user_name").eqNullSafe(F.col("__u")) & (_kind() == F.col("__k")))
     number = F.xxhash64(F.coalesce("user_name", F.lit("")), F.col("user_name").isNull(), "__k", F.pmod(F.xxhash64("id"), F.col("parts")))
-    dealt = dealt.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", number.alias("block"), "user_name", "id", "tf", "size")
-    # at most the documents of a block, which share a cube and a length class
-    one = dealt.groupBy("bucket", "term", "block", "user_name").agg(
-        F.count("*").alias("n"), F.max(weight(F.col("tf"), F.col("size"))).alias("most"), F.collect_list(F.struct("id", "tf", "size")).alias("docs")
-    )
-    return one, terms
+    dealt = dealt.select(number.alias("block"), "user_name", "id", "size", "words").repartition(tasks, "block").sortWithinPartitions("block")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    return dealt.mapInArrow(_inverted, _POSTINGS).select(bucket.alias("bucket"), "*")
+
+
+def class_parts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(__u, __k, parts): blocks of a cube's documents of a length class, by their number and their words."""
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_WORDS))
+    return docs.groupBy(F.col("user_name").alias("__u"), _kind().alias("__k")).agg(parts.alias("parts"))
+
+
+def _kind() -> Column:
+    return F.floor(2 * F.log2(1 + F.col("size")))
 
 
 class TextIndex:
@@ -94,15 +124,17 @@ class TextIndex:
 
     def _write_segment(self, memory: DataFrame) -> tuple[str, int]:
         path = f"{self.root}/segment-{uuid.uuid4().hex[:12]}"
-        one, terms = postings(memory, self.block)
+        docs = materialize(documents(memory), "documents")
+        n, words = docs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        parts = materialize(class_parts(docs, self.block), "parts")  # its true size lets Spark choose the join
         # sorted by term and block, so that a scan skips row groups and pages
-        dealt = one.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "block")
+        dealt = postings(docs, parts, 1 + words // TASK_WORDS).sortWithinPartitions("bucket", "term", "block")
         dealt.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-        written = self.spark.read.parquet(f"{path}/postings")
+        written = self.spark.read.schema(f"{_BOUNDS}, bucket int").parquet(f"{path}/postings")
         written.select("bucket", "term", "block", "user_name", "n", "most").repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/bounds")
-        n = terms.where("term = ''").count()
-        terms.where("term = ''").select("id").write.parquet(f"{path}/ids")
-        release(terms)
+        docs.select("id").write.parquet(f"{path}/ids")
+        release(docs)
+        release(parts)
         return path, n
 
     def change(self, add: DataFrame | None = None, delete: DataFrame | None = None) -> int:
@@ -146,7 +178,8 @@ class TextIndex:
         buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
         for r in manifest:
             if r.kind == "segment" and r.n:
-                t = self.spark.read.parquet(f"{r.path}/{name}").where(F.col("bucket").isin(buckets) & F.col("term").isin(tokens))
+                schema = _POSTINGS if name == "postings" else _BOUNDS
+                t = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{r.path}/{name}").where(F.col("bucket").isin(buckets) & F.col("term").isin(tokens))
                 t = t.where(F.col("user_name").isin(cubes)) if cubes else t
                 t = t.withColumn("segment", F.lit(r.segment))
                 found = t if found is None else found.unionByName(t)
