@@ -63,6 +63,11 @@ class Tables:
             "embedding",
         )
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The columns of ``memory`` that are the documents' own, without a join: a text isn't shuffled to be indexed."""
+        return self.raw("documents").select("doc_id", F.concat(F.lit("m"), "doc_id").alias("id"), F.col("source").alias("user_name"), F.col("text").alias("memory"))
+
     @cached_property
     def count(self) -> int:
         return self.raw("documents").count()

@@ -95,13 +95,13 @@ def _(t):
 @query("tx04_indexed", cte("memory") + f"SELECT id, round({RANK_SQL}, 6) AS score FROM memory WHERE {ACTIVE} AND {HITS_SQL} > 0 ORDER BY {RANK_SQL} DESC, id LIMIT 10")
 def _(t):
     index = textindex.TextIndex(t.spark, scratch_path(t.spark, "text-index"))
-    m, third = t.memory, F.col("doc_id") % 3
+    m, third = t.texts, F.col("doc_id") % 3
     index.append(m.where(third != 0))
     index.append(m.where(third == 0).withColumn("memory", F.concat(F.lit("the the the and "), "memory")))
     index.upsert(m.where(third == 0))
     index.delete(m.where("doc_id % 7 = 0").select("id"))
     index.append(m.where("doc_id % 7 = 0"))
-    return index.search(TOKENS, 10, m, filters.scope(CUBE), [CUBE]).select("id", F.round("score", 6).alias("score"))
+    return index.search(TOKENS, 10, t.memory, filters.scope(CUBE), [CUBE]).select("id", F.round("score", 6).alias("score"))
 
 
 PAIRS_SQL = "WITH p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) "
